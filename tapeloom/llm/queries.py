@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tapeloom.llm import packing, tokencount, tokenfile
-from tapeloom.llm.shared import durable_path
+from tapeloom.llm import langid, linededup, neardup, packing, tokencount, tokenfile
+from tapeloom.llm.shared import crc32_of, durable_path
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -26,6 +27,25 @@ def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_index(spark, path)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from those not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc32_of("doc_id") % 4 == 2
+    model = langid.fit(docs.where(~F.coalesce(held_out, F.lit(False))).select("text", "lang"))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the line chunks that repeat across documents."""
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate group of every document."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The length histogram of all documents with its suffix sums."""
     counts = tokencount.length_histogram(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES))
@@ -39,6 +59,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_file": op2_token_file,
+    "op3_language_id": op3_language_id,
+    "op4_line_dedup": op4_line_dedup,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_token_counts": op8_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
