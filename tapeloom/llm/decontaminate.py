@@ -87,7 +87,7 @@ def _verified(keyed: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
     return joined.select("doc", "found", own).select("doc", F.when(F.size(equal) > 0, equal).alias("hits"))
 
 
-_PLACES = F.expr("array_distinct(flatten(transform(hits, x -> sequence(x.at, x.at + size(x.run) - 1))))")
+_PLACES = "array_distinct(flatten(transform(hits, x -> sequence(x.at, x.at + size(x.run) - 1))))"
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -97,7 +97,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
     return _verified(_keyed(docs), benchmark, width).select(
         F.col("doc.doc_id").alias("doc_id"),
         F.coalesce(F.regexp_count("doc.text", F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"),
-        F.when(hit, F.size(_PLACES)).otherwise(F.lit(0)).cast("long").alias("n_hit"),
+        F.when(hit, F.size(F.expr(_PLACES))).otherwise(F.lit(0)).cast("long").alias("n_hit"),
         F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         hit.alias("contaminated"),
@@ -112,7 +112,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     checked = _verified(_keyed(docs), benchmark, width)
     if remove == "documents":
         return checked.where("hits is null").select("doc.*")
-    checked = checked.withColumn("places", _PLACES)
+    checked = checked.withColumn("places", F.expr(_PLACES))
     text = F.coalesce(F.col("doc.text"), F.lit(""))
     own = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
     gaps = F.split(text, _WORD, -1)
