@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import decontaminate, langid, linededup, neardup, packing, pii, tokencount, tokenfile
+from tapeloom.llm import decontaminate, langid, linededup, neardup, packing, pii, quality, tokencount, tokenfile
 from tapeloom.llm.shared import crc32_of, durable_path
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -48,6 +48,16 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from the labels of those not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc32_of("doc_id") % 3 == 1
+    labels = table(spark, sf_dir, "labels").where(~F.coalesce(held_out, F.lit(False)))
+    labelled = docs.select("doc_id", "text").join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id")
+    found = quality.score(docs, quality.fit(labelled.select("text", "label")))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate group of every document."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -74,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_line_dedup": op4_line_dedup,
     "op5_decontamination": op5_decontamination,
+    "op6_quality_rules": op6_quality_rules,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_token_counts": op8_token_counts,
     "op9_pseudonyms": op9_pseudonyms,
