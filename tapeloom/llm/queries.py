@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import decontaminate, langid, linededup, neardup, packing, pii, quality, tokencount, tokenfile
+from tapeloom.llm import ann, decontaminate, langid, linededup, neardup, packing, pii, quality, tokencount, tokenfile
 from tapeloom.llm.shared import crc32_of, durable_path
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of every 50th vector."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), is_query="vec_id % 50 = 0", k=5)
+
+
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the token file of all documents and read it back."""
     path = durable_path(spark, "tokens")
@@ -80,6 +85,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_token_file": op2_token_file,
     "op3_language_id": op3_language_id,
     "op4_line_dedup": op4_line_dedup,

@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +55,7 @@ def byte_slices(
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
         start = size = 0
         for row, n in enumerate(sizes):
             if row > start and size + n > limit:
@@ -72,3 +74,32 @@ def crc32_of(column: str | F.Column) -> F.Column:
 def spread_int(columns: list, buckets: int) -> F.Column:
     """A stable bucket of 0..buckets-1 for a row."""
     return F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables of complete groups, and where the groups begin and end in them.
+
+    batches must be sorted by key (an integer), as repartition(key).sortWithinPartitions(key) does.
+    """
+
+    def cut(parts: list[pa.RecordBatch]) -> tuple[pa.Table, list[int]]:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        keys = table.column(key).to_numpy()
+        return table, [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy()
+        if held and held[-1].column(key)[-1].as_py() != keys[0]:
+            yield cut(held)
+            held = []
+        last = int(np.searchsorted(keys, keys[-1]))
+        if last:
+            yield cut([*held, batch.slice(0, last)])
+            held = [batch.slice(last)]
+        else:
+            held.append(batch)
+    if held:
+        yield cut(held)
