@@ -4,10 +4,11 @@ A document is the set of its word shingles and a signature of ``COORDINATES`` mi
 Each of ``trees`` independent trees starts from all distinct sets.  A node chooses one or two
 coordinates (4/3 on average, the inverse of the threshold) and deals its members to children by
 their minwise token there, so two sets of the threshold's similarity share one child or more on
-average.  A node of at most ``small`` members compares all of their signatures; pairs that could
-reach the threshold become candidates.  A larger node compares its members with its most central
-one and branches on; it ends early if all its members resemble that one.  What is still large at
-the last level is compared in blocks, so no node is cut short.  Candidates are confirmed on the
+average.  A node of at most ``small`` members compares all of their signatures; the closest pairs
+that could reach the threshold become candidates.  A larger node compares its members with a few
+central ones.  It ends there if all members resemble one of these; if few do not, those are compared
+with all members in blocks; else it branches on.  What is still large at the last level is compared
+in blocks, so no node is cut short.  Candidates are confirmed on the
 full shingle sets, and the confirmed links give the groups.
 
 Cases: a text without words, or null, has an empty set and is linked with nothing; a text of fewer
@@ -26,14 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm.components import components
-from tapeloom.llm.shared import byte_slices, discard, durable
+from tapeloom.llm.shared import byte_slices, discard, durable, whole_groups
 from tapeloom.llm.shingles import shingle_sets
 
 WIDTH, SIMILARITY = 5, (75, 100)
-COORDINATES, TREES, SMALL, LEVELS = 64, 10, 64, 8
+COORDINATES, TREES, SMALL, LEVELS = 64, 6, 64, 8
 #: Share of equal coordinates from which a pair is confirmed, and from which it is taken to be
 #: linked when it is decided whether a large node must branch on.
-HOPEFUL, CERTAIN = 0.5, 0.9
+HOPEFUL, CERTAIN = 0.5, 0.85
+#: Centres of a large node; partners that a member of a small node proposes besides its centre.
+CENTRES, PARTNERS = 4, 3
 SLICE_BYTES = 2 << 20
 #: Candidate pairs that are confirmed together.
 PAIRS_TOGETHER = 2000
@@ -45,7 +48,7 @@ _MULTIPLIERS = np.random.default_rng(7).integers(0, 2**63, COORDINATES, np.uint6
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """COORDINATES minwise tokens of each set; an empty set has zeros."""
-    out = np.zeros((len(sets), COORDINATES), np.uint32)
+    out = np.zeros((len(sets), COORDINATES), np.uint32)  # the low half of these travels on
     full = [i for i, s in enumerate(sets) if len(s)]
     if full:
         flat = np.concatenate([sets[i] for i in full])
@@ -67,7 +70,7 @@ def _children(rows: DataFrame) -> DataFrame:
     """(node, key) of the children's members for rows (node, key, sig)."""
 
     def child(k: F.Column) -> F.Column:
-        return F.when(k.isNotNull(), F.xxhash64("node", k, F.substring("sig", k * 4 + 1, F.lit(4))))
+        return F.when(k.isNotNull(), F.xxhash64("node", k, F.substring("sig", k * 2 + 1, F.lit(2))))
 
     at = F.array(*(child(k.cast("int")) for k in _chosen(F.col("node"))))
     return rows.select("key", F.explode(F.array_compact(at)).alias("node")).select("node", "key")
@@ -78,85 +81,99 @@ def _by_node(rows: DataFrame, work: Callable[[list[bytes], np.ndarray, list], It
 
     Only for nodes whose size is bounded.
     """
-    fields = pa.schema([(n, {"binary": pa.binary(), "long": pa.int64()}[t]) for n, t in (x.split() for x in schema.split(", "))])
+    kinds = {"binary": pa.binary(), "long": pa.int64()}
+    fields = pa.schema([(n, kinds[t]) for n, t in (x.split() for x in schema.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush(table: pa.Table) -> pa.RecordBatch:
-            nodes = table.column("node").to_numpy()
+        for table, cuts in whole_groups(batches, "node"):
             keys, more = table.column("key").to_pylist(), table.column("more").to_pylist()
-            sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(nodes), -1)
-            cuts = [0, *(np.flatnonzero(nodes[1:] != nodes[:-1]) + 1).tolist(), len(nodes)]
-            out = []
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                out.extend(work(keys[a:b], sigs[a:b], more[a:b]))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(fields), fields, strict=True)],
-                schema=fields,
-            )
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            nodes = batch.column("node").to_numpy()
-            last = int(np.searchsorted(nodes, nodes[-1])) if nodes[0] <= nodes[-1] else 0
-            if last or (held and held[-1].column("node")[-1].as_py() != nodes[0]):
-                ready = held + ([batch.slice(0, last)] if last else [])
-                held = [batch.slice(last)] if last else [batch]
-                yield flush(pa.Table.from_batches(ready).combine_chunks())
-            else:
-                held.append(batch)
-        if held:
-            yield flush(pa.Table.from_batches(held).combine_chunks())
+            sigs = _sketches(table.column("sig"))
+            out = [x for a, b in zip(cuts, cuts[1:], strict=False) for x in work(keys[a:b], sigs[a:b], more[a:b])]
+            columns = zip(*out, strict=True) if out else [[]] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
 
     ordered = rows.select("node", "key", "sig", "more").repartition("node").sortWithinPartitions("node")
     return ordered.mapInArrow(run, schema)
 
 
-def _agreeing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return (left[:, None, :] == right[None, :, :]).mean(2) >= HOPEFUL
+def _sketches(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), COORDINATES)
+
+
+def _agreement(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The share of equal coordinates of each of left with each of right."""
+    return (left[:, None, :] == right[None, :, :]).mean(2)
+
+
+def _pair(one: bytes, two: bytes) -> tuple[bytes, bytes]:
+    return (one, two) if one < two else (two, one)
 
 
 def _pairs_within(keys: list[bytes], sigs: np.ndarray, more: list) -> Iterator[tuple[bytes, bytes]]:
-    a, b = np.nonzero(np.triu(_agreeing(sigs, sigs), 1))
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        yield min(keys[i], keys[j]), max(keys[i], keys[j])
+    """All members are compared; each is paired with the node's most central member and with those
+    that it agrees with most, as far as they may be similar enough. For groups that suffices: what
+    links a group are its closest pairs."""
+    like = _agreement(sigs, sigs)
+    np.fill_diagonal(like, -1)
+    centre = int(like.sum(1).argmax())
+    found = {(min(i, centre), max(i, centre)) for i in np.flatnonzero(like[centre] >= HOPEFUL).tolist()}
+    closest = np.argsort(-like, axis=1, kind="stable")[:, :PARTNERS]
+    for i, j in zip(np.repeat(np.arange(len(keys)), closest.shape[1]).tolist(), closest.reshape(-1).tolist(), strict=True):
+        if like[i, j] >= HOPEFUL:
+            found.add((min(i, j), max(i, j)))
+    for i, j in found:
+        yield _pair(keys[i], keys[j])
 
 
 def _pairs_with_rest(keys: list[bytes], sigs: np.ndarray, more: list) -> Iterator[tuple[bytes, bytes]]:
-    """Pairs of the rows marked 1 with all rows."""
+    """Each row marked 1 with those of all rows of the block that it agrees with most."""
     rest = [i for i, x in enumerate(more) if x]
-    a, b = np.nonzero(_agreeing(sigs[rest], sigs))
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        if keys[rest[i]] != keys[j]:
-            yield min(keys[rest[i]], keys[j]), max(keys[rest[i]], keys[j])
-
-
-def _usual(keys: list[bytes], sigs: np.ndarray, more: list) -> Iterator[tuple[int, bytes]]:
-    """The most frequent token of each coordinate."""
-    out = np.empty(sigs.shape[1], np.uint32)
-    for k in range(sigs.shape[1]):
-        values, counts = np.unique(sigs[:, k], return_counts=True)
-        out[k] = values[counts.argmax()]
-    yield more[0], out.tobytes()
+    if not rest:
+        return
+    like = _agreement(sigs[rest], sigs)
+    for r, i in enumerate(rest):
+        like[r, i] = -1
+        for j in np.argsort(-like[r], kind="stable")[: PARTNERS + 1].tolist():
+            if like[r, j] >= HOPEFUL and keys[i] != keys[j]:
+                yield _pair(keys[i], keys[j])
+
+
+def _centres(keys: list[bytes], sigs: np.ndarray, more: list) -> Iterator[tuple[int, bytes, bytes]]:
+    """The most central of a sample of members, and others far from those before."""
+    like = _agreement(sigs, sigs)
+    chosen = [int(like.sum(1).argmax())]
+    while len(chosen) < min(CENTRES, len(keys)):
+        nearest = like[chosen].max(0)
+        if nearest.min() >= CERTAIN:
+            break
+        chosen.append(int(nearest.argmin()))
+    for i in chosen:
+        yield more[0], keys[i], sigs[i].tobytes()
 
 
-def _agreement(rows: DataFrame, against: str, name: str) -> DataFrame:
-    """rows with the number of coordinates in which sig and the column against agree."""
+def _nearest_centre(rows: DataFrame) -> DataFrame:
+    """rows (node, key, sig, size, centres) with centre and like: the centre a member is closest to."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                one, two = (
-                    np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1)
-                    for c in ("sig", against)
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array((one == two).sum(1).astype(np.int32))], [*batch.schema.names, name]
-                )
+            if not batch.num_rows:
+                continue
+            sigs = _sketches(batch.column("sig"))
+            names, likes = [], []
+            for i, centres in enumerate(batch.column("centres").to_pylist()):
+                like = _agreement(sigs[i : i + 1], _sketches(pa.array([c["sig"] for c in centres], pa.binary())))[0]
+                like[[c["key"] == batch.column("key")[i].as_py() for c in centres]] = 2
+                best = int(like.argmax())
+                names.append(centres[best]["key"])
+                likes.append(float(min(like[best], 1)))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("node", "key", "sig", "size")), pa.array(names, pa.binary()), pa.array(likes)],
+                ["node", "key", "sig", "size", "centre", "like"],
+            )
 
-    return rows.mapInArrow(count, f"{', '.join(f'{n} {t}' for n, t in rows.dtypes)}, {name} int")
+    return rows.select("node", "key", "sig", "size", "centres").mapInArrow(
+        compare, "node long, key binary, sig binary, size long, centre binary, like double"
+    )
 
 
 def document_sets(docs: DataFrame, width: int = WIDTH, trees: int = TREES) -> DataFrame:
@@ -176,7 +193,7 @@ def document_sets(docs: DataFrame, width: int = WIDTH, trees: int = TREES) -> Da
                     "doc_id": part.column("doc_id"),
                     "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                     "key": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                    "sig": pa.array([s.tobytes() for s in sigs], pa.binary()),
+                    "sig": pa.array([s.tobytes() for s in sigs.astype(np.uint16)], pa.binary()),
                     "roots": pa.array(paths.tolist(), pa.list_(pa.int64())),
                 }
             )
@@ -196,43 +213,43 @@ def candidates(sets: DataFrame, small: int = SMALL, levels: int = LEVELS) -> Dat
     signatures leave a similarity of the threshold possible. sets has key, sig, roots."""
     sigs = sets.select("key", "sig")
     members = sets.select(F.explode("roots").alias("node"), "key")
+    none, one = F.lit(0).cast("long").alias("more"), F.lit(1).cast("long").alias("more")
     found = []
     for level in range(levels):
         sizes = members.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        sized = members.join(sizes, "node")
-        if level:
-            rows = durable(sized.join(sigs, "key"), f"nodes{level}")
-        else:  # signatures are wanted for those alone that share a node
-            rows = durable(sized.join(sigs, "key"), "nodes0")
-        none = F.lit(0).cast("long").alias("more")
+        rows = durable(members.join(sizes, "node").join(sigs, "key"), f"nodes{level}")
         few = rows.where(F.col("size") <= small).select("node", "key", "sig", none)
         found.append(durable(_by_node(few, _pairs_within, "a binary, b binary").distinct(), "pairs"))
         large = rows.where(F.col("size") > small)
         if large.isEmpty():
+            discard(rows)
             break
         sample = large.where(F.pmod(F.xxhash64("node", "key"), F.col("size")) < small)
-        usual = _by_node(sample.select("node", "key", "sig", F.col("node").alias("more")), _usual, "node long, usual binary")
-        scored = _agreement(large.join(usual, "node"), "usual", "fit").drop("usual")
-        centres = (
-            scored.groupBy("node")
-            .agg(F.max_by(F.struct("key", "sig"), F.struct("fit", "key")).alias("c"))
-            .select("node", F.col("c.key").alias("centre"), F.col("c.sig").alias("centre_sig"))
+        picked = _by_node(
+            sample.select("node", "key", "sig", F.col("node").alias("more")), _centres, "node long, key binary, sig binary"
         )
-        near = durable(_agreement(large.join(centres, "node"), "centre_sig", "like").drop("centre_sig"), "near")
-        pair = [F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")]
-        found.append(near.where((F.col("like") >= HOPEFUL * COORDINATES) & (F.col("key") != F.col("centre"))).select(*pair))
-        mixed = near.groupBy("node").agg(F.min("like").alias("least")).where(F.col("least") < CERTAIN * COORDINATES)
-        on = near.join(mixed.select("node"), "node")
-        if level + 1 < levels:
-            members = durable(_children(on), "members")
-        else:
-            rest = F.col("like") < CERTAIN * COORDINATES
-            blocks = F.greatest(F.lit(1), (F.col("size") / small).cast("int"))
-            own = F.pmod(F.xxhash64("key"), blocks)
-            every = on.select("node", "key", "sig", own.alias("block"), F.lit(0).cast("long").alias("more"))
-            spread = on.where(rest).select("node", "key", "sig", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).alias("block"), F.lit(1).cast("long").alias("more"))
-            both = every.unionByName(spread).withColumn("node", F.xxhash64("node", "block")).drop("block")
-            found.append(_by_node(both, _pairs_with_rest, "a binary, b binary"))
+        centres = picked.groupBy("node").agg(F.collect_list(F.struct("key", "sig")).alias("centres"))
+        near = durable(_nearest_centre(large.join(centres, "node")), "near")
+        discard(rows)
+        pairs = near.where((F.col("like") >= HOPEFUL) & (F.col("key") != F.col("centre")))
+        found.append(durable(pairs.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct(), "pairs"))
+        rest = F.col("like") < CERTAIN
+        mixed = near.groupBy("node").agg(F.count_if(rest).alias("loose")).where("loose > 0")
+        on = near.join(mixed, "node")
+        last = level + 1 == levels
+        # few loose members are compared with all others at once, in blocks; else the node branches
+        at_once = F.lit(True) if last else F.col("loose") <= small
+        blocks = F.greatest(F.lit(1).cast("long"), F.expr(f"size div {small}"))
+        settled = on.where(at_once)
+        every = settled.select("node", "key", "sig", F.pmod(F.xxhash64("key"), blocks).alias("block"), none)
+        spread = settled.where(rest).select("node", "key", "sig", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), one)
+        both = every.unionByName(spread).withColumn("node", F.xxhash64("node", "block")).drop("block")
+        found.append(durable(_by_node(both, _pairs_with_rest, "a binary, b binary").distinct(), "pairs"))
+        if not last:
+            members = durable(_children(on.where(~at_once)), "members")
+        discard(near)
+        if last or members.isEmpty():
+            break
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
