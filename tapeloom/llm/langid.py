@@ -122,6 +122,7 @@ def fit(docs: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) -> Lang
         seen[row["bin"]] = row["n"]
     idf = (np.log((1 + seen[BINS]) / (1 + seen[:BINS])) + 1).astype(np.float32)
 
+    # a row a language; without the broadcast every text would be dealt by its language
     sizes = known.groupBy("lang").agg(F.count("*").alias("size"))
     draw = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     picked = known.join(sizes, "lang").where(draw * F.col("size") < sample).select("lang", "text")
@@ -145,29 +146,47 @@ def fit(docs: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) -> Lang
     )
 
 
+def labels(texts: pa.Array, model: LanguageModel, reject_share: float) -> tuple[list[str], list[float], list[bool]]:
+    """Language, score and whether it is rejected, of each text."""
+    cosines = vectors(texts, model.idf) @ model.centres.T if model.languages else np.zeros((len(texts), 1))
+    best = cosines.argmax(1)
+    top = np.clip(cosines[np.arange(len(texts)), best].astype(np.float64), 0, 1)
+    plain = pc.fill_null(pc.match_substring_regex(texts, "[A-Za-z]"), False).to_pylist()
+    names, scores, rejected = [], [], []
+    for i, has in enumerate(plain):
+        has = bool(model.languages) and (has or any(map(str.isalpha, texts[i].as_py() or "")))
+        names.append(model.languages[best[i]] if has else UNKNOWN)
+        scores.append(float(top[i]) if has else 0.0)
+        rejected.append(not has or bool(top[i] < reject_share * model.least[best[i]]))
+    return names, scores, rejected
+
+
 def predict(docs: DataFrame, model: LanguageModel, reject_share: float = REJECT_SHARE) -> DataFrame:
     """doc_id, lang_pred, score (cosine, 0 to 1), rejected of every whole text of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # clusters * BINS floats a language
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for part in byte_slices(batches, "text", SLICE_BYTES):
             for k in range(0, part.num_rows, 256):
                 rows = part.slice(k, 256)
-                texts = rows.column("text")
-                cosines = np.zeros((len(texts), 1))
-                if m.languages:
-                    cosines = vectors(texts, m.idf) @ m.centres.T
-                best = cosines.argmax(1)
-                top = np.clip(cosines[np.arange(len(texts)), best].astype(np.float64), 0, 1)
-                plain = pc.fill_null(pc.match_substring_regex(texts, "[A-Za-z]"), False).to_pylist()
-                out: dict[str, list] = {"lang_pred": [], "score": [], "rejected": []}
-                for i, has in enumerate(plain):
-                    has = bool(m.languages) and (has or any(map(str.isalpha, texts[i].as_py() or "")))
-                    out["lang_pred"].append(m.languages[best[i]] if has else UNKNOWN)
-                    out["score"].append(float(top[i]) if has else 0.0)
-                    out["rejected"].append(not has or bool(top[i] < reject_share * m.least[best[i]]))
-                yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id")} | out)
+                names, scores, rejected = labels(rows.column("text"), shared.value, reject_share)
+                yield pa.RecordBatch.from_pydict(
+                    {"doc_id": rows.column("doc_id"), "lang_pred": names, "score": scores, "rejected": rejected}
+                )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(label, "doc_id long, lang_pred string, score double, rejected boolean")
+
+
+def accepted(docs: DataFrame, model: LanguageModel, reject_share: float = REJECT_SHARE) -> DataFrame:
+    """The rows of docs whose text is not rejected, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def fits(texts: pd.Series) -> pd.Series:
+        out: list[bool] = []
+        for k in range(0, len(texts), 256):
+            out += labels(pa.array(texts.iloc[k : k + 256], pa.string()), shared.value, reject_share)[2]
+        return ~pd.Series(out, dtype=bool)
+
+    return docs.where(fits(F.col("text").cast("string")))
