@@ -1,0 +1 @@
+"""Market time-series analytics on Spark: tape, bars, structure, setups, simulation, research."""
