@@ -38,11 +38,12 @@ def swings(bars: DataFrame, n: int) -> DataFrame:
     low = whole & (F.col("low") < F.min("low").over(left)) & (F.col("low") <= F.min("low").over(right))
     found = F.array_compact(
         F.array(
-            F.when(high, F.struct(F.lit("HIGH").alias("kind"), F.col("high").alias("price"))),
-            F.when(low, F.struct(F.lit("LOW").alias("kind"), F.col("low").alias("price"))),
+            F.when(F.col("_high"), F.struct(F.lit("HIGH").alias("kind"), F.col("high").alias("price"))),
+            F.when(F.col("_low"), F.struct(F.lit("LOW").alias("kind"), F.col("low").alias("price"))),
         )
     )
-    return bars.select("symbol", "idx", F.explode(found).alias("s")).select(
+    marked = bars.select("symbol", "idx", "high", "low", high.alias("_high"), low.alias("_low"))
+    return marked.select("symbol", "idx", F.explode(found).alias("s")).select(
         "symbol", "s.kind", "idx", "s.price", (F.col("idx") + n).alias("confirmed_idx")
     )
 
@@ -54,13 +55,15 @@ def breaks(bars: DataFrame, pivots: DataFrame) -> DataFrame:
     that breaks a high does not break a low. A break against the former one is a CHOCH, else a BOS.
     """
     known = (
-        pivots.groupBy("symbol", F.col("confirmed_idx").alias("idx"))
+        pivots.withColumnRenamed("idx", "swing_idx")
+        .groupBy("symbol", F.col("confirmed_idx").alias("idx"))
         .pivot("kind", ["HIGH", "LOW"])
-        .agg(F.max(F.struct("idx", "price")))
+        .agg(F.max(F.struct(F.col("swing_idx").alias("idx"), "price")))
+        .withColumnsRenamed({"HIGH": "_top", "LOW": "_bottom"})
     )
     so_far = series().rowsBetween(Window.unboundedPreceding, 0)
     armed = bars.join(known, ["symbol", "idx"], "left").select(
-        "symbol", "idx", "close", F.last("HIGH", True).over(so_far).alias("h"), F.last("LOW", True).over(so_far).alias("l")
+        "symbol", "idx", "close", F.last("_top", True).over(so_far).alias("h"), F.last("_bottom", True).over(so_far).alias("l")
     )
     highs = (
         armed.where("close > h.price")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +31,8 @@ class Registry:
     def add(self, sql: str | None = None) -> Callable[[Query], Query]:
         def put(f: Query) -> Query:
             self.queries[f.__name__] = lambda spark, sf_dir: plain(f(spark, sf_dir))
-            if sql:
-                self.sql[f.__name__] = sql
+            if sql:  # DuckDB would run a shared table anew for each use
+                self.sql[f.__name__] = re.sub(r"(\w+) AS \((?!\s*PARTITION)", r"\1 AS MATERIALIZED (", sql)
             return f
 
         return put
@@ -140,14 +141,16 @@ OB = f"""cand AS (
   FROM ev e JOIN bars b ON b.symbol = e.symbol AND b.idx BETWEEN greatest(e.level_idx + 1, e.break_idx - {OPTIONS.ob_lookback}) AND e.break_idx - 1
    AND CASE WHEN e.dir = 1 THEN b.close < b.open ELSE b.close > b.open END
   GROUP BY ALL
+), near AS (
+  SELECT symbol, idx, high, low, lead(high, 2) OVER w AS high2, lead(low, 2) OVER w AS low2 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY idx)
 ), ob AS (
   SELECT c.symbol, c.break_idx, c.dir, c.ob_idx, x.low AS bottom, x.high AS top,
-         CASE WHEN c.dir = 1 THEN x.high ELSE y.high END AS gap_bottom, CASE WHEN c.dir = 1 THEN y.low ELSE x.low END AS gap_top,
+         CASE WHEN c.dir = 1 THEN x.high ELSE x.high2 END AS gap_bottom, CASE WHEN c.dir = 1 THEN x.low2 ELSE x.low END AS gap_top,
          greatest(c.break_idx, c.ob_idx + 2) AS created_idx
-  FROM cand c JOIN bars x ON x.symbol = c.symbol AND x.idx = c.ob_idx JOIN bars y ON y.symbol = c.symbol AND y.idx = c.ob_idx + 2
+  FROM cand c JOIN near x ON x.symbol = c.symbol AND x.idx = c.ob_idx
   JOIN bars k ON k.symbol = c.symbol AND k.idx = c.break_idx
   WHERE (k.atr IS NULL OR x.high - x.low >= {OPTIONS.ob_min_atr} * k.atr)
-    AND CASE WHEN c.dir = 1 THEN y.low > x.high ELSE y.high < x.low END
+    AND CASE WHEN c.dir = 1 THEN x.low2 > x.high ELSE x.high2 < x.low END
 )"""
 STRUCTURE = f"WITH RECURSIVE {TAPE}, {HOURS}, {ATR}, {SWINGS}, {BREAKS}"
 
