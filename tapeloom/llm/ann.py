@@ -28,11 +28,11 @@ from tapeloom.llm.shared import discard, durable, whole_groups
 
 #: Neighbours of a node in the graph, reverse neighbours that join a meeting, rounds at most, and
 #: the share of changed edges that ends them.
-NEIGHBOURS, REVERSE, ROUNDS, SETTLED = 20, 12, 6, 0.02
+NEIGHBOURS, REVERSE, ROUNDS, SETTLED = 28, 14, 6, 0.02
 #: Mean and largest size of a starting bucket, and the number of bucketings.
 BUCKET, BUCKET_MOST, BUCKETINGS = 64, 192, 3
 #: The search: size of a beam, nodes expanded in a round, rounds at most, and pivots.
-BEAM, EXPAND, SEARCH_ROUNDS, PIVOTS = 96, 12, 10, 128
+BEAM, EXPAND, SEARCH_ROUNDS, PIVOTS = 160, 24, 12, 128
 
 
 def usable(vectors: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ UNKNOWN = "und"
 BINS, GRAM, CLUSTERS, SAMPLE = 8192, 3, 4, 800
 #: A text is rejected below this share of the cosine that all but one in 200 sampled documents reach.
 REJECT_SHARE = 0.25
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[128:] = np.arange(128, 256)
@@ -125,7 +125,7 @@ def fit(docs: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) -> Lang
     # a row a language; without the broadcast every text would be dealt by its language
     sizes = known.groupBy("lang").agg(F.count("*").alias("size"))
     draw = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = known.join(sizes, "lang").where(draw * F.col("size") < sample).select("lang", "text")
+    picked = known.join(F.broadcast(sizes), "lang").where(draw * F.col("size") < sample).select("lang", "text")
 
     def centroids(frame: pd.DataFrame) -> pd.DataFrame:
         points = vectors(pa.array(frame["text"], pa.string()), idf)

@@ -4,7 +4,7 @@ A document is the set of its word shingles and a signature of ``COORDINATES`` mi
 Each of ``trees`` independent trees starts from all distinct sets.  A node chooses one or two
 coordinates (4/3 on average, the inverse of the threshold) and deals its members to children by
 their minwise token there, so two sets of the threshold's similarity share one child or more on
-average.  A node of at most ``small`` members compares all of their signatures; the closest pairs
+average; the first two levels are taken at once.  A node of at most ``small`` members compares all of their signatures; the closest pairs
 that could reach the threshold become candidates.  A larger node compares its members with a few
 central ones.  It ends there if all members resemble one of these; if few do not, those are compared
 with all members in blocks; else it branches on.  What is still large at the last level is compared
@@ -27,17 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm.components import components
+from tapeloom.llm.hashing import mix
 from tapeloom.llm.shared import byte_slices, discard, durable, whole_groups
 from tapeloom.llm.shingles import shingle_sets
 
 WIDTH, SIMILARITY = 5, (75, 100)
-COORDINATES, TREES, SMALL, LEVELS = 64, 6, 64, 8
+COORDINATES, TREES, SMALL, LEVELS = 64, 5, 512, 5
 #: Share of equal coordinates from which a pair is confirmed, and from which it is taken to be
 #: linked when it is decided whether a large node must branch on.
 HOPEFUL, CERTAIN = 0.5, 0.85
 #: Centres of a large node; partners that a member of a small node proposes besides its centre.
 CENTRES, PARTNERS = 4, 3
-SLICE_BYTES = 2 << 20
+#: Members of a large node among which its centres are chosen, in expectation.
+SAMPLE = 64
+SLICE_BYTES = 1 << 20
 #: Candidate pairs that are confirmed together.
 PAIRS_TOGETHER = 2000
 #: Documents whose ids may be broadcast to pick their texts; beyond it that join is shuffled.
@@ -102,7 +105,7 @@ def _sketches(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 def _agreement(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The share of equal coordinates of each of left with each of right."""
-    return (left[:, None, :] == right[None, :, :]).mean(2)
+    return np.count_nonzero(left[:, None, :] == right[None, :, :], axis=2) / COORDINATES
 
 
 def _pair(one: bytes, two: bytes) -> tuple[bytes, bytes]:
@@ -178,16 +181,16 @@ def _nearest_centre(rows: DataFrame) -> DataFrame:
 
 def document_sets(docs: DataFrame, width: int = WIDTH, trees: int = TREES) -> DataFrame:
     """doc_id, n_shingles, key (a 128-bit fingerprint of the set; null if empty), sig, roots."""
-    roots = [(t, k) for t in range(trees) for k in _root_choice(t)]
+    roots = [path for t in range(trees) for path in _first_paths(t)]
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(batches, "text", SLICE_BYTES):
             sets = shingle_sets(part.column("text"), width)
             sigs = signatures(sets)
             paths = np.empty((len(sets), len(roots)), np.int64)
-            for j, (t, k) in enumerate(roots):
-                salt = np.uint64((0x9E3779B97F4A7C15 * (t * COORDINATES + k + 1)) % 2**64)
-                paths[:, j] = ((sigs[:, k].astype(np.uint64) + np.uint64(1)) * salt).view(np.int64)
+            for j, (one, two) in enumerate(roots):
+                both = sigs[:, one].astype(np.uint64) << np.uint64(32) | sigs[:, two]
+                paths[:, j] = mix(both + np.uint64(0x9E3779B97F4A7C15 * (j + 1) % 2**64)).view(np.int64)
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": part.column("doc_id"),
@@ -202,10 +205,11 @@ def document_sets(docs: DataFrame, width: int = WIDTH, trees: int = TREES) -> Da
     return texts.mapInArrow(sets_of, "doc_id long, n_shingles long, key binary, sig binary, roots array<long>")
 
 
-def _root_choice(tree: int) -> list[int]:
-    """The coordinates that a tree's root chooses: one, and two in every third tree."""
-    order = np.random.default_rng(1000 + tree).permutation(COORDINATES)
-    return order[: 2 if tree % 3 == 0 else 1].tolist()
+def _first_paths(tree: int) -> list[tuple[int, int]]:
+    """The coordinates of a tree's first two levels, which are taken at once: 16/9 paths on average,
+    as two choices of 4/3 make."""
+    order = np.random.default_rng(1000 + tree).permutation(COORDINATES).tolist()
+    return [(order[0], order[1]), (order[2], order[3])][: 1 if tree % 5 == 4 else 2]
 
 
 def candidates(sets: DataFrame, small: int = SMALL, levels: int = LEVELS) -> DataFrame:
@@ -214,59 +218,63 @@ def candidates(sets: DataFrame, small: int = SMALL, levels: int = LEVELS) -> Dat
     sigs = sets.select("key", "sig")
     members = sets.select(F.explode("roots").alias("node"), "key")
     none, one = F.lit(0).cast("long").alias("more"), F.lit(1).cast("long").alias("more")
-    found = []
+    found: list[DataFrame] = []
+    kept_tables: list[DataFrame] = []
     for level in range(levels):
         sizes = members.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         rows = durable(members.join(sizes, "node").join(sigs, "key"), f"nodes{level}")
+        kept_tables.append(rows)
         few = rows.where(F.col("size") <= small).select("node", "key", "sig", none)
-        found.append(durable(_by_node(few, _pairs_within, "a binary, b binary").distinct(), "pairs"))
+        found.append(_by_node(few, _pairs_within, "a binary, b binary"))
         large = rows.where(F.col("size") > small)
         if large.isEmpty():
-            discard(rows)
             break
-        sample = large.where(F.pmod(F.xxhash64("node", "key"), F.col("size")) < small)
+        sample = large.where(F.pmod(F.xxhash64("node", "key"), F.col("size")) < SAMPLE)
         picked = _by_node(
             sample.select("node", "key", "sig", F.col("node").alias("more")), _centres, "node long, key binary, sig binary"
         )
         centres = picked.groupBy("node").agg(F.collect_list(F.struct("key", "sig")).alias("centres"))
         near = durable(_nearest_centre(large.join(centres, "node")), "near")
-        discard(rows)
+        kept_tables.append(near)
         pairs = near.where((F.col("like") >= HOPEFUL) & (F.col("key") != F.col("centre")))
-        found.append(durable(pairs.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct(), "pairs"))
+        found.append(pairs.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")))
         rest = F.col("like") < CERTAIN
         mixed = near.groupBy("node").agg(F.count_if(rest).alias("loose")).where("loose > 0")
-        on = near.join(mixed, "node")
         last = level + 1 == levels
         # few loose members are compared with all others at once, in blocks; else the node branches
         at_once = F.lit(True) if last else F.col("loose") <= small
         blocks = F.greatest(F.lit(1).cast("long"), F.expr(f"size div {small}"))
-        settled = on.where(at_once)
+        settled = near.join(mixed.where(at_once).select("node"), "node", "left_semi")
         every = settled.select("node", "key", "sig", F.pmod(F.xxhash64("key"), blocks).alias("block"), none)
         spread = settled.where(rest).select("node", "key", "sig", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), one)
         both = every.unionByName(spread).withColumn("node", F.xxhash64("node", "block")).drop("block")
-        found.append(durable(_by_node(both, _pairs_with_rest, "a binary, b binary").distinct(), "pairs"))
-        if not last:
-            members = durable(_children(on.where(~at_once)), "members")
-        discard(near)
-        if last or members.isEmpty():
+        found.append(_by_node(both, _pairs_with_rest, "a binary, b binary"))
+        if last:
+            break
+        members = durable(_children(near.join(mixed.where(~at_once).select("node"), "node", "left_semi")), "members")
+        kept_tables.append(members)
+        if members.isEmpty():
             break
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
-    return durable(pairs.distinct(), "candidates")
+    pairs = durable(pairs.distinct(), "candidates")
+    discard(*kept_tables)
+    return pairs
 
 
 def confirmed(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
     """The pairs whose full shingle sets have the similarity.
 
-    Pairs are confirmed together by connected components of candidates, in parts of about
+    Pairs are confirmed together by the least neighbour of their first key, in parts of about
     PAIRS_TOGETHER pairs, so a set travels once for many pairs.
     """
-    groups = components(pairs)
-    placed = pairs.join(groups.withColumnRenamed("node", "a"), "a")
-    sizes = placed.groupBy("component").agg(F.ceil(F.count("*") / PAIRS_TOGETHER).alias("parts"))
-    part = F.pmod(F.xxhash64("a"), F.col("parts"))
-    dealt = durable(placed.join(sizes, "component").select("a", "b", F.xxhash64("component", part).alias("part")), "dealt")
+    both_ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    hubs = both_ways.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("hub"))
+    placed = pairs.join(hubs, "a")
+    sizes = placed.groupBy("hub").agg(F.ceil(F.count("*") / PAIRS_TOGETHER).alias("parts"))
+    part = F.pmod(F.xxhash64("a", "b"), F.col("parts"))
+    dealt = durable(placed.join(sizes, "hub").select("a", "b", F.xxhash64("hub", part).alias("part")), "dealt")
     needed = dealt.select("part", F.explode(F.array("a", "b")).alias("key")).distinct()
     wanted = needed.select("key").distinct()
     where = durable(sets.join(wanted, "key").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "wanted")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.llm import ann, decontaminate, langid, linededup, neardup, packing, pii, quality, tokencount, tokenfile
-from tapeloom.llm.shared import crc32_of, durable_path
+from tapeloom.llm.shared import bounded_batches, crc32_of, durable_path
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
 #: The queries' key; whoever publishes data passes a secret of their own.
@@ -17,6 +17,7 @@ PII_KEY = "tapeloom-query-key"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

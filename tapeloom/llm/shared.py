@@ -25,6 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Have Spark hand texts to Python in batches of about size, so a worker holds little at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+
+
 def durable_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tapeloom/{name}-{uuid.uuid4().hex}"
 
@@ -63,6 +69,7 @@ def byte_slices(
                 start, size = row, 0
             size += n
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
 
 
 def crc32_of(column: str | F.Column) -> F.Column:

@@ -25,9 +25,9 @@ from tapeloom.llm.hashing import run_hashes
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries a worker remembers before it starts afresh.
-CHUNKS, PIECES = 200_000, 700_000
+CHUNKS, PIECES = 50_000, 300_000
 #: Bytes of text that are encoded at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 #: Classes of the bytes of plain text. 0: none; such a text is not plain.
 _SPACE, _NEWLINE, _LETTER, _DIGIT, _PUNCT = 1, 2, 3, 4, 5
