@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.llm import decontaminate, langid, linededup, neardup, packing
-from tapeloom.llm.shared import durable
+from tapeloom.llm.shared import bounded_batches, durable
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learnt from docs; those that are rejected go."""
+    bounded_batches(spark)
     return langid.accepted(docs, langid.fit(docs.select("text", "lang")))
 
 
@@ -42,6 +43,7 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in sequences of 1024 tokens."""
+    bounded_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
