@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm.shared import discard, durable
 
-MAX_ROUNDS = 60
-
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of each node of edges (a, b); component is the least node reachable.
@@ -20,7 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     hi, lo = F.greatest("a", "b"), F.least("a", "b")
     stars = durable(edges.where("a != b").select(hi.alias("hi"), lo.alias("lo")).distinct(), "edges")
     seen = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         both = stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             stars.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )

@@ -9,7 +9,9 @@ that could reach the threshold become candidates.  A larger node compares its me
 central ones.  It ends there if all members resemble one of these; if few do not, those are compared
 with all members in blocks; else it branches on.  What is still large at the last level is compared
 in blocks, so no node is cut short.  Candidates are confirmed on the
-full shingle sets, and the confirmed links give the groups.
+full shingle sets, and the confirmed links give groups.  Then every pair of the compared nodes that
+could reach the threshold and lies in two different groups is confirmed as well: the first,
+linear number of candidates is no cap.
 
 Cases: a text without words, or null, has an empty set and is linked with nothing; a text of fewer
 words than a shingle is one shingle; equal sets are one node, whatever their number of copies;
@@ -141,6 +143,18 @@ def _pairs_with_rest(keys: list[bytes], sigs: np.ndarray, more: list) -> Iterato
                 yield _pair(keys[i], keys[j])
 
 
+def _pairs_between(keys: list[bytes], sigs: np.ndarray, more: list) -> Iterator[tuple[bytes, bytes]]:
+    """All pairs of a row marked in the lowest bit of more and a row of another group (the other
+    bits) that may be similar enough."""
+    marks = np.array(more, np.int64)
+    groups, rest = marks >> 1, np.flatnonzero(marks & 1)
+    if not len(rest) or (groups == groups[0]).all():
+        return
+    apart = groups[rest][:, None] != groups[None, :]
+    for r, j in zip(*np.nonzero(apart & (_agreement(sigs[rest], sigs) >= HOPEFUL)), strict=True):
+        yield _pair(keys[rest[r]], keys[j])
+
+
 def _centres(keys: list[bytes], sigs: np.ndarray, more: list) -> Iterator[tuple[int, bytes, bytes]]:
     """The most central of a sample of members, and others far from those before."""
     like = _agreement(sigs, sigs)
@@ -155,27 +169,27 @@ def _centres(keys: list[bytes], sigs: np.ndarray, more: list) -> Iterator[tuple[
 
 
 def _nearest_centre(rows: DataFrame) -> DataFrame:
-    """rows (node, key, sig, size, centres) with centre and like: the centre a member is closest to."""
+    """rows (node, key, sig, size, centres) with like, a member's agreement with its closest centre,
+    and partners: the centres that it may be similar enough to."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             sigs = _sketches(batch.column("sig"))
-            names, likes = [], []
+            partners, likes = [], []
             for i, centres in enumerate(batch.column("centres").to_pylist()):
                 like = _agreement(sigs[i : i + 1], _sketches(pa.array([c["sig"] for c in centres], pa.binary())))[0]
-                like[[c["key"] == batch.column("key")[i].as_py() for c in centres]] = 2
-                best = int(like.argmax())
-                names.append(centres[best]["key"])
-                likes.append(float(min(like[best], 1)))
+                own = batch.column("key")[i].as_py()
+                partners.append([c["key"] for c, x in zip(centres, like, strict=True) if x >= HOPEFUL and c["key"] != own])
+                likes.append(float(like.max()))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("node", "key", "sig", "size")), pa.array(names, pa.binary()), pa.array(likes)],
-                ["node", "key", "sig", "size", "centre", "like"],
+                [*(batch.column(c) for c in ("node", "key", "sig", "size")), pa.array(partners, pa.list_(pa.binary())), pa.array(likes)],
+                ["node", "key", "sig", "size", "partners", "like"],
             )
 
     return rows.select("node", "key", "sig", "size", "centres").mapInArrow(
-        compare, "node long, key binary, sig binary, size long, centre binary, like double"
+        compare, "node long, key binary, sig binary, size long, partners array<binary>, like double"
     )
 
 
@@ -212,20 +226,26 @@ def _first_paths(tree: int) -> list[tuple[int, int]]:
     return [(order[0], order[1]), (order[2], order[3])][: 1 if tree % 5 == 4 else 2]
 
 
-def candidates(sets: DataFrame, small: int = SMALL, levels: int = LEVELS) -> DataFrame:
+def candidates(sets: DataFrame, small: int = SMALL, levels: int = LEVELS) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
     """(a, b): pairs of keys that share a small node, or a large node's centre, and whose
-    signatures leave a similarity of the threshold possible. sets has key, sig, roots."""
+    signatures leave a similarity of the threshold possible. sets has key, sig, roots.
+
+    Also what was compared, (node, key, sig, more) with 1 in more for those that were compared with
+    all of their node, and the tables behind it.
+    """
     sigs = sets.select("key", "sig")
     members = sets.select(F.explode("roots").alias("node"), "key")
     none, one = F.lit(0).cast("long").alias("more"), F.lit(1).cast("long").alias("more")
     found: list[DataFrame] = []
+    compared: list[DataFrame] = []
     kept_tables: list[DataFrame] = []
     for level in range(levels):
         sizes = members.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         rows = durable(members.join(sizes, "node").join(sigs, "key"), f"nodes{level}")
         kept_tables.append(rows)
-        few = rows.where(F.col("size") <= small).select("node", "key", "sig", none)
+        few = rows.where(F.col("size") <= small).select("node", "key", "sig", one)
         found.append(_by_node(few, _pairs_within, "a binary, b binary"))
+        compared.append(few)
         large = rows.where(F.col("size") > small)
         if large.isEmpty():
             break
@@ -236,7 +256,7 @@ def candidates(sets: DataFrame, small: int = SMALL, levels: int = LEVELS) -> Dat
         centres = picked.groupBy("node").agg(F.collect_list(F.struct("key", "sig")).alias("centres"))
         near = durable(_nearest_centre(large.join(centres, "node")), "near")
         kept_tables.append(near)
-        pairs = near.where((F.col("like") >= HOPEFUL) & (F.col("key") != F.col("centre")))
+        pairs = near.select("key", F.explode("partners").alias("centre"))
         found.append(pairs.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")))
         rest = F.col("like") < CERTAIN
         mixed = near.groupBy("node").agg(F.count_if(rest).alias("loose")).where("loose > 0")
@@ -249,6 +269,7 @@ def candidates(sets: DataFrame, small: int = SMALL, levels: int = LEVELS) -> Dat
         spread = settled.where(rest).select("node", "key", "sig", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), one)
         both = every.unionByName(spread).withColumn("node", F.xxhash64("node", "block")).drop("block")
         found.append(_by_node(both, _pairs_with_rest, "a binary, b binary"))
+        compared.append(both)
         if last:
             break
         members = durable(_children(near.join(mixed.where(~at_once).select("node"), "node", "left_semi")), "members")
@@ -258,9 +279,21 @@ def candidates(sets: DataFrame, small: int = SMALL, levels: int = LEVELS) -> Dat
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
-    pairs = durable(pairs.distinct(), "candidates")
-    discard(*kept_tables)
-    return pairs
+    return durable(pairs.distinct(), "candidates"), compared, kept_tables
+
+
+def left_out(compared: list[DataFrame], groups: DataFrame) -> DataFrame:
+    """(a, b): pairs that may be similar enough and lie in different groups (node, component)."""
+    found = []
+    for rows in compared:
+        own = rows.join(groups.withColumnRenamed("node", "key"), "key", "left")
+        group = F.xxhash64(F.coalesce("component", "key"))
+        marked = own.select("node", "key", "sig", F.shiftleft(group, 1).bitwiseOR(F.col("more")).alias("more"))
+        found.append(_by_node(marked, _pairs_between, "a binary, b binary"))
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    return pairs.distinct()
 
 
 def confirmed(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
@@ -317,6 +350,18 @@ def confirmed(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, si
     return rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(compare, "a binary, b binary")
 
 
+def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """groups (node, component) with those put together that links (a, b) connect."""
+    of = lambda end: groups.select(F.col("node").alias(end), F.col("component").alias(f"{end}_group"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    between = ends.select(F.coalesce("a_group", "a").alias("a"), F.coalesce("b_group", "b").alias("b"))
+    larger = durable(components(between), "larger").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    moved = groups.join(larger, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    # what had no group yet
+    alone = larger.join(groups.select(F.col("component")), "component", "left_anti")
+    return moved.unionByName(alone.select(F.col("component").alias("node"), F.col("whole").alias("component")))
+
+
 def near_duplicates(
     docs: DataFrame,
     width: int = WIDTH,
@@ -328,9 +373,13 @@ def near_duplicates(
     """doc_id, n_shingles, component_id (the least doc_id of its group), kept."""
     rows = durable(document_sets(docs, width, trees), "sets")
     sets = durable(rows.where("key is not null").dropDuplicates(["key"]).select("key", "sig", "roots"), "distinct")
-    pairs = candidates(sets, small, levels)
-    links = confirmed(docs, rows.select("key", "doc_id").where("key is not null"), pairs, width, similarity)
-    groups = components(durable(links, "links"))
+    named = rows.select("key", "doc_id").where("key is not null")
+    pairs, compared, tables = candidates(sets, small, levels)
+    groups = durable(components(durable(confirmed(docs, named, pairs, width, similarity), "links")), "groups")
+    others = durable(left_out(compared, groups).join(pairs, ["a", "b"], "left_anti"), "others")
+    discard(*tables)
+    if not others.isEmpty():
+        groups = _joined(groups, durable(confirmed(docs, named, others, width, similarity), "more_links"))
     own = rows.select("doc_id", "n_shingles", "key").join(groups.withColumnRenamed("node", "key"), "key", "left")
     own = durable(own.withColumn("group", F.coalesce("component", "key")).drop("component", "key"), "grouped")
     least = own.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
