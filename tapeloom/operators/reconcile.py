@@ -47,6 +47,17 @@ def compare(left: DataFrame, right: DataFrame, keys: list[str], values: list[str
     )
 
 
+def _parts(left: DataFrame, right: DataFrame, keys: list[str], within: float) -> DataFrame:
+    """Rows of both feeds (side 0 and 1) in parts of a key that no match of at most within seconds
+    crosses: a new part begins after a longer pause. Parts with rows of one side only go."""
+    both = left.select(*keys, "id", "t", F.lit(0).alias("side")).unionByName(right.select(*keys, "id", "t", F.lit(1).alias("side")))
+    w = Window.partitionBy(*keys).orderBy("t")
+    cut = F.when(F.col("t") - F.lag("t").over(w) > within, 1).otherwise(0)
+    parts = both.withColumn("_cut", cut).withColumn("_part", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    own = Window.partitionBy(*keys, "_part")
+    return parts.withColumn("_two", F.min("side").over(own) != F.max("side").over(own)).where("_two").drop("_two", "_cut")
+
+
 def nearest_matches(left: DataFrame, right: DataFrame, keys: list[str], within: float) -> DataFrame:
     """(left_id, right_id): pairs of equal keys at most within seconds apart, each row used once,
     closest pairs first (ties: smaller ids). Both have id and t (seconds).
@@ -54,13 +65,7 @@ def nearest_matches(left: DataFrame, right: DataFrame, keys: list[str], within:
     A group holds the trades of one price and quantity; groups are cut where neither side has a
     row for longer than within, so a task never needs a price's whole history.
     """
-    both = left.select(*keys, "id", "t", F.lit(0).alias("side")).unionByName(right.select(*keys, "id", "t", F.lit(1).alias("side")))
-    w = Window.partitionBy(*keys).orderBy("t")
-    cut = F.when(F.col("t") - F.lag("t").over(w) > within, 1).otherwise(0)
-    parts = both.withColumn("_cut", cut).withColumn("_part", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-
-    own = Window.partitionBy(*keys, "_part")
-    parts = parts.withColumn("_two", F.min("side").over(own) != F.max("side").over(own)).where("_two").drop("_two")
+    parts = _parts(left, right, keys, within)
 
     def match(frame: pd.DataFrame) -> pd.DataFrame:
         a, b = frame[frame.side == 0], frame[frame.side == 1]
@@ -82,10 +87,10 @@ def nearest_matches(left: DataFrame, right: DataFrame, keys: list[str], within:
 def aligned(left: DataFrame, right: DataFrame, keys: list[str], early: float, late: float) -> DataFrame:
     """(left_id, right_id): the longest order-keeping alignment of two feeds by key, with the least
     total time difference, where right may come early seconds before or late seconds after left."""
-    both = left.select(*keys, "id", "t").groupBy(*keys).cogroup(right.select(*keys, "id", "t").groupBy(*keys))
 
-    def align(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values(["t", "id"]), b.sort_values(["t", "id"])
+    def align(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["t", "id"])
+        a, b = frame[frame.side == 0], frame[frame.side == 1]
         ta, tb = a.t.tolist(), b.t.tolist()
         best = [[(0, 0.0)] * (len(tb) + 1) for _ in range(len(ta) + 1)]
         for i in range(len(ta) - 1, -1, -1):
@@ -110,4 +115,5 @@ def aligned(left: DataFrame, right: DataFrame, keys: list[str], early: float, la
                 j += 1
         return pd.DataFrame(out, columns=["left_id", "right_id"])
 
-    return both.applyInPandas(align, "left_id long, right_id long")
+    parts = _parts(left, right, keys, max(early, late))
+    return parts.groupBy(*keys, "_part").applyInPandas(align, "left_id long, right_id long")
