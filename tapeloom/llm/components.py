@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm.shared import discard, durable
 
+#: Edges that one task writes, about.
+EDGES_TOGETHER = 200_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of each node of edges (a, b); component is the least node reachable.
@@ -18,6 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
     hi, lo = F.greatest("a", "b"), F.least("a", "b")
     stars = durable(edges.where("a != b").select(hi.alias("hi"), lo.alias("lo")).distinct(), "edges")
     seen = None
+    parts = 8 + stars.count() // EDGES_TOGETHER  # a round never adds edges
     while True:
         both = stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             stars.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
@@ -27,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
         roots = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(roots, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         kept = roots.select("hi", F.col("m").alias("lo"))
-        after = durable(moved.unionByName(kept).distinct(), "stars")
+        after = durable(moved.unionByName(kept).distinct().coalesce(parts), "stars")
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         discard(stars)
         stars = after

@@ -284,16 +284,13 @@ def candidates(sets: DataFrame, small: int = SMALL, levels: int = LEVELS) -> tup
 
 def left_out(compared: list[DataFrame], groups: DataFrame) -> DataFrame:
     """(a, b): pairs that may be similar enough and lie in different groups (node, component)."""
-    found = []
-    for rows in compared:
-        own = rows.join(groups.withColumnRenamed("node", "key"), "key", "left")
-        group = F.xxhash64(F.coalesce("component", "key"))
-        marked = own.select("node", "key", "sig", F.shiftleft(group, 1).bitwiseOR(F.col("more")).alias("more"))
-        found.append(_by_node(marked, _pairs_between, "a binary, b binary"))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    return pairs.distinct()
+    rows = compared[0]
+    for more in compared[1:]:  # node ids of different tables are different hashes
+        rows = rows.unionByName(more)
+    own = rows.join(groups.withColumnRenamed("node", "key"), "key", "left")
+    group = F.xxhash64(F.coalesce("component", "key"))
+    marked = own.select("node", "key", "sig", F.shiftleft(group, 1).bitwiseOR(F.col("more")).alias("more"))
+    return _by_node(marked, _pairs_between, "a binary, b binary").distinct()
 
 
 def confirmed(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
@@ -379,7 +376,9 @@ def near_duplicates(
     others = durable(left_out(compared, groups).join(pairs, ["a", "b"], "left_anti"), "others")
     discard(*tables)
     if not others.isEmpty():
-        groups = _joined(groups, durable(confirmed(docs, named, others, width, similarity), "more_links"))
+        links = durable(confirmed(docs, named, others, width, similarity), "more_links")
+        if not links.isEmpty():
+            groups = _joined(groups, links)
     own = rows.select("doc_id", "n_shingles", "key").join(groups.withColumnRenamed("node", "key"), "key", "left")
     own = durable(own.withColumn("group", F.coalesce("component", "key")).drop("component", "key"), "grouped")
     least = own.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
