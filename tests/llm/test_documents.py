@@ -112,6 +112,27 @@ def test_repeated_chunks_leave_once(spark):
     assert linededup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_passages_of_short_lines_leave_everywhere(spark):
+    rows, passages = [], {}
+    for n in range(2, 7):  # lines of a passage of over 50 words
+        for p in range(4):
+            passages[n, p] = [words(60 // n + k % 2, f"{n} {p} {k}") for k in range(n)]
+            for copy in range(5):
+                r = random.Random(f"{n} {p} {copy}")
+                private = lambda: [words(r.randrange(2, 9), r.random(), 10**6) for _ in range(r.randrange(1, 8))]
+                rows.append((len(rows), "\n".join([*private(), *passages[n, p], *private()])))
+    again = "\n".join([words(10, 7)] * 20)
+    rows.append((len(rows), again))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    done = {r.doc_id: r for r in linededup.dedup_lines(docs).collect()}
+    for i, (_, text) in enumerate(rows[:-1]):
+        passage = list(passages.values())[i // 5]
+        gone = set() if i % 5 == 0 else set(passage)
+        assert done[i].text.split("\n") == [line for line in text.split("\n") if line not in gone]
+        assert done[i].lines_removed == len(gone)
+    assert set(done[len(rows) - 1].text.split("\n")) == {words(10, 7)}
+
+
 def test_chunks_cover_all_lines():
     text = "\n".join(words(n, n) for n in (3, 70, 1, 2, 9, 60, 80, 4))
     chunks = linededup.chunks_of(text)
