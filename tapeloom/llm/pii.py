@@ -6,7 +6,8 @@ permutation of their own format: a Feistel network over the value's digits (each
 with check digits computed anew.  Equal values get equal pseudonyms in every document, whatever
 their separators; without the key they cannot be undone.
 
-Cases: null and empty texts stay; a candidate that fails its check is left as it is; dates outside
+Cases: null and empty texts stay; a candidate that fails its check is left as it is, and hides no
+shorter or other value that begins in it; dates outside
 1900 to 2099 are left; repeated rows are treated alike; an empty table gives no rows; all columns of
 docs are kept.
 """
@@ -19,18 +20,57 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 KINDS = ("email", "ip", "iban", "secret", "card", "national", "phone", "date")
 
-#: What each kind looks like. Runs are possessive, so a scan never goes back over a long run.
-_SHAPES = {
+#: Values that have no check; they are taken first. Runs are possessive, so a scan never goes back over a long run.
+_PLAIN = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
-    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "secret": r"(?<!\w)[0-9a-f]{32,}+(?!\w)|(?<!\w)[0-9A-F]{32,}+(?!\w)",
-    "card": r"(?<![\w+])\d(?:[ -]?\d){12,18}(?!\w)",
-    "national": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w+])(?:\+?\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)",
-    "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}([./-])\d{1,2}\1\d{4})(?![\w/-]|\.\d)",
 }
-PATTERN = "|".join(_SHAPES.values()).replace(r"\1", r"\k<sep>").replace(r"([./-])", r"(?<sep>[./-])")
+PATTERN = "|".join(_PLAIN.values())
+#: Characters of an IBAN by country.
+_IBAN = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_PHONE = r"(?<![\w+])(?:\+?\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)"
+
+
+def _iban_shape() -> str:
+    sizes = (f"(?:{names.replace(' ', '|')})\\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, names in _IBAN.items())
+    return rf"(?<!\w)(?:{'|'.join(sizes)})(?!\w)"
+
+
+def _grouped(*sizes: int) -> str:
+    """A card's digits in groups of these sizes with one separator throughout."""
+    name = "g" + "x".join(map(str, sizes))
+    return rf"(?<![\w+])\d{{{sizes[0]}}}(?<{name}>[ -])" + rf"\k<{name}>".join(rf"\d{{{n}}}" for n in sizes[1:]) + r"(?!\w)"
+
+
+#: (kind, shape) of values that may fail a check, in order of preference at a place; none is longer than REACH.
+_TIGHT = [
+    ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"),
+    ("iban", _iban_shape()),
+    ("national", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
+    ("date", r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}(?<sep>[./-])\d{1,2}\k<sep>\d{4})(?![\w/-]|\.\d)"),
+    ("phone", _PHONE),
+    ("phone", r"(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w|[./-]\d)"),
+    ("phone", r"(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)"),
+    ("card", _grouped(4, 4, 4, 4)),
+    ("card", _grouped(4, 6, 5)),
+    ("card", _grouped(4, 6, 4)),
+    ("card", r"(?<![\w+])\d{13,19}(?!\w)"),
+    ("card", _grouped(4, 4, 4, 4, 3)),
+]
+#: Other layouts, taken only where no tight value is.
+_LOOSE = [
+    ("iban", r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
+    ("card", r"(?<![\w+])\d(?:[ -]?\d){15}(?!\w)"),
+    ("card", r"(?<![\w+])\d(?:[ -]?\d){14}(?!\w)"),
+    ("card", r"(?<![\w+])\d(?:[ -]?\d){12,18}(?!\w)"),
+]
+REACH = 64
+#: The places at which one of them may begin.
+STARTS = "(?=" + "|".join(shape for _, shape in [*_TIGHT, *_LOOSE]) + ")"
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Days from 1900-01-01 to 2099-12-31 are 73,049, which is 229 * 319.
@@ -100,28 +140,59 @@ def _date_parts(m: str) -> str:
     return f"if({m} rlike '^\\\\d{{4}}-', try_to_date({m}, 'yyyy-MM-dd'), coalesce({dmy}, {mdy}))"
 
 
-def _full(kind: str) -> str:
-    shape = _SHAPES[kind].replace("\\", "\\\\")
-    return f"rlike '^(?:{shape})$'"
-
-
-def kind_of(m: str) -> str:
-    """SQL: the kind of the candidate m, or null if it is none."""
-    digits = _only(m, "0-9")
+def _checked(m: str, kind: str) -> str:
+    """SQL: whether the candidate m of a kind passes its check."""
     iban = f"replace({m}, ' ', '')"
     day = f"datediff({_date_parts(m)}, date'1900-01-01')"
     return (
-        f"case when instr({m}, '@') > 0 then 'email' "
-        f"when {m} {_full('ip')} and forall(split({m}, '[.]'), o -> cast(o as int) < 256) then 'ip' "
-        f"when {m} {_full('iban')} and {_mod97(f'concat(substr({iban}, 5), substr({iban}, 1, 4))')} = 1 then 'iban' "
-        f"when {m} {_full('secret')} then 'secret' "
-        f"when {m} {_full('card')} and {_luhn(digits, 0)} % 10 = 0 then 'card' "
-        f"when {m} {_full('national')} then 'national' "
-        f"when {m} {_full('phone')} then 'phone' "
-        f"when {m} {_full('date')} and {day} between 0 and {_DAYS - 1} then 'date' end"
+        f"case {kind} when 'ip' then forall(split({m}, '[.]'), o -> cast(o as int) < 256) "
+        f"when 'iban' then {_mod97(f'concat(substr({iban}, 5), substr({iban}, 1, 4))')} = 1 "
+        f"when 'card' then {_luhn(_only(m, '0-9'), 0)} % 10 = 0 "
+        f"when 'date' then coalesce({day} between 0 and {_DAYS - 1}, false) else true end"
     )
 
 
+def _first_valid(near: str, shapes: list[tuple[str, str]]) -> str:
+    """SQL: (m, kind) of the first shape that a value has that begins at the second character of
+    near and passes its check, or null."""
+    found = (f"named_struct('m', regexp_extract({near}, {_quoted('^[\\s\\S](' + shape + ')')}, 1), 'kind', '{kind}')" for kind, shape in shapes)
+    return f"get(filter(array({', '.join(found)}), c -> c.m != '' and {_checked('c.m', 'c.kind')}), 0)"
+
+
+def _taken(places: str, kind: str) -> str:
+    """SQL: of places (at, value, loose), in order, the values that begin behind the one taken before."""
+    own = f"named_struct('at', x.at, 'm', x.{kind}.m, 'kind', x.{kind}.kind)"
+    step = f"if(x.{kind} is null or x.at < s.free, s, named_struct('free', x.at + length(x.{kind}.m), 'out', concat(s.out, array({own}))))"
+    none = "cast(array() as array<struct<at:int,m:string,kind:string>>)"
+    return f"aggregate({places}, named_struct('free', 0, 'out', {none}), (s, x) -> {step}, s -> s.out)"
+
+
+def tokens(gap: str) -> str:
+    """SQL: a text as an array of (m, kind) that makes it up, kind null for what is no value.
+
+    Every place where a shape may begin is looked at by itself, so a candidate that fails its check
+    hides no other. Tight values are taken from left to right, loose ones where they overlap none.
+    """
+    segments = f"split({gap}, {_quoted(STARTS)}, -1)"
+    heads = f"transform(p.segs, x -> substr(x, 1, {REACH}))"
+    at = "aggregate(p.segs, named_struct('n', 0, 'out', cast(array() as array<int>)), (s, x) -> named_struct('n', s.n + length(x), 'out', concat(s.out, array(s.n))), s -> s.out)"
+    near = f"concat(if(i = 0, ' ', right(get(p.segs, i - 1), 1)), substr(array_join(slice(q.heads, i + 1, {REACH}), ''), 1, {REACH}))"
+    valued = f"named_struct('at', get(q.at, i), 'tight', {_first_valid('n', _TIGHT)}, 'loose', {_first_valid('n', _LOOSE)})"
+    places = f"filter(transform(q.heads, (h, i) -> transform(array({near}), n -> {valued})[0]), x -> x.tight is not null or x.loose is not null)"
+    apart = "forall(t.tight, y -> x.at + length(x.loose.m) <= y.at or y.at + length(y.m) <= x.at)"
+    loose = _taken(f"filter(t.places, x -> x.loose is not null and {apart})", "loose")
+    hits = f"array_sort(concat(t.tight, {loose}))"
+    cut = f"flatten(array(transform(h, (y, j) -> named_struct('before', if(j = 0, 0, get(h, j - 1).at + length(get(h, j - 1).m)), 'hit', y))))"
+    parts = f"flatten(transform({cut}, c -> array(named_struct('m', substr(g, c.before + 1, c.hit.at - c.before), 'kind', cast(null as string)), named_struct('m', c.hit.m, 'kind', c.hit.kind))))"
+    last = "named_struct('m', substr(g, if(size(h) = 0, 0, element_at(h, -1).at + length(element_at(h, -1).m)) + 1), 'kind', cast(null as string))"
+    whole = f"transform(array({hits}), h -> concat({parts}, array({last})))[0]"
+    whole = f"transform(array(named_struct('places', places, 'tight', {_taken('places', 'tight')})), t -> {whole})[0]"
+    whole = f"transform(array({places}), places -> {whole})[0]"
+    whole = f"transform(array(named_struct('heads', {heads}, 'at', {at})), q -> {whole})[0]"
+    plain = "array(named_struct('m', g, 'kind', cast(null as string)))"
+    return f"transform(array({gap}), g -> if(g rlike {_quoted(STARTS)}, transform(array(named_struct('segs', {segments.replace(gap, 'g', 1)})), p -> {whole})[0], {plain}))[0]"
+
+
 def pseudonym(m: str, kind: str, key: str) -> str:
     """SQL: the pseudonym of m, a candidate of a kind."""
     digits = _only(m, "0-9")
@@ -165,14 +236,14 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     wrapped = docs.select(F.struct("*").alias("doc"), docs["text"].cast("string").alias("text"))
     may = F.col("text").rlike(r"[0-9@]|[0-9a-fA-F]{32}")
     found = F.when(may, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
-    listed = wrapped.select("doc", "text", found.alias("found"))
-    named = listed.withColumn("named", F.expr(f"transform(found, m -> named_struct('m', m, 'kind', {kind_of('m')}))"))
+    listed = wrapped.select("doc", "text", found.alias("found"), F.when(may, F.split("text", PATTERN, -1)).alias("gaps"))
+    plain = "named_struct('m', m, 'kind', if(instr(m, '@') > 0, 'email', 'secret'))"
+    own = f"transform(gaps, (piece, i) -> concat({tokens('piece')}, if(i < size(found), transform(slice(found, i + 1, 1), m -> {plain}), array())))"
+    named = listed.withColumn("named", F.expr(f"flatten({own})"))
     has = F.exists("named", lambda x: x["kind"].isNotNull())
-    new = F.when(has, F.expr(f"transform(named, hit -> {pseudonym('hit.m', 'hit.kind', key)})"))
+    new = F.when(has, F.expr(f"array_join(transform(named, hit -> if(hit.kind is null, hit.m, {pseudonym('hit.m', 'hit.kind', key)})), '')"))
     done = named.withColumn("new", new)
-    gaps = F.split("text", PATTERN, -1)
-    joined = F.concat(gaps[0], F.array_join(F.zip_with("new", F.slice(gaps, 2, F.greatest(F.size("new"), F.lit(0))), lambda n, g: F.concat(n, g)), ""))
-    text = F.when(F.col("new").isNull(), F.col("text")).otherwise(joined)
+    text = F.coalesce("new", "text")
     columns = [text.alias(c) if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
 
     def count(kind: str) -> Column:

@@ -213,6 +213,30 @@ def test_pseudonyms(spark):
     assert again[2] != done[2].text
 
 
+def test_values_beside_values_get_pseudonyms(spark):
+    card, iban, day, number, phone, ip = "4111 1111 1111 1111", "BE68539007547034", "2024-01-05", "123-45-6789", "555-123-4567", "10.1.2.3"
+    austrian = "AT61 1904 3002 3457 3201"
+    texts = {
+        1: (f"card {card} 123", {"card": 1}), 2: (f"{day} 2024-01-06", {"date": 2}), 3: (f"{number} {phone}", {"national": 1, "phone": 1}),
+        4: (f"pay {iban} EUR 20", {"iban": 1}), 5: (f"pay {austrian} EUR 20 to {iban}", {"iban": 2}), 6: (f"5 {number} {phone}, {card} {day}", {"national": 1, "phone": 1, "card": 1, "date": 1}),
+        7: (f"+32 470 12 34 56 {day} {ip}", {"phone": 1, "date": 1, "ip": 1}), 8: (f"a%{card}@x1.com😀 {day}", {"card": 1, "date": 1}),
+        9: (f"{card}", {"card": 1}), 10: (f"{day}", {"date": 1}), 11: (f"{number}", {"national": 1}), 12: (f"{phone}", {"phone": 1}), 13: (f"{iban}", {"iban": 1}),
+        14: ("4111 1111 1111 1112 123, 300.1.1.1 and 9999-99-99", {}), 15: ("41 11 1111 1111 1111 11", {"card": 1}),
+    }
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    done = {r.doc_id: r for r in pii.pseudonymise(docs, "k").collect()}
+    for i, (text, counts) in texts.items():
+        if i != 8:
+            assert {k: n for k in pii.KINDS if (n := done[i][f"n_{k}"])} == counts, (text, done[i])
+        for value in (card, iban, austrian, day, "2024-01-06", number, phone, "470 12 34 56", ip):
+            assert value not in text or value not in done[i].text, (text, done[i].text)
+    new = {k: done[i].text for k, i in (("card", 9), ("day", 10), ("number", 11), ("phone", 12), ("iban", 13))}
+    assert done[1].text == f"card {new['card']} 123" and done[2].text.startswith(new["day"] + " ")
+    assert done[3].text == f"{new['number']} {new['phone']}" and done[4].text == f"pay {new['iban']} EUR 20"
+    assert done[6].text == f"5 {new['number']} {new['phone']}, {new['card']} {new['day']}" and done[5].text.endswith(f" EUR 20 to {new['iban']}")
+    assert done[14].text == texts[14][0] and done[8].text.endswith(f"😀 {new['day']}")
+
+
 def test_feistel_is_a_permutation(spark):
     sql = pii._feistel("array(id div 13, id % 13)", "array(7, 13)", "key")
     got = [tuple(r.v) for r in spark.range(91).selectExpr(f"{sql} as v").collect()]
