@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,30 +48,45 @@ def compare(left: DataFrame, right: DataFrame, keys: list[str], values: list[str
     )
 
 
-def _parts(left: DataFrame, right: DataFrame, keys: list[str], within: float) -> DataFrame:
-    """Rows of both feeds (side 0 and 1) in parts of a key that no match of at most within seconds
-    crosses: a new part begins after a longer pause. Parts with rows of one side only go."""
+def _parts(left: DataFrame, right: DataFrame, keys: list[str], early: float, late: float) -> DataFrame:
+    """Rows of both feeds (side 0 and 1) in parts of a key that no admissible pair crosses: one
+    whose right row comes at most early seconds before or late seconds after its left row. Parts
+    with rows of one side only go."""
     both = left.select(*keys, "id", "t", F.lit(0).alias("side")).unionByName(right.select(*keys, "id", "t", F.lit(1).alias("side")))
-    w = Window.partitionBy(*keys).orderBy("t")
-    cut = F.when(F.col("t") - F.lag("t").over(w) > within, 1).otherwise(0)
-    parts = both.withColumn("_cut", cut).withColumn("_part", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    w = Window.partitionBy(*keys).orderBy("t", "side", "id")
+    past, future = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(0, Window.unboundedFollowing)
+    of = lambda side: F.when(F.col("side") == side, F.col("t"))
+    # the next row of one side, and the last of the other
+    ahead = F.first(of(1), ignorenulls=True).over(future) - F.last(of(0), ignorenulls=True).over(past)
+    behind = F.first(of(0), ignorenulls=True).over(future) - F.last(of(1), ignorenulls=True).over(past)
+    crossed = F.coalesce(ahead <= late, F.lit(False)) | F.coalesce(behind <= early, F.lit(False))
+    parts = both.withColumn("_cut", (~crossed).cast("int")).withColumn("_part", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     own = Window.partitionBy(*keys, "_part")
     return parts.withColumn("_two", F.min("side").over(own) != F.max("side").over(own)).where("_two").drop("_two", "_cut")
 
 
+def _bands(ta: np.ndarray, tb: np.ndarray, early: float, late: float) -> tuple[np.ndarray, np.ndarray]:
+    """Where the admissible rows of tb begin and end for each of ta; both are in order."""
+    return np.searchsorted(tb, ta - early, "left"), np.searchsorted(tb, ta + late, "right")
+
+
 def nearest_matches(left: DataFrame, right: DataFrame, keys: list[str], within: float) -> DataFrame:
     """(left_id, right_id): pairs of equal keys at most within seconds apart, each row used once,
     closest pairs first (ties: smaller ids). Both have id and t (seconds).
 
-    A group holds the trades of one price and quantity; groups are cut where neither side has a
-    row for longer than within, so a task never needs a price's whole history.
+    A group holds the trades of one price and quantity; groups are cut where no pair within the
+    bound crosses, and only such pairs are formed.
     """
-    parts = _parts(left, right, keys, within)
+    parts = _parts(left, right, keys, within, within)
 
     def match(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["t", "id"])
         a, b = frame[frame.side == 0], frame[frame.side == 1]
-        pairs = a.merge(b, how="cross", suffixes=("_a", "_b"))
-        pairs["d"] = (pairs.t_a - pairs.t_b).abs()
+        low, high = _bands(a.t.to_numpy(), b.t.to_numpy(), within, within)
+        n = high - low
+        one = np.repeat(np.arange(len(a)), n)
+        two = np.arange(len(one)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        pairs = pd.DataFrame({"id_a": a.id.to_numpy()[one], "id_b": b.id.to_numpy()[two], "d": np.abs(a.t.to_numpy()[one] - b.t.to_numpy()[two])})
         used_a: set = set()
         used_b: set = set()
         out = []
@@ -86,34 +102,49 @@ def nearest_matches(left: DataFrame, right: DataFrame, keys: list[str], within:
 
 def aligned(left: DataFrame, right: DataFrame, keys: list[str], early: float, late: float) -> DataFrame:
     """(left_id, right_id): the longest order-keeping alignment of two feeds by key, with the least
-    total time difference, where right may come early seconds before or late seconds after left."""
+    total time difference, where right may come early seconds before or late seconds after left.
+
+    The programme's table holds the admissible pairs of a part only."""
 
     def align(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["t", "id"])
         a, b = frame[frame.side == 0], frame[frame.side == 1]
-        ta, tb = a.t.tolist(), b.t.tolist()
-        best = [[(0, 0.0)] * (len(tb) + 1) for _ in range(len(ta) + 1)]
-        for i in range(len(ta) - 1, -1, -1):
-            for j in range(len(tb) - 1, -1, -1):
-                options = [best[i + 1][j], best[i][j + 1]]
-                d = tb[j] - ta[i]
-                if -early <= d <= late:
-                    n, cost = best[i + 1][j + 1]
-                    options.append((n + 1, cost - abs(d)))
-                best[i][j] = max(options)
+        ta, tb, ia, ib = a.t.to_numpy(), b.t.to_numpy(), a.id.tolist(), b.id.tolist()
+        lows, highs = (x.tolist() for x in _bands(ta, tb, early, late))
+        # row i: number and cost of the best alignment from a[i] and b[j] on, for j in its band and behind it;
+        # earlier b match nothing from a[i] on
+        counts, costs = [np.zeros(1, np.int32)] * (len(ia) + 1), [np.zeros(1)] * (len(ia) + 1)
+
+        def at(i: int, j: int) -> tuple[int, float]:
+            k = max(j - lows[i], 0) if i < len(ia) else 0
+            return counts[i][k], costs[i][k]
+
+        def matched(i: int, j: int) -> tuple[int, float]:
+            n, cost = at(i + 1, j + 1)
+            return n + 1, cost - abs(tb[j] - ta[i])
+
+        for i in range(len(ia) - 1, -1, -1):
+            low, high = lows[i], highs[i]
+            n, cost = np.empty(high - low + 1, np.int32), np.empty(high - low + 1)
+            best = at(i + 1, high)
+            n[-1], cost[-1] = best
+            for j in range(high - 1, low - 1, -1):
+                best = max(at(i + 1, j), best, matched(i, j))
+                n[j - low], cost[j - low] = best
+            counts[i], costs[i] = n, cost
         i = j = 0
         out = []
-        while i < len(ta) and j < len(tb):
-            d = tb[j] - ta[i]
-            n, cost = best[i + 1][j + 1]
-            if -early <= d <= late and best[i][j] == (n + 1, cost - abs(d)):
-                out.append((a.id.iloc[i], b.id.iloc[j]))
+        while i < len(ia) and j < len(ib):
+            if j < lows[i]:
+                j = lows[i]
+            elif j < highs[i] and at(i, j) == matched(i, j):
+                out.append((ia[i], ib[j]))
                 i, j = i + 1, j + 1
-            elif best[i][j] == best[i + 1][j]:
+            elif at(i, j) == at(i + 1, j):
                 i += 1
             else:
                 j += 1
         return pd.DataFrame(out, columns=["left_id", "right_id"])
 
-    parts = _parts(left, right, keys, max(early, late))
+    parts = _parts(left, right, keys, early, late)
     return parts.groupBy(*keys, "_part").applyInPandas(align, "left_id long, right_id long")

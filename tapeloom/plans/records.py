@@ -135,8 +135,7 @@ def jn_nearest_once(spark, d):
 def jn_order_keeping_alignment(spark, d):
     """No SQL: a dynamic programme a group. tests hold it against a plain search."""
     a, b = _feeds(spark, d)
-    day = F.floor(F.col("t") / 86400)
-    return C.aligned(a.withColumn("day", day), b.withColumn("day", day), ["event_type", "fp", "day"], 60.0, 600.0)
+    return C.aligned(a, b, ["event_type", "fp"], 60.0, 600.0)
 
 
 @R.add(

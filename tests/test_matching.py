@@ -72,3 +72,29 @@ def test_matching_of_nothing(spark):
     a, b = frames(spark, [], [])
     assert reconcile.nearest_matches(a, b, ["k"], 5.0).count() == 0
     assert reconcile.aligned(a, b, ["k"], 5.0, 5.0).count() == 0
+
+
+def test_feeds_are_matched_across_midnight(spark, tmp_path):
+    import datetime
+
+    from tapeloom.plans import records
+
+    at = datetime.datetime
+    rows = [(1, 2, at(2024, 1, 1, 23, 59, 50), "click", 5.0), (2, 3, at(2024, 1, 2, 0, 0, 5), "click", 6.0), (3, 3, at(2024, 1, 5, 0, 0, 5), "click", 6.0)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, event_type string, value double")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    for query in (records.jn_order_keeping_alignment, records.jn_nearest_once):
+        assert [tuple(r) for r in query(spark, str(tmp_path)).collect()] == [(1, 2)]
+
+
+def test_long_dense_feeds_have_the_best_alignment(spark):
+    r = random.Random(5)
+    a, b = ([("x", i, float(i * 5 + r.randrange(5))) for i in range(n)] for n in (400, 380))
+    best = [[(0, 0.0)] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, j in itertools.product(range(len(a) - 1, -1, -1), range(len(b) - 1, -1, -1)):
+        d = b[j][2] - a[i][2]
+        n, cost = best[i + 1][j + 1]
+        best[i][j] = max(best[i + 1][j], best[i][j + 1], *([(n + 1, cost - abs(d))] if -10 <= d <= 60 else []))
+    got = reconcile.aligned(*frames(spark, a, b), ["k"], 10.0, 60.0).collect()
+    assert (len(got), -sum(abs(b[j][2] - a[i][2]) for i, j in got)) == best[0][0]
+    assert {tuple(x) for x in reconcile.nearest_matches(*frames(spark, a, b), ["k"], 25.0).collect()} == plain_nearest(a, b, 25.0)
