@@ -1,7 +1,9 @@
 """Hierarchical best-fit packing of documents into sequences of bounded length.
 
-Documents become pieces of at most ``capacity`` tokens.  Every partition packs its own pieces by
-best fit, largest first, and emits the bins that are nearly full.  The emptiest other bins go on
+Documents become pieces of at most ``capacity`` tokens.  They are dealt evenly by a hash, over as
+many partitions as their number and tokens ask for, so neither the order of the input nor its files
+matter.  Every partition packs its own pieces by best fit, largest first, and emits the bins that
+are nearly full.  The emptiest other bins go on
 as single items to fewer partitions, are packed again, and so on up a tree.  A round sends on at
 most ``keep`` bins a partition; all others are emitted as they are, so no task ever holds more
 than fan_in * keep bins, and no piece is lost.
@@ -27,6 +29,8 @@ from tapeloom.llm.shared import byte_slices, durable
 from tapeloom.llm.tokenize import SLICE_BYTES, encoder
 
 CAPACITY, FAN_IN, KEEP, SLACK = 1024, 8, 2048, 0.01
+#: Tokens and pieces of a partition of the first round, about.
+PART_TOKENS, PART_PIECES = 4_000_000, 50_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length int, ids_crc32 long"
 MEMBER = "struct<doc_id:long,piece:int,start:long,length:int,ids_crc32:long>"
 
@@ -130,10 +134,16 @@ def pack_pieces(pieces: DataFrame, capacity: int, fan_in: int, keep: int, slack:
     full = pieces.where(F.col("length") == capacity).select(
         F.array(member).alias("members"), F.array(F.lit(0)).alias("offsets")
     )
-    items = pieces.where(F.col("length") < capacity).select(
+    short = pieces.where(F.col("length") < capacity)
+    total = short.agg(F.sum("length").alias("tokens"), F.count("*").alias("n")).first()
+    parts = max(1, -(-(total["tokens"] or 0) // PART_TOKENS), -(-total["n"] // PART_PIECES))
+    # equal pieces are counted and numbered, so they are dealt evenly too
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    numbered = short.groupBy(*names).agg(F.count("*").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    dealt = numbered.select(*names, F.xxhash64(*names, "copy").alias("deal")).repartition(parts, "deal")
+    items = dealt.sortWithinPartitions(F.desc("length"), "deal").select(
         F.lit(False).alias("done"), F.col("length").alias("size"), F.array(member).alias("members")
     )
-    parts = max(1, items.rdd.getNumPartitions())
     finished = full
     number = 0
     while True:

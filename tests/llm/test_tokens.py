@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tapeloom.llm import packing, tokencount, tokenfile
-from tapeloom.llm.shared import durable_path
+from tapeloom.llm.shared import durable, durable_path
 from tapeloom.llm.tokenize import encoder
 
 FILES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
@@ -109,3 +109,15 @@ def test_packing_keeps_every_piece(spark):
         assert one["offset"].tolist() == [0, *one["length"].cumsum().tolist()[:-1]] and one["length"].sum() <= 128
     assert packed.sequence_id.nunique() <= 1.1 * packed["length"].sum() / 128 + 2
     assert packing.pack(docs.limit(0), public_tokenizers.path(FILES[1])).count() == 0
+
+
+def test_sorted_pieces_pack_as_well_as_shuffled_ones(spark):
+    length = "cast(if(id < 4000, 560 + id % 141, 324 + id % 137) as int)"
+    pieces = spark.range(8000).selectExpr("id as doc_id", "0 as piece", "0L as start", f"{length} as length", "id as ids_crc32")
+    made = []
+    for name, frame in (("sorted", pieces.repartitionByRange(16, "doc_id")), ("shuffled", pieces.repartition(3))):
+        packed = packing.pack_pieces(durable(frame, name), 1024, packing.FAN_IN, packing.KEEP, packing.SLACK).toPandas()
+        assert sorted(packed.doc_id) == list(range(8000)) and packed.groupby("sequence_id")["length"].sum().max() <= 1024
+        made.append(packed.sequence_id.nunique())
+        least = packed["length"].sum() / 1024
+    assert made[0] == made[1] and made[0] <= 1.02 * max(4000, least)
