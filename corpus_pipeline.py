@@ -31,9 +31,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that of the least doc_id."""
-    stays = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """One document of each group of near copies stays: that of the least doc_id. One without
+    doc_id stays if it resembles nothing, and one of those that only resemble each other."""
+    return neardup.without_near_copies(docs)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

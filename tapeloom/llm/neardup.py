@@ -198,8 +198,15 @@ def _nearest_centre(rows: DataFrame) -> DataFrame:
     )
 
 
+def _row_key(docs: DataFrame) -> F.Column:
+    """A key of doc_id and text in which nulls count."""
+    name, text = docs["doc_id"].cast("long"), docs["text"].cast("string")
+    return F.xxhash64(name.isNull(), name, text.isNull(), text)
+
+
 def document_sets(docs: DataFrame, width: int = WIDTH, trees: int = TREES) -> DataFrame:
-    """doc_id, n_shingles, key (a 128-bit fingerprint of the set; null if empty), sig, roots."""
+    """doc_id, row (a key of doc_id and text), n_shingles, key (a 128-bit fingerprint of the set;
+    null if empty), sig, roots."""
     roots = [path for t in range(trees) for path in _first_paths(t)]
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,6 +220,7 @@ def document_sets(docs: DataFrame, width: int = WIDTH, trees: int = TREES) -> Da
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": part.column("doc_id"),
+                    "row": part.column("row"),
                     "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                     "key": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     "sig": pa.array([s.tobytes() for s in sigs.astype(np.uint16)], pa.binary()),
@@ -220,8 +228,8 @@ def document_sets(docs: DataFrame, width: int = WIDTH, trees: int = TREES) -> Da
                 }
             )
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(sets_of, "doc_id long, n_shingles long, key binary, sig binary, roots array<long>")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key(docs).alias("row"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(sets_of, "doc_id long, row long, n_shingles long, key binary, sig binary, roots array<long>")
 
 
 def _first_paths(tree: int) -> list[tuple[int, int]]:
@@ -364,15 +372,8 @@ def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
     return moved.unionByName(alone.select(F.col("component").alias("node"), F.col("whole").alias("component")))
 
 
-def near_duplicates(
-    docs: DataFrame,
-    width: int = WIDTH,
-    similarity: tuple[int, int] = SIMILARITY,
-    trees: int = TREES,
-    small: int = SMALL,
-    levels: int = LEVELS,
-) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id of its group), kept."""
+def _grouped(docs: DataFrame, width: int, similarity: tuple[int, int], trees: int, small: int, levels: int) -> DataFrame:
+    """doc_id, row, n_shingles, group (null for an empty set) of every row."""
     rows = durable(document_sets(docs, width, trees), "sets")
     sets = durable(rows.where("key is not null").dropDuplicates(["key"]).select("key", "sig", "roots"), "distinct")
     named = rows.select("key", "doc_id").where("key is not null")
@@ -384,10 +385,39 @@ def near_duplicates(
         links = durable(confirmed(docs, named, others, width, similarity), "more_links")
         if not links.isEmpty():
             groups = _joined(groups, links)
-    own = rows.select("doc_id", "n_shingles", "key").join(groups.withColumnRenamed("node", "key"), "key", "left")
-    own = durable(own.withColumn("group", F.coalesce("component", "key")).drop("component", "key"), "grouped")
+    own = rows.select("doc_id", "row", "n_shingles", "key").join(groups.withColumnRenamed("node", "key"), "key", "left")
+    return durable(own.withColumn("group", F.coalesce("component", "key")).drop("component", "key"), "grouped")
+
+
+def near_duplicates(
+    docs: DataFrame,
+    width: int = WIDTH,
+    similarity: tuple[int, int] = SIMILARITY,
+    trees: int = TREES,
+    small: int = SMALL,
+    levels: int = LEVELS,
+) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id of its group), kept."""
+    own = _grouped(docs, width, similarity, trees, small, levels)
     least = own.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
     component = F.coalesce("least", "doc_id")
     return own.join(least, "group", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
     )
+
+
+def without_near_copies(
+    docs: DataFrame,
+    width: int = WIDTH,
+    similarity: tuple[int, int] = SIMILARITY,
+    trees: int = TREES,
+    small: int = SMALL,
+    levels: int = LEVELS,
+) -> DataFrame:
+    """One row of docs of each group, that of the least doc_id (one without doc_id only where no
+    row of the group has one); of rows without words each, but repeated ones once."""
+    own = _grouped(docs, width, similarity, trees, small, levels)
+    first = own.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    stays = first.select("first.row").unionByName(own.where("group is null").select("row")).distinct()
+    keyed = docs.select(F.struct("*").alias("doc"), _row_key(docs).alias("row"))
+    return keyed.join(stays, "row", "left_semi").dropDuplicates(["row"]).select("doc.*")

@@ -27,3 +27,19 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert 101 not in left[1] and 0 in left[1]  # nothing of an exact copy is left
     assert set(range(30)) <= left[3] and 102 in left[2] and 102 not in left[3]
     assert pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == len(left[3])
+
+
+def test_near_copies_with_null_and_repeated_ids(spark):
+    def text(seed, n=60):
+        r = random.Random(seed)
+        return " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+
+    near = lambda t: t + " more"
+    rows = [(1, text(1)), (2, text(2)), (2, near(text(1))), (None, text(3)), (None, near(text(2))), (None, text(4)), (None, near(text(4))), (5, None), (None, None), (6, ""), (7, text(7)), (7, text(7))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as row", "2 as doc")
+    out = pipeline.near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    fours = [x for x in got if x in ((None, text(4)), (None, near(text(4))))]
+    assert len(fours) == 1
+    assert sorted((x for x in got if x not in fours), key=repr) == sorted([rows[0], rows[1], rows[3], rows[7], rows[8], rows[9], rows[10]], key=repr)
