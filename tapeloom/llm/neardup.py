@@ -4,18 +4,23 @@ A document is the set of its word shingles and a signature of ``COORDINATES`` mi
 Each of ``trees`` independent trees starts from all distinct sets.  A node chooses one or two
 coordinates (4/3 on average, the inverse of the threshold) and deals its members to children by
 their minwise token there, so two sets of the threshold's similarity share one child or more on
-average; the first two levels are taken at once.  A node of at most ``small`` members compares all of their signatures; the closest pairs
-that could reach the threshold become candidates.  A larger node compares its members with a few
-central ones.  It ends there if all members resemble one of these; if few do not, those are compared
-with all members in blocks; else it branches on.  What is still large at the last level is compared
-in blocks, so no node is cut short.  Candidates are confirmed on the
-full shingle sets, and the confirmed links give groups.  Then every pair of the compared nodes that
-could reach the threshold and lies in two different groups is confirmed as well: the first,
-linear number of candidates is no cap (but for the error of the sketches, see LIKELY).
+average; the first two levels are taken at once.  The join has two passes.
+
+The first proposes a number of pairs linear in the rows, which are confirmed on the full shingle
+sets and give groups: each member of a small node with the node's most central member and those it
+agrees with most, each member of a large node with the few centres it resembles.  A large node ends
+there unless many of its members resemble no centre; then it branches on.
+
+The second looks for links between these groups, in every node that has ended: a small node compares
+all of its members; a large one those outside its largest group with all, block against block, or
+branches on while those are many.  Members whose signatures leave a similarity of the threshold
+possible bring their full sets, the node compares them exactly, and gives a link only where it joins
+two groups: fewer than it has members, however many pairs are similar.
 
 Cases: a text without words, or null, has an empty set and is linked with nothing; a text of fewer
 words than a shingle is one shingle; equal sets are one node, whatever their number of copies;
-repeated rows each get a row; a row without doc_id is linked but never gives its group's id; an empty table gives no rows; other columns are not read.
+repeated rows each get a row; a row without doc_id is linked but never gives its group's id; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,12 +40,10 @@ from tapeloom.llm.shingles import shingle_sets
 
 WIDTH, SIMILARITY = 5, (75, 100)
 COORDINATES, TREES, SMALL, LEVELS = 64, 5, 512, 5
-#: Share of equal coordinates from which a pair is confirmed, and from which it is taken to be
-#: linked when it is decided whether a large node must branch on.
+#: Share of equal coordinates from which a pair is compared on full sets (a pair of exactly the
+#: threshold's similarity falls below it once in 100,000), and from which a member of a large node is
+#: taken to belong to a centre when it is decided whether the node must branch on.
 HOPEFUL, CERTAIN = 0.5, 0.85
-#: Share from which a pair of different groups is confirmed after all; sketches of a pair of exactly
-#: the threshold's similarity reach it 997 times in 1000, of similarity 0.8 all but 4 in 100,000.
-LIKELY = 0.6
 #: A node of at most so many times small is compared in blocks at once instead of branching.
 BLOCKS = 4
 #: Centres of a large node; partners that a member of a small node proposes besides its centre.
@@ -48,8 +51,11 @@ CENTRES, PARTNERS = 4, 3
 #: Members of a large node among which its centres are chosen, in expectation.
 SAMPLE = 64
 SLICE_BYTES = 1 << 20
+#: Shingles of a set that count as one member; a longer set counts as several, so that the full sets
+#: of a small node or block stay within about small * 16 KB.
+WEIGHT = 2048
 #: Candidate pairs that are confirmed together.
-PAIRS_TOGETHER = 2000
+PAIRS_TOGETHER = 500
 #: Documents whose ids may be broadcast to pick their texts; beyond it that join is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -77,17 +83,18 @@ def _chosen(node: F.Column) -> tuple[F.Column, F.Column]:
 
 
 def _children(rows: DataFrame) -> DataFrame:
-    """(node, key) of the children's members for rows (node, key, sig)."""
+    """(node, key, weight) of the children's members for rows (node, key, sig, weight)."""
 
     def child(k: F.Column) -> F.Column:
         return F.when(k.isNotNull(), F.xxhash64("node", k, F.substring("sig", k * 2 + 1, F.lit(2))))
 
     at = F.array(*(child(k.cast("int")) for k in _chosen(F.col("node"))))
-    return rows.select("key", F.explode(F.array_compact(at)).alias("node")).select("node", "key")
+    return rows.select("key", "weight", F.explode(F.array_compact(at)).alias("node")).select("node", "key", "weight")
 
 
-def _by_node(rows: DataFrame, work: Callable[[list[bytes], np.ndarray, list], Iterator], schema: str) -> DataFrame:
-    """Apply work(keys, signatures, more) to the rows (node, key, sig, more) of each node.
+def _by_node(rows: DataFrame, work: Callable[[list[bytes], np.ndarray, list], Iterator], schema: str, with_node: bool = False) -> DataFrame:
+    """Apply work(keys, signatures, more) to the rows (node, key, sig, more) of each node, with the
+    node before each row of the result on request.
 
     Only for nodes whose size is bounded.
     """
@@ -97,8 +104,11 @@ def _by_node(rows: DataFrame, work: Callable[[list[bytes], np.ndarray, list], It
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in whole_groups(batches, "node"):
             keys, more = table.column("key").to_pylist(), table.column("more").to_pylist()
-            sigs = _sketches(table.column("sig"))
-            out = [x for a, b in zip(cuts, cuts[1:], strict=False) for x in work(keys[a:b], sigs[a:b], more[a:b])]
+            sigs, nodes = _sketches(table.column("sig")), table.column("node").to_pylist()
+            out = []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                found = work(keys[a:b], sigs[a:b], more[a:b])
+                out += [(nodes[a], *x) for x in found] if with_node else found
             columns = zip(*out, strict=True) if out else [[]] * len(fields)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
 
@@ -135,29 +145,52 @@ def _pairs_within(keys: list[bytes], sigs: np.ndarray, more: list) -> Iterator[t
         yield _pair(keys[i], keys[j])
 
 
-def _pairs_with_rest(keys: list[bytes], sigs: np.ndarray, more: list) -> Iterator[tuple[bytes, bytes]]:
-    """Each row marked 1 with those of all rows of the block that it agrees with most."""
-    rest = [i for i, x in enumerate(more) if x]
-    if not rest:
-        return
-    like = _agreement(sigs[rest], sigs)
-    for r, i in enumerate(rest):
-        like[r, i] = -1
-        for j in np.argsort(-like[r], kind="stable")[: PARTNERS + 1].tolist():
-            if like[r, j] >= HOPEFUL and keys[i] != keys[j]:
-                yield _pair(keys[i], keys[j])
-
-
-def _pairs_between(keys: list[bytes], sigs: np.ndarray, more: list) -> Iterator[tuple[bytes, bytes]]:
-    """All pairs of a row marked in the lowest bit of more and a row of another group (the other
-    bits) that may be similar enough."""
-    marks = np.array(more, np.int64)
-    groups, rest = marks >> 1, np.flatnonzero(marks & 1)
-    if not len(rest) or (groups == groups[0]).all():
+#: Marks of a node's rows: it is compared with all rows that have the second mark, it is among
+#: those, all of the node is here.
+ASKS, ANSWERS, WHOLE = 1, 2, 4
+
+
+def _unresolved(keys: list[bytes], sigs: np.ndarray, more: list) -> Iterator[tuple[bytes, int, int]]:
+    """(key, group, marks) of the rows of different groups that may be similar enough. more is the
+    group, and the marks in its three lowest bits."""
+    packed = np.array(more, np.int64)
+    groups, marks = packed >> 3, packed & 7
+    if (groups == groups[0]).all():
         return
-    apart = groups[rest][:, None] != groups[None, :]
-    for r, j in zip(*np.nonzero(apart & (_agreement(sigs[rest], sigs) >= LIKELY)), strict=True):
-        yield _pair(keys[rest[r]], keys[j])
+    asks, answers = np.flatnonzero(marks & ASKS), np.flatnonzero(marks & ANSWERS)
+    if marks[0] & WHOLE:
+        names, counts = np.unique(groups, return_counts=True)
+        asks = np.flatnonzero(groups != names[counts.argmax()])
+    if len(asks) and len(answers):
+        near = (groups[asks][:, None] != groups[answers][None, :]) & (_agreement(sigs[asks], sigs[answers]) >= HOPEFUL)
+        found = dict.fromkeys(asks[near.any(1)].tolist(), ASKS)
+        for i in answers[near.any(0)].tolist():
+            found[i] = found.get(i, 0) | ANSWERS
+        for i, mark in found.items():
+            yield keys[i], int(groups[i]), mark
+
+
+def _spanning(
+    keys: list[bytes], groups: np.ndarray, marks: np.ndarray, sets: list[np.ndarray], similarity: tuple[int, int]
+) -> Iterator[tuple[bytes, bytes]]:
+    """Pairs of enough similarity, each of which joins two groups that were apart until then."""
+    part_of, whole = similarity
+    sizes = np.array([len(x) for x in sets])
+    starts = np.cumsum([0, *sizes[:-1]])
+    tokens, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    held, groups = np.zeros(len(tokens), bool), groups.copy()
+    answers = (marks & ANSWERS) > 0
+    for i in np.flatnonzero(marks & ASKS).tolist():
+        apart = answers & (groups != groups[i])
+        if apart.any():
+            own = flat[starts[i] : starts[i] + sizes[i]]
+            held[own] = True
+            common = np.add.reduceat(held[flat], starts, dtype=np.int64)
+            held[own] = False
+            for j in np.flatnonzero(apart & (whole * common >= part_of * (sizes[i] + sizes - common))).tolist():
+                if groups[j] != groups[i]:
+                    groups[groups == groups[j]] = groups[i]
+                    yield _pair(keys[i], keys[j])
 
 
 def _centres(keys: list[bytes], sigs: np.ndarray, more: list) -> Iterator[tuple[int, bytes, bytes]]:
@@ -174,8 +207,8 @@ def _centres(keys: list[bytes], sigs: np.ndarray, more: list) -> Iterator[tuple[
 
 
 def _nearest_centre(rows: DataFrame) -> DataFrame:
-    """rows (node, key, sig, size, centres) with like, a member's agreement with its closest centre,
-    and partners: the centres that it may be similar enough to."""
+    """rows (node, key, sig, weight, centres) with like, a member's agreement with its closest
+    centre, and partners: the centres that it may be similar enough to."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,12 +222,12 @@ def _nearest_centre(rows: DataFrame) -> DataFrame:
                 partners.append([c["key"] for c, x in zip(centres, like, strict=True) if x >= HOPEFUL and c["key"] != own])
                 likes.append(float(like.max()))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("node", "key", "sig", "size")), pa.array(partners, pa.list_(pa.binary())), pa.array(likes)],
-                ["node", "key", "sig", "size", "partners", "like"],
+                [*(batch.column(c) for c in ("node", "key", "sig", "weight")), pa.array(partners, pa.list_(pa.binary())), pa.array(likes)],
+                ["node", "key", "sig", "weight", "partners", "like"],
             )
 
-    return rows.select("node", "key", "sig", "size", "centres").mapInArrow(
-        compare, "node long, key binary, sig binary, size long, partners array<binary>, like double"
+    return rows.select("node", "key", "sig", "weight", "centres").mapInArrow(
+        compare, "node long, key binary, sig binary, weight long, partners array<binary>, like double"
     )
 
 
@@ -239,87 +272,115 @@ def _first_paths(tree: int) -> list[tuple[int, int]]:
     return [(order[0], order[1]), (order[2], order[3])][: 1 if tree % 5 == 4 else 2]
 
 
-def candidates(sets: DataFrame, small: int = SMALL, levels: int = LEVELS) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+def _sized(members: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Rows (node, key, weight, sig, n, size) of the nodes of more than one member."""
+    sizes = members.groupBy("node").agg(F.count("*").alias("n"), F.sum("weight").alias("size")).where("n > 1")
+    return members.join(sizes, "node").join(sigs, "key")
+
+
+def candidates(sets: DataFrame, small: int = SMALL, levels: int = LEVELS) -> tuple[DataFrame, list[DataFrame], list[DataFrame], list[DataFrame]]:
     """(a, b): pairs of keys that share a small node, or a large node's centre, and whose
-    signatures leave a similarity of the threshold possible. sets has key, sig, roots.
+    signatures leave a similarity of the threshold possible. sets has key, sig, weight, roots.
 
-    Also what was compared, (node, key, sig, more) with 1 in more for those that were compared with
-    all of their node, and the tables behind it.
+    Also the small nodes and the large ones that ended, (node, key, sig, weight), and the tables
+    behind all of these.
     """
     sigs = sets.select("key", "sig")
-    members = sets.select(F.explode("roots").alias("node"), "key")
-    none, one = F.lit(0).cast("long").alias("more"), F.lit(1).cast("long").alias("more")
+    members = sets.select(F.explode("roots").alias("node"), "key", "weight")
     found: list[DataFrame] = []
-    compared: list[DataFrame] = []
-    kept_tables: list[DataFrame] = []
+    few_nodes: list[DataFrame] = []
+    ended: list[DataFrame] = []
+    tables: list[DataFrame] = []
     for level in range(levels):
-        sizes = members.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        rows = durable(members.join(sizes, "node").join(sigs, "key"), f"nodes{level}")
-        kept_tables.append(rows)
-        few = rows.where(F.col("size") <= small).select("node", "key", "sig", one)
-        found.append(_by_node(few, _pairs_within, "a binary, b binary"))
-        compared.append(few)
+        rows = durable(_sized(members, sigs), f"nodes{level}")
+        tables.append(rows)
+        few = rows.where(F.col("size") <= small).select("node", "key", "sig", "weight")
+        found.append(_by_node(few.withColumn("more", F.lit(0).cast("long")), _pairs_within, "a binary, b binary"))
+        few_nodes.append(few)
         large = rows.where(F.col("size") > small)
         if large.isEmpty():
             break
-        sample = large.where(F.pmod(F.xxhash64("node", "key"), F.col("size")) < SAMPLE)
+        sample = large.where(F.pmod(F.xxhash64("node", "key"), F.col("n")) < SAMPLE)
         picked = _by_node(
             sample.select("node", "key", "sig", F.col("node").alias("more")), _centres, "node long, key binary, sig binary"
         )
         centres = picked.groupBy("node").agg(F.collect_list(F.struct("key", "sig")).alias("centres"))
         near = durable(_nearest_centre(large.join(centres, "node")), "near")
-        kept_tables.append(near)
+        tables.append(near)
         pairs = near.select("key", F.explode("partners").alias("centre"))
         found.append(pairs.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")))
-        rest = F.col("like") < CERTAIN
-        mixed = near.groupBy("node").agg(F.count_if(rest).alias("loose"), F.count("*").alias("n")).where("loose > 0")
-        last = level + 1 == levels
-        # few loose members, or those of a node of a few blocks, are compared with all others at once; else the node branches
-        at_once = F.lit(True) if last else (F.col("loose") <= small) | (F.col("n") <= BLOCKS * small)
-        blocks = F.greatest(F.lit(1).cast("long"), F.expr(f"size div {small}"))
-        settled = near.join(mixed.where(at_once).select("node"), "node", "left_semi")
-        every = settled.select("node", "key", "sig", F.pmod(F.xxhash64("key"), blocks).alias("block"), none)
-        spread = settled.where(rest).select("node", "key", "sig", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), one)
-        both = every.unionByName(spread).withColumn("node", F.xxhash64("node", "block")).drop("block")
-        found.append(_by_node(both, _pairs_with_rest, "a binary, b binary"))
-        compared.append(both)
-        if last:
+        if level + 1 == levels:
+            ended.append(near.select("node", "key", "sig", "weight"))
             break
-        members = durable(_children(near.join(mixed.where(~at_once).select("node"), "node", "left_semi")), "members")
-        kept_tables.append(members)
+        loose = near.groupBy("node").agg(F.count_if(F.col("like") < CERTAIN).alias("loose"), F.sum("weight").alias("size"))
+        branching = loose.where((F.col("loose") > small) & (F.col("size") > BLOCKS * small)).select("node")
+        ended.append(near.join(branching, "node", "left_anti").select("node", "key", "sig", "weight"))
+        members = durable(_children(near.join(branching, "node", "left_semi")), "members")
+        tables.append(members)
         if members.isEmpty():
             break
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    return durable(pairs.distinct(), "candidates"), compared, kept_tables
+    return durable(_union(found).distinct(), "candidates"), few_nodes, ended, tables
 
 
-def left_out(compared: list[DataFrame], groups: DataFrame) -> DataFrame:
-    """(a, b): pairs that may be similar enough and lie in different groups (node, component)."""
-    rows = compared[0]
-    for more in compared[1:]:  # node ids of different tables are different hashes
-        rows = rows.unionByName(more)
-    own = rows.join(groups.withColumnRenamed("node", "key"), "key", "left")
-    group = F.xxhash64(F.coalesce("component", "key"))
-    marked = own.select("node", "key", "sig", F.shiftleft(group, 1).bitwiseOR(F.col("more")).alias("more"))
-    return _by_node(marked, _pairs_between, "a binary, b binary").distinct()
+def _union(frames: list[DataFrame]) -> DataFrame:
+    every = frames[0]
+    for more in frames[1:]:
+        every = every.unionByName(more)
+    return every
 
 
-def confirmed(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs whose full shingle sets have the similarity.
+def left_out(
+    sets: DataFrame, few_nodes: list[DataFrame], ended: list[DataFrame], groups: DataFrame, small: int, levels: int
+) -> tuple[DataFrame, list[DataFrame]]:
+    """(node, key, group, marks): the rows whose full sets must be compared within node as they may
+    link different groups (key, group); and the tables behind. Node ids of all tables are hashes."""
 
-    Pairs are confirmed together by the least neighbour of their first key, in parts of about
-    PAIRS_TOGETHER pairs, so a set travels once for many pairs.
-    """
-    both_ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    hubs = both_ways.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("hub"))
-    placed = pairs.join(hubs, "a")
-    sizes = placed.groupBy("hub").agg(F.ceil(F.count("*") / PAIRS_TOGETHER).alias("parts"))
-    part = F.pmod(F.xxhash64("a", "b"), F.col("parts"))
-    dealt = durable(placed.join(sizes, "hub").select("a", "b", F.xxhash64("hub", part).alias("part")), "dealt")
-    needed = dealt.select("part", F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = needed.select("key").distinct()
+    def packed(rows: DataFrame, marks: int) -> DataFrame:
+        return rows.select("node", "key", "sig", F.shiftleft("group", 3).bitwiseOR(F.lit(marks)).alias("more"))
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        own = rows.join(groups, "key", "left")
+        return own.withColumn("group", F.shiftright(F.coalesce("group", F.xxhash64("key")), 4))
+
+    compared = [packed(grouped(_union(few_nodes)), ASKS | ANSWERS | WHOLE)]
+    tables: list[DataFrame] = []
+    large = _union(ended) if ended else None
+    for level in range(levels):
+        if large is None:
+            break
+        rows = durable(grouped(large), "large")
+        tables.append(rows)
+        by_group = rows.groupBy("node", "group").agg(F.sum("weight").alias("size"))
+        totals = by_group.groupBy("node").agg(
+            F.max_by("group", F.struct("size", "group")).alias("main"), F.sum("size").alias("size"), F.max("size").alias("most")
+        )
+        mixed = rows.join(totals.where("size > most"), "node")
+        at_once = F.lit(level + 1 == levels) | (F.col("size") - F.col("most") <= small) | (F.col("size") <= BLOCKS * small)
+        here = mixed.where(at_once)
+        blocks, asking = F.ceil(F.col("size") / small), F.ceil((F.col("size") - F.col("most")) / small)
+        up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+        own = lambda n: F.pmod(F.xxhash64("key"), n)
+        common = ["node", "key", "sig", "group"]
+        asks = here.where("group != main").select(*common, own(asking).alias("x"), up_to(blocks).alias("y"))
+        answers = here.select(*common, own(blocks).alias("y"), up_to(asking).alias("x"))
+        for part, mark in ((asks, ASKS), (answers, ANSWERS)):
+            compared.append(packed(part.withColumn("node", F.xxhash64("node", "x", "y")), mark))
+        if level + 1 == levels:
+            break
+        members = durable(_children(mixed.where(~at_once)), "members")
+        tables.append(members)
+        if members.isEmpty():
+            break
+        sized = durable(_sized(members, sets.select("key", "sig")), "nodes")
+        tables.append(sized)
+        compared.append(packed(grouped(sized.where(F.col("size") <= small)), ASKS | ANSWERS | WHOLE))
+        large = sized.where(F.col("size") > small).select("node", "key", "sig", "weight")
+
+    return _by_node(_union(compared), _unresolved, "node long, key binary, group long, marks long", with_node=True), tables
+
+
+def _full_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(key, full) of the wanted keys, computed anew from one text of each. sets has key, doc_id."""
     where = durable(sets.join(wanted, "key").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "wanted")
     ids = where.select("doc_id").distinct()
     if ids.count() <= BROADCAST_ROWS:
@@ -333,7 +394,23 @@ def confirmed(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, si
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in own]
             yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "full": pa.array([s.tobytes() for s in own], pa.binary())})
 
-    full = texts.mapInArrow(sets_of, "key binary, full binary").join(where.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    return texts.mapInArrow(sets_of, "key binary, full binary").join(where.select("key"), "key", "left_semi").dropDuplicates(["key"])
+
+
+def confirmed(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs whose full shingle sets have the similarity.
+
+    Pairs are confirmed together by the least neighbour of their first key, in parts of about
+    PAIRS_TOGETHER pairs, so a set travels once for many pairs.
+    """
+    both_ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    hubs = both_ways.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("hub"))
+    placed = pairs.join(hubs, "a")
+    sizes = placed.groupBy("hub").agg(F.ceil(F.count("*") / PAIRS_TOGETHER).alias("parts"))
+    part = F.pmod(F.xxhash64("a", "b"), F.col("parts"))
+    dealt = durable(placed.join(sizes, "hub").select("a", "b", F.xxhash64("hub", part).alias("part")), "dealt")
+    needed = dealt.select("part", F.explode(F.array("a", "b")).alias("key")).distinct()
+    full = _full_sets(docs, sets, needed.select("key").distinct(), width)
     rows = needed.join(full, "key").select("part", F.lit(0).alias("kind"), F.col("key").alias("x"), F.col("full").alias("y"))
     rows = rows.unionByName(dealt.select("part", F.lit(1).alias("kind"), F.col("a").alias("x"), F.col("b").alias("y")))
     part_of, whole = similarity
@@ -360,6 +437,27 @@ def confirmed(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, si
     return rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(compare, "a binary, b binary")
 
 
+def between_groups(docs: DataFrame, sets: DataFrame, rows: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
+    """Links (a, b) of the similarity within the nodes of left_out() that join different groups."""
+    whole = rows.join(_full_sets(docs, sets, rows.select("key").distinct(), width), "key")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in whole_groups(batches, "node"):
+            keys = table.column("key").to_pylist()
+            groups, marks = (table.column(c).to_numpy() for c in ("group", "marks"))
+            column = table.column("full")
+            out = []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                sets_of = [np.frombuffer(x, np.uint64) for x in column.slice(a, b - a).to_pylist()]
+                out += _spanning(keys[a:b], groups[a:b], marks[a:b], sets_of, similarity)
+            yield pa.RecordBatch.from_pydict(
+                {"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())}
+            )
+
+    ordered = whole.select("node", "key", "group", "marks", "full").repartition("node").sortWithinPartitions("node")
+    return ordered.mapInArrow(compare, "a binary, b binary")
+
+
 def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
     """groups (node, component) with those put together that links (a, b) connect."""
     of = lambda end: groups.select(F.col("node").alias(end), F.col("component").alias(f"{end}_group"))
@@ -375,14 +473,17 @@ def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
 def _grouped(docs: DataFrame, width: int, similarity: tuple[int, int], trees: int, small: int, levels: int) -> DataFrame:
     """doc_id, row, n_shingles, group (null for an empty set) of every row."""
     rows = durable(document_sets(docs, width, trees), "sets")
-    sets = durable(rows.where("key is not null").dropDuplicates(["key"]).select("key", "sig", "roots"), "distinct")
+    weight = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n_shingles") / WEIGHT)).alias("weight")
+    sets = durable(rows.where("key is not null").dropDuplicates(["key"]).select("key", "sig", weight, "roots"), "distinct")
     named = rows.select("key", "doc_id").where("key is not null")
-    pairs, compared, tables = candidates(sets, small, levels)
+    pairs, few_nodes, ended, tables = candidates(sets, small, levels)
     groups = durable(components(durable(confirmed(docs, named, pairs, width, similarity), "links")), "groups")
-    others = durable(left_out(compared, groups).join(pairs, ["a", "b"], "left_anti"), "others")
-    discard(*tables)
+    of = groups.select(F.col("node").alias("key"), F.xxhash64("component").alias("group"))
+    others, more = left_out(sets, few_nodes, ended, of, small, levels)
+    others = durable(others, "others")
+    discard(*tables, *more, pairs)
     if not others.isEmpty():
-        links = durable(confirmed(docs, named, others, width, similarity), "more_links")
+        links = durable(between_groups(docs, named, others, width, similarity), "more_links")
         if not links.isEmpty():
             groups = _joined(groups, links)
     own = rows.select("doc_id", "row", "n_shingles", "key").join(groups.withColumnRenamed("node", "key"), "key", "left")
