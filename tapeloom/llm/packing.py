@@ -3,10 +3,9 @@
 Documents become pieces of at most ``capacity`` tokens.  They are dealt evenly by a hash, over as
 many partitions as their number and tokens ask for, so neither the order of the input nor its files
 matter.  Every partition packs its own pieces by best fit, largest first, and emits the bins that
-are nearly full.  The emptiest other bins go on
-as single items to fewer partitions, are packed again, and so on up a tree.  A round sends on at
-most ``keep`` bins a partition; all others are emitted as they are, so no task ever holds more
-than fan_in * keep bins, and no piece is lost.
+are nearly full.  All other bins go on as single items to fewer partitions, as many as their number
+asks for, are packed again, and so on up a tree, until one partition holds them or a round leaves
+nearly as many as it was given; these are emitted as they are.
 
 Cases: a null text counts as empty and holds only the end id; without an end id an empty document
 gives no piece; an empty table gives no rows; repeated rows are packed as often as they occur;
@@ -28,11 +27,13 @@ from pyspark.sql import functions as F
 from tapeloom.llm.shared import byte_slices, durable
 from tapeloom.llm.tokenize import SLICE_BYTES, encoder
 
-CAPACITY, FAN_IN, KEEP, SLACK = 1024, 8, 2048, 0.01
+CAPACITY, FAN_IN, SLACK = 1024, 8, 0.01
 #: Tokens and pieces of a partition of the first round, about.
 PART_TOKENS, PART_PIECES = 4_000_000, 50_000
-PIECE_SCHEMA = "doc_id long, piece int, start long, length int, ids_crc32 long"
-MEMBER = "struct<doc_id:long,piece:int,start:long,length:int,ids_crc32:long>"
+#: A round that leaves more than this share of its bins is the last.
+IDLE = 0.9
+PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
+MEMBER = "struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long>"
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, end_id: int | None, capacity: int, with_ids: bool = False) -> DataFrame:
@@ -63,7 +64,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int | None, capacity: int
 arrow_pieces = pa.schema(
     [
         ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
-        ("length", pa.int32()), ("ids_crc32", pa.int64()),
+        ("length", pa.int64()), ("ids_crc32", pa.int64()),
     ]
 )
 arrow_with_ids = arrow_pieces.append(pa.field("ids", pa.list_(pa.int64())))
@@ -97,42 +98,34 @@ def pack(
     end_id: int | None = 2,
     capacity: int = CAPACITY,
     fan_in: int = FAN_IN,
-    keep: int = KEEP,
     slack: float = SLACK,
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     pieces = durable(pieces_of(docs, tokenizer, end_id, capacity), "pieces")
-    return pack_pieces(pieces, capacity, fan_in, keep, slack)
+    return pack_pieces(pieces, capacity, fan_in, slack)
 
 
-def pack_pieces(pieces: DataFrame, capacity: int, fan_in: int, keep: int, slack: float) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int, fan_in: int = FAN_IN, slack: float = SLACK) -> DataFrame:
     """As pack(), for pieces that lie in a durable table."""
     nearly = capacity - int(capacity * slack)
-    schema = f"done boolean, size int, members array<{MEMBER}>, offsets array<int>"
-
-    def round_of(last: bool):
-        def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            items = [x for x in frames if len(x)]
-            if not items:
-                return
-            items = pd.concat(items, ignore_index=True)
-            items["bin"] = best_fit(items["size"].to_numpy(), capacity)
-            made = items.groupby("bin", sort=False).agg(size=("size", "sum"), members=("members", list))
-            made["members"] = [[m for part in parts for m in part] for parts in made["members"]]
-            made["done"] = (made["size"] >= nearly) | last
-            made["offsets"] = [[0, *accumulate(m["length"] for m in bin_[:-1])] for bin_ in made["members"]]
-            waiting = made.index[~made["done"]]
-            if len(waiting) > keep:
-                emptiest = made.loc[waiting, "size"].nsmallest(keep).index
-                made.loc[waiting.difference(emptiest), "done"] = True
-            for i in range(0, len(made), 4096):
-                yield made.iloc[i : i + 4096][["done", "size", "members", "offsets"]]
-
-        return fill
+    schema = f"done boolean, size long, members array<{MEMBER}>, offsets array<long>"
+
+    def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        items = [x for x in frames if len(x)]
+        if not items:
+            return
+        items = pd.concat(items, ignore_index=True)
+        items["bin"] = best_fit(items["size"].to_numpy(), capacity)
+        made = items.groupby("bin", sort=False).agg(size=("size", "sum"), members=("members", list))
+        made["members"] = [[m for part in parts for m in part] for parts in made["members"]]
+        made["done"] = made["size"] >= nearly
+        made["offsets"] = [[0, *accumulate(m["length"] for m in bin_[:-1])] for bin_ in made["members"]]
+        for i in range(0, len(made), 4096):
+            yield made.iloc[i : i + 4096][["done", "size", "members", "offsets"]]
 
     member = F.struct("doc_id", "piece", "start", "length", "ids_crc32")
     full = pieces.where(F.col("length") == capacity).select(
-        F.array(member).alias("members"), F.array(F.lit(0)).alias("offsets")
+        F.array(member).alias("members"), F.array(F.lit(0).cast("long")).alias("offsets")
     )
     short = pieces.where(F.col("length") < capacity)
     total = short.agg(F.sum("length").alias("tokens"), F.count("*").alias("n")).first()
@@ -145,14 +138,16 @@ def pack_pieces(pieces: DataFrame, capacity: int, fan_in: int, keep: int, slack:
         F.lit(False).alias("done"), F.col("length").alias("size"), F.array(member).alias("members")
     )
     finished = full
-    number = 0
+    number, given = 0, total["n"]
     while True:
-        bins = durable(items.mapInPandas(round_of(last=parts == 1), schema), f"bins{number}")
-        finished = finished.unionByName(bins.where("done").select("members", "offsets"))
-        if parts == 1:
+        bins = durable(items.mapInPandas(fill, schema), f"bins{number}")
+        waiting = bins.where("not done").count()
+        if parts == 1 or waiting > IDLE * given:
+            finished = finished.unionByName(bins.select("members", "offsets"))
             break
-        number += 1
-        parts = -(-parts // fan_in)
+        finished = finished.unionByName(bins.where("done").select("members", "offsets"))
+        number, given = number + 1, waiting
+        parts = max(1, min(parts - 1, max(-(-parts // fan_in), -(-waiting // PART_PIECES))))
         items = bins.where("not done").select("done", "size", "members").repartition(parts)
     return (
         finished.withColumn("sequence_id", F.monotonically_increasing_id())

@@ -85,9 +85,11 @@ def _feistel(values: str, radices: str, key: str) -> str:
     """SQL: the array values permuted within radices (value i below radix i)."""
     side = "(j < size(acc) div 2) != (k % 2 = 1)"
     other = f"array_join(transform(filter(acc, (y, j) -> {side}), y -> cast(y as string)), ',')"
-    drawn = f"cast(conv(substr(sha2(concat_ws('|', {_quoted(key)}, k, i, {other}), 256), 1, 12), 16, 10) as bigint)"
-    turn = f"transform(acc, (x, i) -> if((i < size(acc) div 2) = (k % 2 = 1), pmod(x + {drawn}, {radices}[i]), x))"
-    return f"aggregate(sequence(1, {ROUNDS}), {values}, (acc, k) -> {turn})"
+    seed = f"sha2(concat_ws('|', {_quoted(key)}, k, {other}), 256)"  # of the whole other side, once a round
+    drawn = "cast(conv(substr(sha2(concat(s, i), 256), 1, 12), 16, 10) as bigint)"
+    turn = f"transform(acc, (x, i) -> if((i < size(acc) div 2) = (k % 2 = 1), pmod(x + {drawn}, b.r[i]), x))"
+    rounds = f"aggregate(sequence(1, {ROUNDS}), b.v, (acc, k) -> transform(array({seed}), s -> {turn})[0])"
+    return f"transform(array(named_struct('v', {values}, 'r', {radices})), b -> {rounds})[0]"
 
 
 def _chars(text: str) -> str:
@@ -99,15 +101,18 @@ def _in_format(text: str, alphabets: list[str], key: str) -> str:
     place = "case " + " ".join(f"when instr('{a}', c) > 0 then instr('{a}', c) - 1" for a in alphabets) + " end"
     radix = "case " + " ".join(f"when instr('{a}', c) > 0 then {len(a)}" for a in alphabets) + " end"
     letter = "case " + " ".join(f"when instr('{a}', c) > 0 then substr('{a}', v + 1, 1)" for a in alphabets) + " end"
-    free = f"filter({_chars(text)}, c -> {place} is not null)"
-    values = f"transform({free}, c -> cast({place} as bigint))"
-    radices = f"transform({free}, c -> {radix})"
-    new = f"zip_with({free}, {_feistel(values, radices, key)}, (c, v) -> {letter})"
-    return _filled(text, new, f"{place} is not null")
+    # a character of no alphabet is the one value of its own radix, so it stays
+    values = f"transform(w, c -> coalesce(cast({place} as bigint), 0L))"
+    radices = f"transform(w, c -> coalesce({radix}, 1))"
+    new = f"zip_with(w, {_feistel(values, radices, key)}, (c, v) -> coalesce({letter}, c))"
+    return f"transform(array({_chars(text)}), w -> array_join({new}, ''))[0]"
 
 
 def _filled(text: str, new: str, free: str) -> str:
-    """SQL: text whose characters c with the condition free are replaced by those of new, in turn."""
+    """SQL: text whose characters c with the condition free are replaced by those of new, in turn.
+
+    For short values: each character copies what is left.
+    """
     return (
         f"aggregate({_chars(text)}, named_struct('out', '', 'left', {new}), (s, c) -> if({free}, "
         "named_struct('out', concat(s.out, s.left[0]), 'left', slice(s.left, 2, size(s.left))), "

@@ -99,7 +99,11 @@ def tree_rules(description: str, names: list[str]) -> set[Rule]:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH, penalty: float = PENALTY) -> RuleModel:
-    """Learn from labelled (text, label 0 or 1); about sample rows, picked by a hash, are used."""
+    """Learn from labelled (text, label 0 or 1); about sample rows, picked by a hash, are used.
+
+    The hash is over all columns of labelled: with a name of the row among them, copies of one text
+    are drawn one by one.
+    """
     rows = labelled.where("label in (0, 1)")
     sizes = rows.agg(F.count("*").alias("n"), F.sum("label").alias("good")).first()
     n, good = sizes["n"], sizes["good"] or 0
@@ -107,7 +111,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: in
         share = good / n if n else 0.5
         return RuleModel([], 30.0 if share == 1 else -30.0 if share == 0 else math.log(share / (1 - share)))
     bound = int(min(1.0, sample / n) * (1 << 30))
-    picked = rows.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) < bound)
+    picked = rows.where(F.pmod(F.xxhash64(*rows.columns, F.lit(5)), F.lit(1 << 30)) < bound)
     stats = statistics(F.col("text"))
     table = durable(picked.select(F.col("label").cast("double").alias("label"), *(c.alias(k) for k, c in stats.items())), "statistics")
     names = list(stats)

@@ -39,7 +39,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from those not held out."""
     docs = table(spark, sf_dir, "documents")
     held_out = crc32_of("doc_id") % 4 == 2
-    model = langid.fit(docs.where(~F.coalesce(held_out, F.lit(False))).select("text", "lang"))
+    model = langid.fit(docs.where(~F.coalesce(held_out, F.lit(False))).select("doc_id", "text", "lang"))
     found = langid.predict(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
@@ -60,7 +60,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc32_of("doc_id") % 3 == 1
     labels = table(spark, sf_dir, "labels").where(~F.coalesce(held_out, F.lit(False)))
     labelled = docs.select("doc_id", "text").join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id")
-    found = quality.score(docs, quality.fit(labelled.select("text", "label")))
+    found = quality.score(docs, quality.fit(labelled.select("doc_id", "text", "label")))
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 

@@ -16,16 +16,18 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (tests on one machine) a local folder is set instead.
+    Only where it is unset and all runs on one machine, a local folder is set instead.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tapeloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
-def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
+def bounded_batches(spark: SparkSession, size: str = "2m") -> None:
     """Have Spark hand texts to Python in batches of about size, so a worker holds little at once."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
@@ -39,19 +41,18 @@ def durable(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = durable_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._durable_path = path
+    return table
 
 
 def discard(*frames: DataFrame) -> None:
     """Remove the files behind frames that durable() made, when nothing reads them any more."""
     for df in frames:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/tapeloom/" in folder:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
+        if where := df.__dict__.get("_durable_path"):
+            context = df.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(where)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def byte_slices(

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.shared import byte_slices
+from tapeloom.llm.shared import byte_slices, durable
 from tapeloom.llm.tokenize import SLICE_BYTES, encoder
 
 #: Lengths that share a band of the suffix sums.
@@ -52,8 +52,10 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     docs_at_least, tokens_at_least: documents of that length or more, and their tokens;
     tokens_truncated: all tokens left if every document is cut to the limit;
     share_at_most: share of documents not longer than it.
-    Sums run inside bands of lengths and once over the bands, so no task needs all lengths.
+    Sums run inside bands of lengths and once over the bands, so no task needs all lengths; the
+    histogram is made once.
     """
+    histogram = durable(histogram, "histogram")
     banded = histogram.withColumn("band", F.expr(f"n_tokens div {BAND}"))
     tokens = F.col("n_tokens") * F.col("n_docs")
     bands = banded.groupBy("band").agg(F.sum("n_docs").alias("d"), F.sum(tokens).alias("t"))
@@ -96,15 +98,17 @@ def truncated_totals(sums: DataFrame, limits: list[int]) -> DataFrame:
     """(context, docs_over, tokens_kept) for any context limits, from suffix_sums()."""
     spark = sums.sparkSession
     wanted = F.broadcast(spark.createDataFrame([(int(x),) for x in limits], "context long"))
-    over = F.col("n_tokens") > F.col("context")
-    kept = F.least("n_tokens", "context") * F.col("n_docs")
-    return (
-        sums.join(wanted, F.col("context") >= 0)
+    every = F.broadcast(sums.agg(F.max("tokens_at_least").alias("every")))
+    # the suffix that begins at the least length over the limit
+    over = (
+        sums.join(wanted, F.col("n_tokens") > F.col("context"))
         .groupBy("context")
-        .agg(
-            F.coalesce(F.sum(F.when(over, F.col("n_docs"))), F.lit(0)).alias("docs_over"),
-            F.sum(kept).alias("tokens_kept"),
-        )
+        .agg(F.min_by(F.struct("docs_at_least", "tokens_at_least"), "n_tokens").alias("cut"))
+    )
+    docs, tokens = (F.coalesce(f"cut.{c}_at_least", F.lit(0)) for c in ("docs", "tokens"))
+    found = wanted.join(over, "context", "left").join(every)
+    return found.where("every is not null").select(
+        "context", docs.alias("docs_over"), (F.col("every") - tokens + F.col("context") * docs).alias("tokens_kept")
     )
 
 

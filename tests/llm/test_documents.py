@@ -158,6 +158,34 @@ def test_languages(spark):
     assert {r.lang_pred for r in langid.predict(odd, langid.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def test_junk_is_rejected_and_clean_text_is_not(spark):
+    stems = {"aa": "the and ing tion", "bb": "der und sch keit", "cc": "les que ment eau"}
+    r = random.Random(5)
+    texts = {lang: [" ".join(r.choice(p.split()) + r.choice(p.split()) for _ in range(r.choice((3, 10, 40, 200)))) for _ in range(150)] for lang, p in stems.items()}
+    rows = [(k, t, lang) for k, (lang, t) in enumerate((lang, t) for lang, ts in texts.items() for t in ts)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").where("doc_id % 2 = 0"))
+    junk = ["".join(r.choice("bcdfgjklmpqvwxz") + (" " if r.random() < 0.2 else "") for _ in range(n)) for n in (60, 200, 2000)] + ["日本語の文章です。" * 20]
+    docs = rows + [(1000 + i, t, None) for i, t in enumerate(junk)] + [(2000, texts["aa"][0], None), (2000, texts["aa"][0], None)]
+    got = langid.predict(spark.createDataFrame(docs, "doc_id long, text string, lang string"), model).collect()
+    assert {x.doc_id for x in got if x.rejected} == {1000, 1001, 1002, 1003}
+    held = [x for x in got if x.doc_id < 1000 and x.doc_id % 2]
+    assert all(x.lang_pred == rows[x.doc_id][2] for x in held)
+    assert len({(x.lang_pred, x.score) for x in got if x.doc_id == 2000}) == 1
+
+
+def test_quality_on_held_out_rows_and_repeated_ones(spark):
+    rows = [(i, words(20 + i % 30, i) + ".", 1) for i in range(200)] + [(200 + i, words(20 + i % 30, i).upper().replace(" ", " | "), 0) for i in range(100)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = quality.fit(labelled.where("doc_id % 3 <> 1"), trees=4)
+    docs = labelled.drop("label").unionByName(labelled.where("doc_id = 1").drop("label")).selectExpr("*", "1 as length", "'x' as bars")
+    got = quality.score(docs, model).collect()
+    truth = {i: label for i, _, label in rows}
+    held = [x for x in got if x.doc_id % 3 == 1]
+    assert sum(x.predicted == truth[x.doc_id] for x in held) >= 0.95 * len(held)
+    assert len(got) == 301 and len({x.score for x in got if x.doc_id == 1}) == 1
+    assert quality.score(docs.limit(0), model).count() == 0
+
+
 def test_quality_rules(spark):
     rows = [(words(30, i) + ".", 1) for i in range(150)] + [(words(30, i).replace(" ", "### "), 0) for i in range(60)]
     labelled = spark.createDataFrame(rows, "text string, label int")
@@ -237,6 +265,18 @@ def test_values_beside_values_get_pseudonyms(spark):
     assert done[14].text == texts[14][0] and done[8].text.endswith(f"😀 {new['day']}")
 
 
+def test_pseudonyms_of_long_runs_and_of_nothing(spark):
+    run = "0123456789abcdef" * 20_000
+    rows = [(1, f"key {run} end"), (2, f"mail {'a.b' * 5000}@x.example.com"), (3, f"again {run}"), (3, f"again {run}"), (4, "1 2 3 " * 20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as m", "2 as g")
+    done = pii.pseudonymise(docs, "k").orderBy("doc_id").collect()
+    new = re.fullmatch(r"key ([0-9a-f]+) end", done[0].text)[1]
+    assert len(new) == len(run) and new != run and done[2].text == done[3].text == f"again {new}"
+    assert done[1].text.endswith("@" + done[1].text.split("@")[1]) and len(done[1].text) == len(rows[1][1]) and "a.ba.b" not in done[1].text
+    assert len(done[4].text) == len(rows[4][1])
+    assert pii.pseudonymise(docs.limit(0), "k").count() == 0
+
+
 def test_feistel_is_a_permutation(spark):
     sql = pii._feistel("array(id div 13, id % 13)", "array(7, 13)", "key")
     got = [tuple(r.v) for r in spark.range(91).selectExpr(f"{sql} as v").collect()]

@@ -95,7 +95,7 @@ def test_best_fit_takes_the_fullest_bin_that_fits():
 def test_packing_keeps_every_piece(spark):
     texts = [(i, "word " * (i * 37 % 400)) for i in range(120)] + DOCS
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
-    packed = packing.pack(docs, public_tokenizers.path(FILES[1]), end_id=2, capacity=128, keep=4).toPandas()
+    packed = packing.pack(docs, public_tokenizers.path(FILES[1]), end_id=2, capacity=128).toPandas()
     expected = []
     for name, text in texts:
         ids = np.array([*plain_ids(FILES[1], text), 2], "<u4")
@@ -103,20 +103,21 @@ def test_packing_keeps_every_piece(spark):
         cuts = [0, *range(first, len(ids) + 1, 128)]
         for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
             expected.append((-1 if name is None else name, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
-    got = packed.fillna({"doc_id": -1})[["doc_id", "piece", "start", "length", "ids_crc32"]].astype("int64")
+    got = packed.fillna({"doc_id": -1})[["doc_id", "piece", "start", "length", "ids_crc32"]].astype({"doc_id": "int64"})
     assert sorted(map(tuple, got.values.tolist())) == sorted(expected)
     for _, one in packed.sort_values("offset").groupby("sequence_id"):
         assert one["offset"].tolist() == [0, *one["length"].cumsum().tolist()[:-1]] and one["length"].sum() <= 128
     assert packed.sequence_id.nunique() <= 1.1 * packed["length"].sum() / 128 + 2
+    assert dict(packed.dtypes.astype(str)).items() >= {"length": "int64", "offset": "int64", "start": "int64"}.items()
     assert packing.pack(docs.limit(0), public_tokenizers.path(FILES[1])).count() == 0
 
 
 def test_sorted_pieces_pack_as_well_as_shuffled_ones(spark):
     length = "cast(if(id < 4000, 560 + id % 141, 324 + id % 137) as int)"
-    pieces = spark.range(8000).selectExpr("id as doc_id", "0 as piece", "0L as start", f"{length} as length", "id as ids_crc32")
+    pieces = spark.range(8000).selectExpr("id as doc_id", "0 as piece", "0L as start", f"cast({length} as long) as length", "id as ids_crc32")
     made = []
     for name, frame in (("sorted", pieces.repartitionByRange(16, "doc_id")), ("shuffled", pieces.repartition(3))):
-        packed = packing.pack_pieces(durable(frame, name), 1024, packing.FAN_IN, packing.KEEP, packing.SLACK).toPandas()
+        packed = packing.pack_pieces(durable(frame, name), 1024).toPandas()
         assert sorted(packed.doc_id) == list(range(8000)) and packed.groupby("sequence_id")["length"].sum().max() <= 1024
         made.append(packed.sequence_id.nunique())
         least = packed["length"].sum() / 1024
