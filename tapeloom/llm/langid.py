@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.shared import byte_slices
+from tapeloom.llm.shared import byte_slices, give_back
 from tapeloom.llm.shingles import buffers
 
 UNKNOWN = "und"
@@ -219,6 +219,7 @@ def accepted(docs: DataFrame, model: LanguageModel, reject_share: float = REJECT
         out: list[bool] = []
         for k in range(0, len(texts), 256):
             out += labels(pa.array(texts.iloc[k : k + 256], pa.string()), shared.value, reject_share)[2]
+        give_back()
         return ~pd.Series(out, dtype=bool)
 
     return docs.where(fits(F.col("text").cast("string")))

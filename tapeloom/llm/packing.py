@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.shared import byte_slices, durable
+from tapeloom.llm.shared import byte_slices, durable, give_back
 from tapeloom.llm.tokenize import SLICE_BYTES, encoder
 
 CAPACITY, FAN_IN, SLACK = 1024, 8, 0.01
@@ -122,6 +122,8 @@ def pack_pieces(pieces: DataFrame, capacity: int, fan_in: int = FAN_IN, slack: f
         made["offsets"] = [[0, *accumulate(m["length"] for m in bin_[:-1])] for bin_ in made["members"]]
         for i in range(0, len(made), 4096):
             yield made.iloc[i : i + 4096][["done", "size", "members", "offsets"]]
+        del items, made
+        give_back()
 
     member = F.struct("doc_id", "piece", "start", "length", "ids_crc32")
     full = pieces.where(F.col("length") == capacity).select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def give_back() -> None:
+    """Return memory that a Python worker holds but does not use, as idle workers stay for a while."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
@@ -70,7 +84,7 @@ def byte_slices(
                 start, size = row, 0
             size += n
         yield batch.slice(start)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def crc32_of(column: str | F.Column) -> F.Column:
@@ -111,3 +125,5 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[
             held.append(batch)
     if held:
         yield cut(held)
+    held = []
+    give_back()
