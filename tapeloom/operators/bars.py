@@ -11,8 +11,8 @@ from tapeloom.functions.grid import SECONDS, bucket, later
 def bars_of_trades(trades: DataFrame, tf: str, grid: str = "utc") -> DataFrame:
     """symbol, open_time, open, high, low, close, volume, n from trades in order (ts, trade_id).
 
-    A trade_id that was delivered twice counts once; partial aggregation leaves one row a bucket
-    and task for the shuffle.
+    Partial aggregation leaves one row a bucket and task for the shuffle. A trade that was delivered
+    twice counts twice: see delivered_once().
     """
     first, last = F.struct("ts", "trade_id"), F.struct("ts", "trade_id")
     return (
@@ -29,6 +29,16 @@ def bars_of_trades(trades: DataFrame, tf: str, grid: str = "utc") -> DataFrame:
     )
 
 
+def delivered_once(trades: DataFrame, tf: str = "1m") -> DataFrame:
+    """trades with one delivery of each trade_id of a symbol and bucket: the one received first.
+
+    Trades are dealt by bucket, as the bars that follow need them, so this is the only shuffle.
+    """
+    dealt = trades.withColumn("_b", bucket("ts", tf)).repartition("symbol", "_b")
+    own = F.struct(*[F.col(c) for c in trades.columns])
+    return dealt.groupBy("symbol", "_b", "trade_id").agg(F.min_by(own, F.struct("recv", "ts")).alias("_t")).select("_t.*")
+
+
 def coarser(bars: DataFrame, tf: str, grid: str = "utc", upto: str | None = None) -> DataFrame:
     """Bars of a longer timeframe. With upto, only buckets that end by then."""
     made = (

@@ -71,30 +71,26 @@ def _bands(ta: np.ndarray, tb: np.ndarray, early: float, late: float) -> tuple[n
 
 
 def nearest_matches(left: DataFrame, right: DataFrame, keys: list[str], within: float) -> DataFrame:
-    """(left_id, right_id): pairs of equal keys at most within seconds apart, each row used once,
-    closest pairs first (ties: smaller ids). Both have id and t (seconds).
+    """(left_id, right_id): each left row in order of time takes the nearest right row of its key
+    that is at most within seconds apart and not taken yet (ties: the smaller id). Both have id and
+    t (seconds).
 
-    A group holds the trades of one price and quantity; groups are cut where no pair within the
-    bound crosses, and only such pairs are formed.
+    Groups are cut where no pair within the bound crosses, and only rows within it are compared.
     """
     parts = _parts(left, right, keys, within, within)
 
     def match(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["t", "id"])
         a, b = frame[frame.side == 0], frame[frame.side == 1]
-        low, high = _bands(a.t.to_numpy(), b.t.to_numpy(), within, within)
-        n = high - low
-        one = np.repeat(np.arange(len(a)), n)
-        two = np.arange(len(one)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-        pairs = pd.DataFrame({"id_a": a.id.to_numpy()[one], "id_b": b.id.to_numpy()[two], "d": np.abs(a.t.to_numpy()[one] - b.t.to_numpy()[two])})
-        used_a: set = set()
-        used_b: set = set()
+        tb, ib = b.t.to_numpy(), b.id.to_numpy()
+        free = np.ones(len(b), bool)
         out = []
-        for x, y, d in pairs.sort_values(["d", "id_a", "id_b"])[["id_a", "id_b", "d"]].itertuples(index=False):
-            if d <= within and x not in used_a and y not in used_b:
-                used_a.add(x)
-                used_b.add(y)
-                out.append((x, y))
+        for name, t, low, high in zip(a.id.tolist(), a.t.tolist(), *_bands(a.t.to_numpy(), tb, within, within), strict=True):
+            open_ = low + np.flatnonzero(free[low:high])
+            if len(open_):
+                taken = open_[np.lexsort((ib[open_], np.abs(tb[open_] - t)))[0]]
+                free[taken] = False
+                out.append((name, int(ib[taken])))
         return pd.DataFrame(out, columns=["left_id", "right_id"])
 
     return parts.groupBy(*keys, "_part").applyInPandas(match, "left_id long, right_id long")
@@ -104,46 +100,42 @@ def aligned(left: DataFrame, right: DataFrame, keys: list[str], early: float, la
     """(left_id, right_id): the longest order-keeping alignment of two feeds by key, with the least
     total time difference, where right may come early seconds before or late seconds after left.
 
-    The programme's table holds the admissible pairs of a part only."""
+    An alignment is a chain of admissible pairs that rises on both sides. Pairs are added by left
+    row; a prefix-maximum tree over the right rows gives the best chain that a pair can extend, so
+    the work is the number of admissible pairs times a logarithm.
+    """
 
     def align(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["t", "id"])
         a, b = frame[frame.side == 0], frame[frame.side == 1]
-        ta, tb, ia, ib = a.t.to_numpy(), b.t.to_numpy(), a.id.tolist(), b.id.tolist()
-        lows, highs = (x.tolist() for x in _bands(ta, tb, early, late))
-        # row i: number and cost of the best alignment from a[i] and b[j] on, for j in its band and behind it;
-        # earlier b match nothing from a[i] on
-        counts, costs = [np.zeros(1, np.int32)] * (len(ia) + 1), [np.zeros(1)] * (len(ia) + 1)
-
-        def at(i: int, j: int) -> tuple[int, float]:
-            k = max(j - lows[i], 0) if i < len(ia) else 0
-            return counts[i][k], costs[i][k]
-
-        def matched(i: int, j: int) -> tuple[int, float]:
-            n, cost = at(i + 1, j + 1)
-            return n + 1, cost - abs(tb[j] - ta[i])
-
-        for i in range(len(ia) - 1, -1, -1):
-            low, high = lows[i], highs[i]
-            n, cost = np.empty(high - low + 1, np.int32), np.empty(high - low + 1)
-            best = at(i + 1, high)
-            n[-1], cost[-1] = best
-            for j in range(high - 1, low - 1, -1):
-                best = max(at(i + 1, j), best, matched(i, j))
-                n[j - low], cost[j - low] = best
-            counts[i], costs[i] = n, cost
-        i = j = 0
-        out = []
-        while i < len(ia) and j < len(ib):
-            if j < lows[i]:
-                j = lows[i]
-            elif j < highs[i] and at(i, j) == matched(i, j):
-                out.append((ia[i], ib[j]))
-                i, j = i + 1, j + 1
-            elif at(i, j) == at(i + 1, j):
-                i += 1
-            else:
-                j += 1
+        ta, tb = a.t.tolist(), b.t.tolist()
+        # (pairs, minus their total difference, number of the last pair) of the best chains
+        tree = [(0, 0.0, -1)] * (len(tb) + 1)
+
+        def best(rows: int) -> tuple[int, float, int]:
+            """The best chain within the first so many right rows."""
+            found = tree[0]
+            while rows:
+                found = max(found, tree[rows])
+                rows &= rows - 1
+            return found
+
+        pairs: list[tuple[int, int, int]] = []
+        lows, highs = _bands(a.t.to_numpy(), b.t.to_numpy(), early, late)
+        for i, (low, high) in enumerate(zip(lows.tolist(), highs.tolist(), strict=True)):
+            for j in range(high - 1, low - 1, -1):  # backwards, so that a left row never follows itself
+                n, gain, before = best(j)
+                chain = (n + 1, gain - abs(tb[j] - ta[i]), len(pairs))
+                pairs.append((i, j, before))
+                place = j + 1
+                while place <= len(tb):
+                    tree[place] = max(tree[place], chain)
+                    place += place & -place
+        out, last = [], best(len(tb))[2]
+        left_ids, right_ids = a.id.tolist(), b.id.tolist()
+        while last >= 0:
+            i, j, last = pairs[last]
+            out.append((left_ids[i], right_ids[j]))
         return pd.DataFrame(out, columns=["left_id", "right_id"])
 
     parts = _parts(left, right, keys, early, late)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tapeloom.operators import bars as B
 from tapeloom.operators import indicators as I
 from tapeloom.operators import structure as S
+from tapeloom.operators.persist import made_once
 from tapeloom.sources.tape import table, tape
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,7 +157,7 @@ STRUCTURE = f"WITH RECURSIVE {TAPE}, {HOURS}, {ATR}, {SWINGS}, {BREAKS}"
 
 
 def structure(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Hourly bars with ATR, swings and breaks."""
-    bars = hours_atr(spark, sf_dir)
-    pivots = S.swings(bars, OPTIONS.swing_len)
-    return bars, pivots, S.breaks(bars, pivots)
+    """Hourly bars with ATR, swings and breaks, each made once."""
+    bars = made_once(hours_atr(spark, sf_dir), "bars")
+    pivots = made_once(S.swings(bars, OPTIONS.swing_len), "swings")
+    return bars, pivots, made_once(S.breaks(bars, pivots), "breaks")

@@ -12,6 +12,7 @@ from tapeloom.operators import structure as S
 from tapeloom.operators.asof import asof
 from tapeloom.operators.indicators import series
 from tapeloom.operators.passage import first_passage
+from tapeloom.operators.persist import made_once
 from tapeloom.plans.base import FVG, HOURS, OB, OPTIONS, STRUCTURE, TAPE, Registry, bars_sql, hours, minutes, structure
 from tapeloom.sources.tape import table, tape
 
@@ -139,7 +140,7 @@ def _setups(spark, d):
     a, s = blocks.alias("a"), swept.alias("s")
     same = (F.col("a.symbol") == F.col("s.symbol")) & (F.col("a.dir") == F.col("s.dir")) & (F.col("s.sweep_idx") <= F.col("a.ob_idx"))
     latest = a.join(s, same).groupBy(*(F.col(f"a.{c}") for c in blocks.columns)).agg(F.max("s.sweep_idx").alias("sweep_idx"))
-    return bars, latest.where(F.col("sweep_idx") >= F.col("break_idx") - 24)
+    return bars, made_once(latest.where(F.col("sweep_idx") >= F.col("break_idx") - 24), "setups")
 
 
 @R.add(f"{STRUCTURE}, {OB}, {SWEEPS}, {SETUPS} SELECT * FROM setups")
@@ -210,7 +211,7 @@ TRADES = f"{STRUCTURE}, {OB}, {SWEEPS}, {SETUPS}, {ARMED}, {PLANS}, {RACE}"
 
 def _raced(spark, d):
     bars, placed = _orders(spark, d)
-    return bars, M.race(placed, bars, hold=48, expiry=24)
+    return bars, made_once(M.race(placed, bars, hold=48, expiry=24), "race")
 
 
 @R.add(f"{TRADES} SELECT id, coalesce(filled_idx, -1) AS filled_idx, coalesce(exit_idx, -1) AS exit_idx, state FROM race")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.grid import seconds
+from tapeloom.operators.persist import made_once, shared_folder
 from tapeloom.plans.base import TAPE, Registry, bars_sql
 from tapeloom.sources.tape import table, tape
 from tapeloom.streaming import minutes as S
@@ -16,58 +14,89 @@ from tapeloom.streaming import minutes as S
 R = Registry()
 
 
-def _folder(spark) -> str:
-    """A new folder in the shared folder of the session (a temporary one where none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tapeloom-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+#: Files of the stream, days of a file; every LATEth trade comes two files later.
+FILES, DAYS, LATE = 6, 8, 97
+_DAY = "(epoch(ts)::BIGINT // 86400 - (SELECT min(epoch(ts))::BIGINT // 86400 FROM tape))"
+DELIVERED = f"""dl AS (SELECT *, least({_DAY} // {DAYS}, {FILES - 3}) + CASE WHEN trade_id % {LATE} = 0 THEN 2 ELSE 0 END AS file FROM tape)"""
+_US = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"
 
 
-def _tape_files(spark, d, folder, columns):
-    """The tape written in time order as a few files, as a stream reads them."""
-    rows = columns(tape(spark, d))
-    rows.repartitionByRange(4, rows.columns[1]).sortWithinPartitions(rows.columns[1]).write.parquet(f"{folder}/in")
-    return S.read_tape(spark, f"{folder}/in", ", ".join(f"{n} {t}" for n, t in rows.dtypes), files=4)
+def _deliveries(spark, d, folder, again: bool = False):
+    """The tape as a stream of FILES files, one a trigger, in which some trades come late; with
+    again, every 31st trade is delivered twice."""
+    t = tape(spark, d).select("symbol", "ts", "trade_id", "px", F.col("qty").cast("double").alias("qty"), F.expr(_US).alias("us"))
+    first = F.broadcast(t.agg(F.floor(F.min("us") / 86_400_000_000).alias("first")))
+    day = F.floor(F.col("us") / 86_400_000_000) - F.col("first")
+    late = F.when(F.col("trade_id") % LATE == 0, 2).otherwise(0)
+    rows = t.join(first).withColumn("file", F.least(F.floor(day / DAYS), F.lit(FILES - 3)) + late).drop("first")
+    if again:
+        rows = rows.unionByName(rows.where("trade_id % 31 = 0"))
+    rows = made_once(rows.withColumn("ts", F.col("ts").cast("timestamp")), "deliveries")
+    for k in range(FILES):  # a file stream takes older files first
+        rows.where(F.col("file") == k).drop("file").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return S.read_tape(spark, f"{folder}/in", ", ".join(f"{n} {t}" for n, t in rows.drop("file").dtypes), files=1)
 
 
 @R.add(
-    f"""WITH {TAPE}, {bars_sql('m', '1 minute')}, last AS (SELECT max(ts) - INTERVAL 2 SECOND AS mark FROM tape)
+    f"""WITH {TAPE}, {DELIVERED}, marks AS (SELECT f.file, (SELECT max(ts) - INTERVAL 2 SECOND FROM dl WHERE dl.file <= f.file - 2) AS mark FROM (SELECT DISTINCT file FROM dl) f),
+ok AS (SELECT dl.* FROM dl JOIN marks USING (file) WHERE mark IS NULL OR time_bucket(INTERVAL '1 minute', ts) + INTERVAL 1 MINUTE > mark),
+{bars_sql('m', '1 minute', 'ok')}, last AS (SELECT max(ts) - INTERVAL 2 SECOND AS mark FROM dl)
 SELECT m.symbol, m.open_time, m.close, m.n FROM m, last WHERE m.open_time + INTERVAL 1 MINUTE <= mark"""
 )
 def str_closed_minutes(spark, d):
-    folder = _folder(spark)
-    stream = _tape_files(spark, d, folder, lambda t: t.select("symbol", F.col("ts").cast("timestamp").alias("ts"), "trade_id", "px", F.col("qty").cast("double").alias("qty")))
-    S.run_to_end(S.closed_minutes(stream), f"{folder}/out", f"{folder}/state")
+    """A trade is dropped as late once the watermark of the batch before had passed its minute."""
+    folder = shared_folder(spark, "stream")
+    S.run_to_end(S.closed_minutes(_deliveries(spark, d, folder)), f"{folder}/out", f"{folder}/state")
     done = spark.read.parquet(f"{folder}/out")
     return done.select("symbol", F.col("open_time").cast("timestamp_ntz").alias("open_time"), "close", "n")
 
 
 @R.add(
-    f"""WITH {TAPE}, {bars_sql('m', '1 minute')}, last AS (SELECT symbol, time_bucket(INTERVAL '1 minute', max(ts) - INTERVAL 2 SECOND) AS mark FROM tape GROUP BY 1)
-SELECT m.symbol, 'M1' AS kind, epoch_us(m.open_time) AS open_us, m.open, m.high, m.low, m.close, m.n FROM m JOIN last USING (symbol) WHERE m.open_time < mark"""
+    f"""WITH {TAPE}, {DELIVERED}, u AS (SELECT *, epoch_us(ts) AS us FROM dl),
+ends AS (SELECT symbol, file, max((us - 2000000) // 60000000 * 60000000) AS e FROM u GROUP BY ALL),
+marks AS (SELECT f.symbol, f.file, coalesce(max(e.e), 0) AS mark FROM (SELECT DISTINCT symbol, file FROM u) f LEFT JOIN ends e ON e.symbol = f.symbol AND e.file < f.file GROUP BY ALL),
+t AS (SELECT u.*, us < mark AS late FROM u JOIN marks USING (symbol, file)),
+last AS (SELECT symbol, max(e) AS mark FROM ends GROUP BY 1),
+m AS (SELECT symbol, us // 60000000 * 60000000 AS open_us, first(px ORDER BY us, trade_id) AS open, max(px) AS high, min(px) AS low, last(px ORDER BY us, trade_id) AS close, count(*) AS n
+  FROM t WHERE NOT late GROUP BY ALL)
+SELECT symbol, 'M1' AS kind, open_us, open, high, low, close, n FROM m JOIN last USING (symbol) WHERE open_us < mark
+UNION ALL SELECT symbol, 'LATE', us, px, px, px, px, 1 FROM t WHERE late
+UNION ALL SELECT symbol, 'LATE', us, px, px, px, px, 1 FROM t WHERE late AND trade_id % 31 = 0"""
 )
 def str_stateful_minutes(spark, d):
-    folder = _folder(spark)
-    us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("us")
-    stream = _tape_files(spark, d, folder, lambda t: t.select("symbol", us, "trade_id", "px"))
+    """Late trades are reported at every delivery; repeated ones count once in a minute."""
+    folder = shared_folder(spark, "stream")
+    stream = _deliveries(spark, d, folder, again=True).select("symbol", "us", "trade_id", "px")
     S.run_to_end(S.minutes_with_late(stream), f"{folder}/out", f"{folder}/state")
     return spark.read.parquet(f"{folder}/out")
 
 
 @R.add(f"WITH {TAPE}, {bars_sql('h', '1 hour')} SELECT symbol, max(open_time) AS open_time, max_by(open, open_time) AS open, max_by(close, open_time) AS close, max_by(n, open_time) AS n FROM h GROUP BY symbol")
 def str_forming_bar(spark, d):
-    bars = S.forming(tape(spark, d))
+    """The last state of a stream in complete mode, batch by batch."""
+    folder = shared_folder(spark, "stream")
+    S.each_batch(S.forming(_deliveries(spark, d, folder)), lambda rows, number: rows.write.parquet(f"{folder}/batch{number:04d}"), f"{folder}/state", "complete")
+    bars = spark.read.parquet(f"{folder}/batch{FILES - 1:04d}").withColumn("open_time", F.col("open_time").cast("timestamp_ntz"))
     latest = F.max_by(F.struct("open_time", "open", "close", "n"), "open_time")
     return bars.groupBy("symbol").agg(latest.alias("x")).select("symbol", "x.*")
 
 
 @R.add(f"WITH {TAPE}, {bars_sql('m', '1 minute')} SELECT symbol, open_time, close, n FROM m")
 def str_late_revision(spark, d):
-    """Minutes made without every 13th trade, then those trades arrive late."""
+    """Each batch is added to the stored trades, and the minutes it touches are made anew."""
     from tapeloom.operators.bars import bars_of_trades
 
-    t = tape(spark, d)
-    early, late = t.where("trade_id % 13 <> 0"), t.where("trade_id % 13 = 0")
-    return S.revised(bars_of_trades(early, "1m"), late, t).select("symbol", "open_time", "close", "n")
+    folder = shared_folder(spark, "stream")
+
+    def revise(rows, number):
+        rows.write.mode("append").parquet(f"{folder}/trades")
+        trades = spark.read.parquet(f"{folder}/trades")
+        made = bars_of_trades(trades, "1m") if number == 0 else S.revised(spark.read.parquet(f"{folder}/minutes{number - 1}"), rows, trades)
+        made.write.parquet(f"{folder}/minutes{number}")
+
+    S.each_batch(_deliveries(spark, d, folder), revise, f"{folder}/state", "append")
+    done = spark.read.parquet(f"{folder}/minutes{FILES - 1}")
+    return done.select("symbol", F.col("open_time").cast("timestamp_ntz").alias("open_time"), "close", "n")
 
 
 @R.add(

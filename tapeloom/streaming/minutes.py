@@ -6,7 +6,7 @@ reported, never applied.  State is kept by symbol and holds unfinished minutes o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -51,7 +51,8 @@ def minutes_with_late(trades: DataFrame, grace_us: int = 2_000_000) -> DataFrame
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         next_us, us, ids, px = state.get if state.exists else (0, [], [], [])
-        rows = [pd.DataFrame({"us": list(us), "trade_id": list(ids), "px": list(px)})]
+        kinds = {"us": "int64", "trade_id": "int64", "px": "float64"}  # an empty frame would make floats of all
+        rows = [pd.DataFrame({"us": list(us), "trade_id": list(ids), "px": list(px)}).astype(kinds)]
         late = []
         for frame in frames:
             old = frame["us"] < next_us
@@ -89,6 +90,13 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
     query.trigger(availableNow=True).start().awaitTermination()
 
 
+def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, mode: str) -> None:
+    """Call work(rows, number) for every batch until all input that is there was read. A batch may
+    come again after a failure, so work must overwrite what belongs to its number."""
+    query = stream.writeStream.foreachBatch(work).outputMode(mode).option("checkpointLocation", checkpoint)
+    query.trigger(availableNow=True).start().awaitTermination()
+
+
 def revised(minutes: DataFrame, late: DataFrame, trades: DataFrame) -> DataFrame:
     """minutes with those recomputed from trades that late trades fell into (foreachBatch body)."""
     from tapeloom.operators.bars import bars_of_trades

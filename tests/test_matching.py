@@ -18,11 +18,12 @@ def frames(spark, a, b):
 
 
 def plain_nearest(a, b, within):
-    pairs = sorted((abs(x[2] - y[2]), x[1], y[1]) for x, y in itertools.product(a, b) if x[0] == y[0] and abs(x[2] - y[2]) <= within)
-    left, right, out = set(), set(), set()
-    for _, i, j in pairs:
-        if i not in left and j not in right:
-            left.add(i), right.add(j), out.add((i, j))
+    used, out = set(), set()
+    for key, i, t in sorted(a, key=lambda r: (r[2], r[1])):
+        near = sorted((abs(t - y[2]), y[1]) for y in b if y[0] == key and abs(t - y[2]) <= within and (key, y[1]) not in used)
+        if near:
+            used.add((key, near[0][1]))
+            out.add((i, near[0][1]))
     return out
 
 
