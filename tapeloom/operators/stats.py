@@ -15,17 +15,19 @@ def hashed(*parts, buckets: int) -> F.Column:
 POISSON = (36788, 73576, 91970, 98101, 99634, 99941, 99992)
 
 
-def bootstrap_mean(rows: DataFrame, group: str, row_id: str, value: str, resamples: int) -> DataFrame:
+def bootstrap_mean(rows: DataFrame, group: str, row_id: str, value: str, resamples: int, bins: int = 1000) -> DataFrame:
     """group, mean, low, high: the mean and its 95 % interval by a Poisson bootstrap.
 
-    A row's weight in a resample is a hash of (row, resample), so each resample is one sum and the
-    rows never leave their partitions but as sums.
+    All rows are summed into ``bins`` random bins of their group first, and a bin's weight in a
+    resample is a hash of (bin, resample): the draws don't grow with the rows.
     """
-    draws = rows.select(group, row_id, value, F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
-    u = hashed(F.col(row_id).cast("string"), F.col("b").cast("string"), buckets=100_000)
+    bin_ = hashed(F.col(row_id).cast("string"), F.lit("bin"), buckets=bins)
+    sums = rows.where(F.col(value).isNotNull()).groupBy(group, bin_.alias("bin")).agg(F.sum(value).alias("v"), F.count("*").alias("c"))
+    draws = sums.repartition(group, "bin").select("*", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
+    u = hashed(F.col("bin").cast("string"), F.col("b").cast("string"), buckets=100_000)
     weight = sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
-    sums = draws.withColumn("w", weight).groupBy(group, "b").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("m"))
-    spread = sums.groupBy(group).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    means = draws.withColumn("w", weight).groupBy(group, "b").agg((F.sum(F.col("w") * F.col("v")) / F.sum(F.col("w") * F.col("c"))).alias("m"))
+    spread = means.groupBy(group).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
     return rows.groupBy(group).agg(F.avg(value).alias("mean")).join(spread, group)
 
 

@@ -393,16 +393,18 @@ def sim_ledger_balance(spark, d):
 
 
 @R.add(
-    f"""WITH {TAPE}, l AS (SELECT symbol, px, lag(px) OVER (PARTITION BY symbol ORDER BY px, trade_id) AS prev FROM tape WHERE ts < TIMESTAMP '2024-01-06'),
+    f"""WITH {TAPE}, l AS (SELECT symbol, px, lag(px) OVER (PARTITION BY symbol ORDER BY px, trade_id) AS prev FROM tape),
 c AS (SELECT *, sum(CASE WHEN px - prev <= 0.5 THEN 0 ELSE 1 END) OVER (PARTITION BY symbol ORDER BY px ROWS UNBOUNDED PRECEDING) AS cluster FROM l)
 SELECT symbol, round(min(px), 2) AS bottom, round(max(px), 2) AS top, count(*) AS n FROM c GROUP BY symbol, cluster HAVING count(*) >= 2"""
 )
 def win_equal_levels(spark, d):
-    day = tape(spark, d).where(F.col("ts") < F.lit("2024-01-06").cast("timestamp_ntz"))
-    w = Window.partitionBy("symbol").orderBy("px", "trade_id")
-    near = day.withColumn("begins", F.when(F.col("px") - F.lag("px").over(w) <= 0.5, 0).otherwise(1))
+    """Runs of prices of which none is more than 0.5 above the one before; equal prices are counted
+    first, so a series has one row a price."""
+    levels = tape(spark, d).groupBy("symbol", "px").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("symbol").orderBy("px")
+    near = levels.withColumn("begins", F.when(F.col("px") - F.lag("px").over(w) <= 0.5, 0).otherwise(1))
     c = near.withColumn("cluster", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return c.groupBy("symbol", "cluster").agg(F.round(F.min("px"), 2).alias("bottom"), F.round(F.max("px"), 2).alias("top"), F.count("*").alias("n")).where("n >= 2").drop("cluster")
+    return c.groupBy("symbol", "cluster").agg(F.round(F.min("px"), 2).alias("bottom"), F.round(F.max("px"), 2).alias("top"), F.sum("n").alias("n")).where("n >= 2").drop("cluster")
 
 
 @R.add(

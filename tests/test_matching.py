@@ -99,3 +99,25 @@ def test_long_dense_feeds_have_the_best_alignment(spark):
     got = reconcile.aligned(*frames(spark, a, b), ["k"], 10.0, 60.0).collect()
     assert (len(got), -sum(abs(b[j][2] - a[i][2]) for i, j in got)) == best[0][0]
     assert {tuple(x) for x in reconcile.nearest_matches(*frames(spark, a, b), ["k"], 25.0).collect()} == plain_nearest(a, b, 25.0)
+
+
+def test_controls_share_the_keys_and_are_drawn_once(spark):
+    from tapeloom.operators import stats
+
+    events = spark.range(40).selectExpr("id as event_id", "cast(id % 4 as int) as hour")
+    pool = spark.range(1000, 3000).selectExpr("id as control_id", "cast(id % 5 as int) as hour")
+    got = stats.controls(events, pool, ["hour"], 5).collect()
+    assert len(got) == 200 == len({tuple(r) for r in got})
+    assert all(r.event_id % 4 == r.control_id % 5 for r in got)
+
+
+def test_stateful_minutes_keep_what_a_batch_leaves(spark, tmp_path):
+    from tapeloom.streaming import minutes as S
+
+    batches = [[("s", 10, 1, 1.0), ("s", 61_000_000, 2, 2.0)], [("s", 62_000_000, 3, 3.0), ("s", 62_000_000, 3, 3.0), ("s", 200_000_000, 4, 4.0)], [("s", 70_000_000, 5, 9.0)]]
+    schema = "symbol string, us long, trade_id long, px double"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    S.run_to_end(S.minutes_with_late(S.read_tape(spark, f"{tmp_path}/in", schema)), f"{tmp_path}/out", f"{tmp_path}/state")
+    got = sorted((r.kind, r.open_us, r.open, r.close, r.n) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [("LATE", 70_000_000, 9.0, 9.0, 1), ("M1", 0, 1.0, 1.0, 1), ("M1", 60_000_000, 2.0, 3.0, 2)]
