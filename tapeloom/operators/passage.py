@@ -29,3 +29,16 @@ def first_passage(asks: DataFrame, bars: DataFrame, condition: Column, name: str
         F.min("b.idx").alias(name), *(F.min_by(c, F.col("b.idx")).alias(k) for k, c in extra.items())
     )
     return asks.join(first, "id", "left")
+
+
+def spans(asks: DataFrame, bars: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Each ask (symbol, lo, hi) beside every row of bars (symbol, idx) with lo <= idx <= hi.
+
+    Joined on symbol and block like first_passage, so the result is as large as the spans are long.
+    Other columns of asks and bars must not share names; asks with hi < lo give no rows.
+    """
+    spread = asks.where("hi >= lo").select(
+        "*", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor(F.col("hi") / block))).alias("_block")
+    )
+    blocked = bars.withColumn("_block", F.floor(F.col("idx") / block))
+    return spread.join(blocked, ["symbol", "_block"]).where(F.col("idx").between(F.col("lo"), F.col("hi"))).drop("_block")
