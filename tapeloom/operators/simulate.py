@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.operators.passage import BLOCK
+from tapeloom.operators.passage import BLOCK, spans
 
 
-def race(orders: DataFrame, bars: DataFrame, hold: int, expiry: int, block: int = BLOCK) -> DataFrame:
+def race(
+    orders: DataFrame, bars: DataFrame, hold: int, expiry: int, block: int = BLOCK, target_first: bool = False, through: bool = False
+) -> DataFrame:
     """orders with filled_idx, exit_idx, state: the life of a limit order as a race of first bars.
 
     orders: id, symbol, dir, created_idx, entry, stop, target. An order fills on the first bar that
     reaches entry, unless the target was reached (MISSED) or expiry bars passed (EXPIRED) before
     that bar. A fill bar that reaches the stop exits there. From the next bar on, in one bar the
     stop goes before the target, and both before TIMEOUT after hold bars. OPEN at the data's end.
+    target_first: the target goes before the stop; through: a fill needs a price beyond the entry.
     """
     horizon = expiry + hold
     b = bars.select("symbol", "idx", "high", "low", F.floor(F.col("idx") / block).alias("_block"))
@@ -24,6 +27,8 @@ def race(orders: DataFrame, bars: DataFrame, hold: int, expiry: int, block: int
     met = spread.join(b, ["symbol", "_block"]).where(F.col("idx").between(F.col("created_idx"), F.col("last")))
     long = F.col("dir") == 1
     at_entry = F.when(long, F.col("low") <= F.col("entry")).otherwise(F.col("high") >= F.col("entry"))
+    if through:
+        at_entry = F.when(long, F.col("low") < F.col("entry")).otherwise(F.col("high") > F.col("entry"))
     at_stop = F.when(long, F.col("low") <= F.col("stop")).otherwise(F.col("high") >= F.col("stop"))
     at_target = F.when(long, F.col("high") >= F.col("target")).otherwise(F.col("low") <= F.col("target"))
     flags = met.select("id", "idx", "created_idx", at_entry.alias("e"), at_stop.alias("s"), at_target.alias("t"))
@@ -46,23 +51,24 @@ def race(orders: DataFrame, bars: DataFrame, hold: int, expiry: int, block: int
     )
     both = start.join(exits, "id", "left")
     finish = F.least(
-        F.struct(F.coalesce("s0", "s1", far).alias("i"), F.lit(0).alias("p")),
-        F.struct(F.coalesce("t1", far).alias("i"), F.lit(1).alias("p")),
+        F.struct(F.coalesce("s0", "s1", far).alias("i"), F.lit(1 if target_first else 0).alias("p")),
+        F.struct(F.coalesce("t1", far).alias("i"), F.lit(0 if target_first else 1).alias("p")),
         F.struct(F.coalesce("o1", far).alias("i"), F.lit(2).alias("p")),
     )
+    names = ("TP", "SL", "TIMEOUT") if target_first else ("SL", "TP", "TIMEOUT")
     both = both.withColumn("z", F.when(F.col("filled_idx").isNotNull(), finish))
     missed = F.col("m").isNotNull() & (F.col("m") <= F.coalesce("x", far))
     state = (
         F.when(F.col("filled_idx").isNull(), F.when(missed, "MISSED").when(F.col("x").isNotNull(), "EXPIRED").otherwise("PENDING"))
         .when(F.col("z.i") == far, "OPEN")
-        .otherwise(F.element_at(F.array(F.lit("SL"), F.lit("TP"), F.lit("TIMEOUT")), F.col("z.p") + 1))
+        .otherwise(F.element_at(F.array(*(F.lit(n) for n in names)), F.col("z.p") + 1))
     )
     exit_idx = F.when(F.col("filled_idx").isNull(), F.when(missed, F.col("m")).otherwise(F.col("x"))).when(F.col("z.i") < far, F.col("z.i"))
     out = both.select("id", "filled_idx", exit_idx.alias("exit_idx"), state.alias("state"))
     return orders.join(out, "id", "left").withColumn("state", F.coalesce("state", F.lit("PENDING")))
 
 
-def net_r(state: Column, dir_: Column, entry: Column, stop: Column, target: Column, close: Column, cost: float) -> Column:
+def net_r(state: Column, dir_: Column, entry: Column, stop: Column, target: Column, close: Column, cost: float | Column) -> Column:
     """Result in risk units: a full stop is -1, costs a share of both prices are part of the risk."""
     exit_ = F.when(state == "SL", stop).when(state == "TP", target).otherwise(close)
     unit = F.abs(entry - stop) + cost * (entry + stop)
@@ -111,6 +117,43 @@ def outcomes(touches: DataFrame, bars: DataFrame, horizon: int, block: int = BLO
     )
 
 
+def trailing(trades: DataFrame, bars: DataFrame, hold: int, atrs: float) -> DataFrame:
+    """id, exit_idx, rule, price of filled trades whose stop follows the best price.
+
+    trades: id, symbol, dir, filled_idx, stop. The stop stands atrs ATR (of the fill bar) behind the
+    best price of the bars before, and never goes back. TIME: at the close hold bars after the
+    fill; OPEN, without exit, if the data end before.
+    """
+    at_fill = bars.select("symbol", F.col("idx").alias("filled_idx"), F.col("atr").alias("fill_atr"))
+    asks = trades.select("id", "symbol", "dir", "filled_idx", "stop").join(at_fill, ["symbol", "filled_idx"])
+    asks = asks.withColumn("lo", F.col("filled_idx")).withColumn("hi", F.col("filled_idx") + hold)
+    long = F.col("dir") == 1
+    rows = spans(asks, bars.select("symbol", "idx", "high", "low", "close"))
+    before = Window.partitionBy("id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    best = F.max(F.when(long, F.col("high")).otherwise(-F.col("low"))).over(before)
+    rows = rows.withColumn("level", F.greatest(F.col("dir") * F.col("stop"), best - atrs * F.col("fill_atr")))
+    hit = F.when(long, F.col("low")).otherwise(-F.col("high")) <= F.col("level")
+    last = F.col("idx") == F.col("hi")
+    out = rows.select("id", "idx", F.when(hit, F.col("dir") * F.col("level")).when(last, F.col("close")).alias("price"), F.when(hit, "TRAIL").when(last, "TIME").alias("rule"))
+    ends = out.where("rule is not null").groupBy("id").agg(F.min("idx").alias("exit_idx"), F.min_by("rule", "idx").alias("rule"), F.min_by("price", "idx").alias("price"))
+    return trades.select("id").join(ends, "id", "left").select("id", "exit_idx", F.coalesce("rule", F.lit("OPEN")).alias("rule"), "price")
+
+
+def random_entries(trades: DataFrame, bars: DataFrame, hold: int, draws: int) -> DataFrame:
+    """id, draws, mean_r: what entries of the same side and risk at random bars of the series yield.
+
+    trades: id, symbol, dir, unit. Bars are picked by a hash of id and draw among those with hold
+    bars after them; the result is the move over hold bars in units.
+    """
+    lengths = bars.groupBy("symbol").agg((F.max("idx") - hold).alias("room"))
+    picked = trades.join(F.broadcast(lengths), "symbol").where("room > 0").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", "id", F.col("draw").cast("string"))), 1, 7), 16, 10).cast("long")
+    start = bars.select("symbol", "idx", F.col("close").alias("first"))
+    end = bars.select("symbol", (F.col("idx") - hold).alias("idx"), F.col("close").alias("then"))
+    rows = picked.withColumn("idx", number % F.col("room")).join(start, ["symbol", "idx"]).join(end, ["symbol", "idx"])
+    return rows.groupBy("id").agg(F.count("*").alias("draws"), F.avg(F.col("dir") * (F.col("then") - F.col("first")) / F.col("unit")).alias("mean_r"))
+
+
 def one_at_a_time(trades: DataFrame, group: str, start: str, end: str, slots: int = 1) -> DataFrame:
     """trades that a group with so many slots takes, in order of (start, id).
 

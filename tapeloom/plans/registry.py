@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tapeloom.plans import facts, market, records, setups, streams, views
+from tapeloom.plans import facts, market, records, setups, streams, views, walks
 
-_MODULES = (market, facts, records, setups, streams, views)
+_MODULES = (market, facts, records, setups, streams, views, walks)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.R.queries.items()}
 ORACLE_SQL = {name: text for m in _MODULES for name, text in m.R.sql.items()}
