@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.operators.indicators import series
-from tapeloom.operators.passage import first_passage
+from tapeloom.operators.passage import first_passage, spans
 
 
 @dataclass(frozen=True)
@@ -118,19 +118,14 @@ def order_blocks(bars: DataFrame, events: DataFrame, o: StructureOptions) -> Dat
         "symbol", "idx", "open", "high", "low", "close",
         F.lead("high", 2).over(w).alias("high2"), F.lead("low", 2).over(w).alias("low2"),
     )
-    asks = events.withColumn("lo", F.greatest(F.col("level_idx") + 1, F.col("break_idx") - o.ob_lookback))
-    b = near.alias("b")
-    joined = asks.alias("a").join(
-        b, (F.col("a.symbol") == F.col("b.symbol")) & F.col("b.idx").between(F.col("a.lo"), F.col("a.break_idx") - 1)
-    )
+    asks = events.select("symbol", "break_idx", "dir", F.greatest(F.col("level_idx") + 1, F.col("break_idx") - o.ob_lookback).alias("lo"), (F.col("break_idx") - 1).alias("hi"))
+    joined = spans(asks, near)
     if o.ob_rule == "extreme":
-        rank = F.struct(F.when(F.col("a.dir") == 1, -F.col("b.low")).otherwise(F.col("b.high")), F.col("b.idx"))
+        rank = F.struct(F.when(F.col("dir") == 1, -F.col("low")).otherwise(F.col("high")), F.col("idx"))
     else:
-        joined = joined.where(F.when(F.col("a.dir") == 1, F.col("b.close") < F.col("b.open")).otherwise(F.col("b.close") > F.col("b.open")))
-        rank = F.struct(F.col("b.idx"))
-    chosen = joined.groupBy(F.col("a.symbol").alias("symbol"), F.col("a.break_idx").alias("break_idx"), F.col("a.dir").alias("dir")).agg(
-        F.max_by(F.struct("b.idx", "b.high", "b.low", "b.high2", "b.low2"), rank).alias("c")
-    )
+        joined = joined.where(F.when(F.col("dir") == 1, F.col("close") < F.col("open")).otherwise(F.col("close") > F.col("open")))
+        rank = F.struct(F.col("idx"))
+    chosen = joined.groupBy("symbol", "break_idx", "dir").agg(F.max_by(F.struct("idx", "high", "low", "high2", "low2"), rank).alias("c"))
     at_break = bars.select("symbol", F.col("idx").alias("break_idx"), "atr")
     rows = chosen.join(at_break, ["symbol", "break_idx"])
     rows = rows.where(F.col("atr").isNull() | (F.lit(o.ob_min_atr) <= 0) | (F.col("c.high") - F.col("c.low") >= o.ob_min_atr * F.col("atr")))
@@ -156,14 +151,13 @@ def leg_gaps(bars: DataFrame, legs: DataFrame) -> DataFrame:
     """symbol, id, mid_idx, bottom, top: every three-bar gap whose middle bar lies in (lo, hi)."""
     w = series()
     high0, low0, high2, low2 = F.lag("high").over(w), F.lag("low").over(w), F.lead("high").over(w), F.lead("low").over(w)
-    rows = bars.select("symbol", "idx", high0.alias("h0"), low0.alias("l0"), high2.alias("h2"), low2.alias("l2")).alias("b")
-    a = legs.alias("a")
-    met = a.join(rows, (F.col("a.symbol") == F.col("b.symbol")) & (F.col("b.idx") > F.col("a.lo")) & (F.col("b.idx") < F.col("a.hi")))
-    met = met.where("(a.dir = 1 and b.l2 > b.h0) or (a.dir = -1 and b.h2 < b.l0)")
+    rows = bars.select("symbol", "idx", high0.alias("h0"), low0.alias("l0"), high2.alias("h2"), low2.alias("l2"))
+    inner = legs.select("symbol", "id", "dir", (F.col("lo") + 1).alias("lo"), (F.col("hi") - 1).alias("hi"))
+    met = spans(inner, rows).where("(dir = 1 and l2 > h0) or (dir = -1 and h2 < l0)")
     return met.select(
-        "a.symbol", "a.id", F.col("b.idx").alias("mid_idx"),
-        F.when(F.col("a.dir") == 1, F.col("b.h0")).otherwise(F.col("b.h2")).alias("bottom"),
-        F.when(F.col("a.dir") == 1, F.col("b.l2")).otherwise(F.col("b.l0")).alias("top"),
+        "symbol", "id", F.col("idx").alias("mid_idx"),
+        F.when(F.col("dir") == 1, F.col("h0")).otherwise(F.col("h2")).alias("bottom"),
+        F.when(F.col("dir") == 1, F.col("l2")).otherwise(F.col("l0")).alias("top"),
     )
 
 
@@ -202,13 +196,11 @@ def sweeps(bars: DataFrame, pivots: DataFrame, lookback: int, tol_atr: float) ->
     at = met.join(bars.select("symbol", "idx", "close", "high", "low", F.coalesce(tol_atr * F.col("atr"), F.lit(0.0)).alias("tol")), ["symbol", "idx"])
     back = F.when(F.col("dir") == 1, F.col("close") > F.col("level")).otherwise(F.col("close") < F.col("level"))
     at = at.where(back)
-    p = taken.select("symbol", "dir", "swing_idx", "price", "confirmed_idx", "taken_idx").alias("p")
-    s = at.alias("s")
-    alive = (
-        (F.col("p.symbol") == F.col("s.symbol")) & (F.col("p.dir") == F.col("s.dir"))
-        & (F.col("p.confirmed_idx") < F.col("s.idx")) & (F.col("p.swing_idx") >= F.col("s.idx") - lookback)
-        & (F.col("p.taken_idx").isNull() | (F.col("p.taken_idx") > F.col("s.idx")))
-        & F.when(F.col("s.dir") == 1, F.col("p.price") >= F.col("s.level") - F.col("s.tol")).otherwise(F.col("p.price") <= F.col("s.level") + F.col("s.tol"))
+    p = taken.select("symbol", F.col("swing_idx").alias("idx"), F.col("dir").alias("side"), "price", "confirmed_idx", "taken_idx")
+    asks = at.select("symbol", "dir", F.col("idx").alias("at_idx"), F.col("level").alias("at_level"), "tol", (F.col("idx") - lookback).alias("lo"), (F.col("idx") - 1).alias("hi"))
+    intact = spans(asks, p).where(
+        (F.col("side") == F.col("dir")) & (F.col("confirmed_idx") < F.col("at_idx")) & (F.col("taken_idx").isNull() | (F.col("taken_idx") > F.col("at_idx")))
+        & F.when(F.col("dir") == 1, F.col("price") >= F.col("at_level") - F.col("tol")).otherwise(F.col("price") <= F.col("at_level") + F.col("tol"))
     )
-    clear = s.join(p, alive, "left_anti")
+    clear = at.join(intact.select("symbol", "dir", F.col("at_idx").alias("idx")), ["symbol", "dir", "idx"], "left_anti")
     return clear.select("symbol", "idx", "dir", "level", F.when(F.col("dir") == 1, F.col("low")).otherwise(F.col("high")).alias("wick"))

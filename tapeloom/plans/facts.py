@@ -11,7 +11,7 @@ from tapeloom.operators import simulate as M
 from tapeloom.operators import structure as S
 from tapeloom.operators.asof import asof
 from tapeloom.operators.indicators import series
-from tapeloom.operators.passage import first_passage
+from tapeloom.operators.passage import first_passage, spans
 from tapeloom.operators.persist import made_once
 from tapeloom.plans.base import FVG, HOURS, OB, OPTIONS, STRUCTURE, TAPE, Registry, bars_sql, hours, minutes, structure
 from tapeloom.sources.tape import table, tape
@@ -136,11 +136,10 @@ def _setups(spark, d):
     """Blocks whose latest sweep of their side lies at most 24 bars before the break."""
     bars, pivots, events = structure(spark, d)
     blocks = S.order_blocks(bars, events, OPTIONS)
-    swept = S.sweeps(bars, pivots, LB, OPTIONS.eq_tol_atr).select("symbol", "dir", F.col("idx").alias("sweep_idx"))
-    a, s = blocks.alias("a"), swept.alias("s")
-    same = (F.col("a.symbol") == F.col("s.symbol")) & (F.col("a.dir") == F.col("s.dir")) & (F.col("s.sweep_idx") <= F.col("a.ob_idx"))
-    latest = a.join(s, same).groupBy(*(F.col(f"a.{c}") for c in blocks.columns)).agg(F.max("s.sweep_idx").alias("sweep_idx"))
-    return bars, made_once(latest.where(F.col("sweep_idx") >= F.col("break_idx") - 24), "setups")
+    swept = S.sweeps(bars, pivots, LB, OPTIONS.eq_tol_atr).select("symbol", F.col("dir").alias("side"), "idx")
+    asks = blocks.withColumn("lo", F.col("break_idx") - 24).withColumn("hi", F.col("ob_idx"))
+    latest = spans(asks, swept).where("side = dir").groupBy(*blocks.columns).agg(F.max("idx").alias("sweep_idx"))
+    return bars, made_once(latest, "setups")
 
 
 @R.add(f"{STRUCTURE}, {OB}, {SWEEPS}, {SETUPS} SELECT * FROM setups")
@@ -400,12 +399,11 @@ ON f.symbol = o.symbol AND f.dir = o.dir AND f.created_idx BETWEEN o.break_idx -
 )
 def prj_zone_overlap(spark, d):
     bars, _, events = structure(spark, d)
-    o = S.order_blocks(bars, events, OPTIONS).select("symbol", "break_idx", "dir", "bottom", "top").distinct().alias("o")
-    f = S.fair_value_gaps(bars, OPTIONS.fvg_min_atr).alias("f")
-    same = (F.col("o.symbol") == F.col("f.symbol")) & (F.col("o.dir") == F.col("f.dir"))
-    near = F.col("f.created_idx").between(F.col("o.break_idx") - 10, F.col("o.break_idx") + 10)
-    meets = (F.col("o.bottom") <= F.col("f.top")) & (F.col("f.bottom") <= F.col("o.top"))
-    return o.join(f, same & near & meets).select("o.symbol", "o.break_idx", "f.created_idx")
+    o = S.order_blocks(bars, events, OPTIONS).select("symbol", "break_idx", "dir", "bottom", "top").distinct()
+    asks = o.withColumn("lo", F.col("break_idx") - 10).withColumn("hi", F.col("break_idx") + 10)
+    gaps = S.fair_value_gaps(bars, OPTIONS.fvg_min_atr).select("symbol", F.col("created_idx").alias("idx"), F.col("dir").alias("side"), F.col("bottom").alias("low"), F.col("top").alias("high"))
+    met = spans(asks, gaps).where("side = dir and bottom <= high and low <= top")
+    return met.select("symbol", "break_idx", F.col("idx").alias("created_idx"))
 
 
 @R.add(
