@@ -265,3 +265,19 @@ def evaluated(rows: DataFrame, o: OrderOptions) -> DataFrame:
         )
     )
     return sized.withColumn("reasons", F.when(F.col("first_").isNotNull(), F.array("first_")).otherwise(others)).drop("first_", "capped_")
+
+
+def order_moments(plans: DataFrame, confirmed: DataFrame | None, minutes: int) -> DataFrame:
+    """id, at_k, kind, reason, price: when the order of an armed setup exists.
+
+    Without confirmed: a LIMIT order at the edge from the arming minute. With confirmed (id, outcome,
+    decided_k in bars of so many minutes, price): a MARKET order at the close of the confirming bar,
+    or REJECTED with the outcome as reason; no row while the outcome is open.
+    """
+    if confirmed is None:
+        return plans.select("id", F.col("armed_k").alias("at_k"), F.lit("LIMIT").alias("kind"), F.lit("").alias("reason"), F.col("edge").alias("price"))
+    won = F.col("outcome") == "CONFIRM"
+    return confirmed.where("outcome <> 'OPEN'").select(
+        "id", ((F.col("decided_k") + 1) * minutes).alias("at_k"), F.when(won, "MARKET").otherwise("REJECTED").alias("kind"),
+        F.when(won, "").otherwise(F.col("outcome")).alias("reason"), F.when(won, F.col("price")).alias("price"),
+    )

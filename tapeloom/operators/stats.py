@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def hashed(*parts, buckets: int) -> F.Column:
+def hashed(*parts, buckets: int) -> Column:
     """A number of 0..buckets-1 from md5 of the parts, the same in any engine."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long") % buckets
 
@@ -51,7 +51,27 @@ def agreement(states: DataFrame, a: str, b: str) -> DataFrame:
     return states.groupBy("symbol").agg(F.count("*").alias("n"), F.avg((F.col(a) == F.col(b)).cast("double")).alias("share"))
 
 
-def break_even(trades: DataFrame, gross: str, cost: str) -> float | None:
-    """The cost factor at which total gross equals total cost; both are sums, so no search is needed."""
-    row = trades.agg(F.sum(gross).alias("g"), F.sum(cost).alias("c")).first()
-    return row["g"] / row["c"] if row["c"] else None
+def switch_delays(states: DataFrame, within: int) -> DataFrame:
+    """symbol, defined, share, flips, unled, q1, half, q3: how a fast state leads a slow one.
+
+    states: symbol, idx, hour, slow, fast (-1, 0, 1 each). share: how often both, where neither is 0,
+    are equal (defined: how many such bars). A flip is a bar at which slow takes another value than
+    0; its delay is counted in hours from the last switch of fast to that value, at most within bars
+    before; unled flips have none.
+    """
+    w = Window.partitionBy("symbol").orderBy("idx")
+    before_fast, before_slow = F.lag("fast").over(w), F.lag("slow").over(w)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+
+    def latest(side: int) -> Column:
+        return F.last(F.when((F.col("fast") == side) & (before_fast != side), F.struct("idx", "hour")), True).over(so_far)
+
+    marked = states.select("*", latest(1).alias("up"), latest(-1).alias("down"), ((F.col("slow") != 0) & (F.col("slow") != before_slow)).alias("flip"))
+    led = F.when(F.col("slow") == 1, F.col("up")).otherwise(F.col("down"))
+    marked = marked.withColumn("led", F.when(F.col("flip") & (led["idx"] >= F.col("idx") - within), F.col("hour") - led["hour"]))
+    both = (F.col("slow") != 0) & (F.col("fast") != 0)
+    return marked.groupBy("symbol").agg(
+        F.count_if(both).alias("defined"), F.avg(F.when(both, (F.col("slow") == F.col("fast")).cast("double"))).alias("share"),
+        F.count_if("flip").alias("flips"), F.count_if(F.col("flip") & F.col("led").isNull()).alias("unled"),
+        *(F.percentile("led", F.lit(q)).alias(n) for q, n in ((0.25, "q1"), (0.5, "half"), (0.75, "q3"))),
+    )

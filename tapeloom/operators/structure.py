@@ -6,9 +6,10 @@ the bar at which it is known, so nothing depends on later bars.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.operators.indicators import series
@@ -204,3 +205,45 @@ def sweeps(bars: DataFrame, pivots: DataFrame, lookback: int, tol_atr: float) ->
     )
     clear = at.join(intact.select("symbol", "dir", F.col("at_idx").alias("idx")), ["symbol", "dir", "idx"], "left_anti")
     return clear.select("symbol", "idx", "dir", "level", F.when(F.col("dir") == 1, F.col("low")).otherwise(F.col("high")).alias("wick"))
+
+
+def zone_kinds(bars: DataFrame, pivots: DataFrame, events: DataFrame, o: StructureOptions, sweep_bars: int) -> DataFrame:
+    """kind, symbol, dir, bottom, top, known_idx, born_idx, wick: the six kinds of zones of a study.
+
+    block: last opposite candle of a break; block_gap: with a gap right after it; block_gap_sweep:
+    and a sweep of its side up to it, at most sweep_bars before the break (wick: the latest one's);
+    extreme: the extreme candle instead; gap: a three-bar gap; candle_gap: an opposite candle with a
+    gap right after it. Only zones that are known at a bar with an ATR. o asks for no gap or size.
+    """
+    atr = bars.where("atr > 0").select("symbol", F.col("idx").alias("known_idx"))
+    none = F.lit(None).cast("double").alias("wick")
+    zone = ("kind", "symbol", "dir", "bottom", "top", "known_idx", "born_idx", "wick")
+
+    def named(rows: DataFrame, kind: str, known: Column, born: Column, wick: Column = none) -> DataFrame:
+        return rows.select(F.lit(kind).alias("kind"), "symbol", "dir", "bottom", "top", known.alias("known_idx"), born.alias("born_idx"), wick.alias("wick"))
+
+    def blocks(rule: str) -> DataFrame:
+        found = order_blocks(bars, events, replace(o, ob_rule=rule))
+        return found.join(atr.withColumnRenamed("known_idx", "created_idx"), ["symbol", "created_idx"], "left_semi")
+
+    last = blocks("last_opposite")
+    born = F.col("ob_idx")
+    gapped = last.where("gap_top > gap_bottom")
+    late = F.greatest("break_idx", born + 2)
+    swept = sweeps(bars, pivots, o.lookback, o.eq_tol_atr).select("symbol", "idx", F.col("dir").alias("side"), F.col("wick").alias("own_wick"))
+    asks = gapped.withColumn("lo", F.col("break_idx") - sweep_bars).withColumn("hi", F.col("ob_idx"))
+    after = spans(asks, swept).where("side = dir").groupBy(*gapped.columns).agg(F.max_by("own_wick", "idx").alias("wick"))
+    w = series()
+    first = bars.select("symbol", F.lag("idx", 2).over(w).alias("born_idx"), F.col("idx").alias("known_idx"), *(F.lag(c, 2).over(w).alias(c) for c in ("open", "close", "high", "low")), F.col("high").alias("high2"), F.col("low").alias("low2"), "atr")
+    side = F.when((F.col("close") < F.col("open")) & (F.col("low2") > F.col("high")), 1).when((F.col("close") > F.col("open")) & (F.col("high2") < F.col("low")), -1)
+    candles = first.where("atr > 0").select("symbol", side.alias("dir"), F.col("low").alias("bottom"), F.col("high").alias("top"), "known_idx", "born_idx").where("dir is not null")
+    gaps = fair_value_gaps(bars, o.fvg_min_atr).join(atr.withColumnRenamed("known_idx", "created_idx"), ["symbol", "created_idx"], "left_semi")
+    parts = [
+        named(last, "block", F.col("break_idx"), born),
+        named(gapped, "block_gap", late, born),
+        named(after, "block_gap_sweep", late, born, F.col("wick")),
+        named(blocks("extreme"), "extreme", F.col("break_idx"), born),
+        named(gaps, "gap", F.col("created_idx"), F.col("created_idx") - 2),
+        named(candles, "candle_gap", F.col("known_idx"), F.col("born_idx")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts).select(*zone)

@@ -295,7 +295,7 @@ SELECT k, max(peak - equity)::DOUBLE AS max_drawdown, count(*) AS n, count(*) FI
 def agg_performance_summary(spark, d):
     gain = F.floor(F.col("l_extendedprice") * (0.05 - F.col("l_discount")) * 100 + 0.5)
     rows = table(spark, d, "lineitem").select((F.col("l_orderkey") % 7).alias("k"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", gain.alias("r"))
-    w = drawdown(rows, ["k"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "r"], "r")
+    w = drawdown(rows.withColumn("chunk", F.floor(F.col("l_orderkey") / 100_000)), ["k"], "chunk", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "r"], "r")
     won, lost = F.sum(F.when(F.col("r") > 0, F.col("r"))), F.sum(F.when(F.col("r") <= 0, F.col("r")))
     return w.groupBy("k").agg(
         F.max("drawdown").cast("double").alias("max_drawdown"), F.count("*").alias("n"), F.count_if(F.col("r") > 0).alias("wins"),
@@ -310,12 +310,12 @@ def agg_performance_summary(spark, d):
 GROUP BY GROUPING SETS ((market), (side), (quarter), (market, side))"""
 )
 def agg_breakdowns(spark, d):
-    table(spark, d, "orders").createOrReplaceTempView("_orders")
     return spark.sql(
         """SELECT coalesce(market, '') AS market, coalesce(side, '') AS side, coalesce(quarter, 0) AS quarter, count(*) AS n, cast(sum(p) as double) AS total FROM (
              SELECT o_orderpriority AS market, CASE WHEN o_totalprice > 150000 THEN 'LONG' ELSE 'SHORT' END AS side,
-                    cast(quarter(o_orderdate) as bigint) AS quarter, cast(o_totalprice as decimal(18,2)) AS p FROM _orders)
-           GROUP BY GROUPING SETS ((market), (side), (quarter), (market, side))"""
+                    cast(quarter(o_orderdate) as bigint) AS quarter, cast(o_totalprice as decimal(18,2)) AS p FROM {orders})
+           GROUP BY GROUPING SETS ((market), (side), (quarter), (market, side))""",
+        orders=table(spark, d, "orders"),
     )
 
 

@@ -171,10 +171,3 @@ def sim_random_controls(spark, d):
     events = e.where("event_type = 'purchase'").select(F.col("event_id").alias("event_id"), F.hour("ts").alias("hour"))
     pool = e.where("event_type <> 'purchase'").select(F.col("event_id").alias("control_id"), F.hour("ts").alias("hour"))
     return stats.controls(events, pool, ["hour"], 5)
-
-
-@R.add("SELECT sum(l_extendedprice * 0.01) / sum(l_extendedprice * l_discount) IS NOT NULL AS found, round(sum(l_quantity) / sum(l_tax), 4) AS factor FROM lineitem")
-def agg_break_even(spark, d):
-    rows = table(spark, d, "lineitem")
-    factor = stats.break_even(rows, "l_quantity", "l_tax")
-    return spark.range(1).select(F.lit(factor is not None).alias("found"), F.round(F.lit(float(factor or 0)), 4).alias("factor"))
