@@ -106,3 +106,47 @@ def revised(minutes: DataFrame, late: DataFrame, trades: DataFrame) -> DataFrame
     own = trades.withColumn("open_time", bucket("ts", "1m")).join(touched, keys, "left_semi").drop("open_time")
     fresh = bars_of_trades(own, "1m")
     return minutes.join(touched, keys, "left_anti").unionByName(fresh.select(*minutes.columns))
+
+
+def fan_out(stream: DataFrame, sinks: dict[str, Callable[[DataFrame], DataFrame]], path: str, checkpoint: str) -> None:
+    """Write every batch of stream to each sink's table (path/name), as the sink's function makes it.
+
+    A batch is read once. It is a folder of its own in each table, which a repeated batch overwrites.
+    """
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows = rows.persist()
+        for name, shape in sinks.items():
+            shape(rows).write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        rows.unpersist()
+
+    each_batch(stream, write, checkpoint, "append")
+
+
+def advanced_trades(bars: DataFrame, orders: DataFrame, path: str, checkpoint: str, hold: int, expiry: int) -> DataFrame:
+    """orders with filled_idx, exit_idx, state after a stream of bars, each batch later than the one before.
+
+    A batch looks only at orders that have not ended; ended ones are stored with its number and never
+    looked at again, so a restart goes on from the stored bars and ends, and a repeated batch writes
+    the same.
+    """
+    from tapeloom.operators.simulate import race
+
+    spark = bars.sparkSession
+
+    def still_open(number: int) -> DataFrame:
+        if number == 0:
+            return orders
+        ended = spark.read.parquet(f"{path}/ended").where(F.col("batch") < number)
+        return orders.join(ended.select("id"), "id", "left_anti")
+
+    def advance(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/bars/batch={number}")
+        known = spark.read.parquet(f"{path}/bars").where(F.col("batch") <= number).drop("batch")
+        raced = race(still_open(number), known, hold, expiry)
+        raced.where("exit_idx is not null").write.mode("overwrite").parquet(f"{path}/ended/batch={number}")
+
+    each_batch(bars, advance, checkpoint, "append")
+    ended = spark.read.parquet(f"{path}/ended").drop("batch")
+    known = spark.read.parquet(f"{path}/bars").drop("batch")
+    return ended.unionByName(race(orders.join(ended.select("id"), "id", "left_anti"), known, hold, expiry))
