@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 from tapeloom.llm.shared import durable
 
 WIDTH = 10
-#: Windows that may be broadcast; beyond it the join is shuffled.
-BROADCAST_WINDOWS = 2_000_000
-#: Suspected windows of documents that may be broadcast; beyond it that join is shuffled.
-BROADCAST_HITS = 200_000
+#: Bytes of windows that may be broadcast; beyond them the join is shuffled.
+BROADCAST_WINDOWS = 128 << 20
+#: Bytes of documents' suspected windows that may be broadcast; beyond them that join is shuffled.
+BROADCAST_HITS = 64 << 20
+#: Bytes that a broadcast row or window takes beside its words (its array, key and place).
+ROW_BYTES = 256
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -54,14 +56,20 @@ def _window_hash(run: str, span: int, first: str = "0") -> str:
     return "xxhash64(" + ", ".join(f"get({run}, {first} + {k})" for k in range(span)) + ")"
 
 
+def _bytes(run: str) -> str:
+    """SQL: about how many bytes a window takes in memory: each word has a header and is padded."""
+    return f"{ROW_BYTES} + aggregate({run}, 0L, (n, x) -> n + octet_length(x) + 16)"
+
+
 def _suspects(keyed: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
     """(row, found): places and windows of each document where hashes are equal.
 
     Only a document's key and the hashes of its windows go through the join.
     """
     every = windows(benchmark, width)
-    spans = sorted(r["span"] for r in every.select("span").distinct().collect())  # at most width rows
-    small = every.count() <= BROADCAST_WINDOWS
+    sizes = every.groupBy("span").agg(F.sum(F.expr(_bytes("run"))).alias("bytes")).collect()  # at most width rows
+    spans = sorted(r["span"] for r in sizes)
+    small = sum(r["bytes"] for r in sizes) <= BROADCAST_WINDOWS
     listed = keyed.select("row", words(F.col("doc.text")).alias("w"))
     parts = []
     for span in spans:
@@ -80,8 +88,8 @@ def _suspects(keyed: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
 def _verified(keyed: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
     """keyed with hits: the suspected windows whose words are those of the document, or null."""
     found = _suspects(keyed, benchmark, width)
-    rows = found.agg(F.coalesce(F.sum(F.size("found")), F.lit(0))).first()[0]
-    joined = keyed.join(F.broadcast(found) if rows <= BROADCAST_HITS else found, "row", "left")
+    size = found.agg(F.coalesce(F.sum(F.expr(f"{ROW_BYTES} + aggregate(found, 0L, (n, x) -> n + {_bytes('x.run')})")), F.lit(0))).first()[0]
+    joined = keyed.join(F.broadcast(found) if size <= BROADCAST_HITS else found, "row", "left")
     own = F.when(F.col("found").isNotNull(), words(F.col("doc.text"))).alias("w")
     equal = F.expr("filter(found, x -> slice(w, x.at + 1, size(x.run)) = x.run)")
     return joined.select("doc", "found", own).select("doc", F.when(F.size(equal) > 0, equal).alias("hits"))
