@@ -22,7 +22,7 @@ WIDTH = 10
 #: Bytes of windows that may be broadcast; beyond them the join is shuffled.
 BROADCAST_WINDOWS = 128 << 20
 #: Bytes of documents' suspected windows that may be broadcast; beyond them that join is shuffled.
-BROADCAST_HITS = 64 << 20
+BROADCAST_HITS = 128 << 20
 #: Bytes that a broadcast row or window takes beside its words (its array, key and place).
 ROW_BYTES = 256
 
