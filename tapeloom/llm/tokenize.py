@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -60,13 +61,17 @@ def _byte_letters() -> dict[int, str]:
 
 
 class ChunkEncoder:
-    """Encodes Arrow string arrays with the tokenizer of a file."""
+    """Encodes Arrow string arrays with the tokenizer of a file.
 
-    def __init__(self, path: str):
+    plain_specials: the strings of special tokens in a text are ordinary text.
+    """
+
+    def __init__(self, path: str, plain_specials: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = plain_specials
+        self.special = [] if plain_specials else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.drops_space = self.tokenizer.normalizer is not None
         self.model = self.tokenizer.model
         self.pieces_of = re.compile(_PATTERNS["words" if self.drops_space else "bytes"]).findall
@@ -75,6 +80,17 @@ class ChunkEncoder:
         self.pieces: dict[str, bytes] = {}
         self.known: dict[int, bytes] = {}
 
+    @cached_property
+    def bytes(self) -> list[bytes]:
+        """The bytes of each id's token in a byte-level vocabulary; b"" for ids that no plain text yields."""
+        back = {ord(letter): byte for byte, letter in self.letters.items()}
+        out = [b""] * self.tokenizer.get_vocab_size()
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        for token, i in self.tokenizer.get_vocab().items():
+            if token not in special and all(ord(c) in back for c in token):
+                out[i] = bytes(back[ord(c)] for c in token)
+        return out
+
     def _piece(self, piece: str) -> bytes:
         if (ids := self.pieces.get(piece)) is None:
             text = piece.encode().decode("latin-1").translate(self.letters)
@@ -218,12 +234,13 @@ class ChunkEncoder:
         return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, plain_specials: bool = False) -> ChunkEncoder:
     """The worker's encoder for a file; its memory of chunks lasts as long as the worker."""
-    if path not in _encoders:
+    key = path, plain_specials
+    if key not in _encoders:
         _encoders.clear()
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+        _encoders[key] = ChunkEncoder(path, plain_specials)
+    return _encoders[key]
