@@ -14,8 +14,8 @@ size, which stay fixed in a table bucketed by block.  Then come three passes ove
    the same block has.
 
 The sketch has CELLS cells for each window, whatever the size of the corpus; it is never gathered:
-a task merges one shard of 65,536 cells at a time.  A window counts once a block, so one that is in
-a third of all documents is a row's entry for each block, not for each document.
+a task merges one shard, of some two million windows, at a time.  A window counts once a block, so
+one that is in a third of all documents is a row's entry for each block, not for each document.
 
 Cases: null and empty texts have no words; a text of fewer than width words has no window; rows of
 equal doc_id never remove from each other; a row without doc_id neither removes nor loses words;
@@ -43,8 +43,8 @@ from tapeloom.llm.shingles import _SPACES, buffers
 WIDTH = 13
 #: Bytes of text of a block, about; a longer text is a block by itself.
 BLOCK_BYTES = 6 << 20
-#: Cells of the sketch for each window; cells of a shard (a cell's place in it takes 16 bits).
-CELLS, SHARD_CELLS = 8, 1 << 16
+#: Cells of the sketch for each window; the bits of a cell's place in its shard.
+CELLS, SHARD_BITS = 8, 24
 _MIN_WORD_BYTES = 6  # bytes a word takes with its space, about; only the sketch's size depends on it
 _CHECK_CODES = np.random.default_rng(20240102).integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = [[np.uint64(pow(base, k + 1, 2**64)) for k in range(256)] for base in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -107,8 +107,8 @@ class Windows:
         self.code[order] = np.cumsum(new) - 1
 
     def cells(self, shards: int) -> np.ndarray:
-        """The sketch's cell (shard * SHARD_CELLS + place) of each distinct window, ascending."""
-        return (self.distinct >> np.uint64(64 - 16 - (shards.bit_length() - 1))).astype(np.int64)
+        """The sketch's cell (shard << SHARD_BITS | place) of each distinct window, ascending."""
+        return ((self.distinct >> np.uint64(24)) * np.uint64(shards) >> np.uint64(40 - SHARD_BITS)).astype(np.int64)
 
 
 def _runs(values: np.ndarray) -> np.ndarray:
@@ -123,6 +123,31 @@ def _binaries(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())])
 
 
+_SKIP = 0xFFFF
+
+
+def _steps(places: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Ascending places[cuts[i]:cuts[i + 1]] as one binary each: 16-bit steps; _SKIP only moves on."""
+    gaps = np.diff(places, prepend=0)
+    gaps[cuts[:-1]] = places[cuts[:-1]]
+    skips, rest = np.divmod(gaps, _SKIP)
+    ends = np.cumsum(skips + 1)
+    out = np.full(int(ends[-1]) if len(ends) else 0, _SKIP, np.uint16)
+    out[ends - 1] = rest
+    return _binaries(out, np.concatenate(([0], ends))[cuts])
+
+
+def _places(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The inverse of _steps: all places, and how many each binary holds."""
+    steps, sizes = _flat(column, np.uint16)
+    total = np.cumsum(steps, dtype=np.int64)
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    total -= np.repeat(np.concatenate(([0], total))[begins], sizes)
+    real = steps != _SKIP
+    return total[real], np.add.reduceat(real, begins, dtype=np.int64) if len(begins) else sizes
+
+
 def _flat(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
     """All values that the binaries of a column hold, and how many each holds."""
     sizes = pc.binary_length(column).to_numpy() // np.dtype(kind).itemsize
@@ -177,12 +202,12 @@ def _sketch(texts: DataFrame, width: int, shards: int) -> DataFrame:
         windows = Windows(table.column("text"), table.column("did"), width)
         cells = windows.cells(shards)
         cells = cells[_runs(cells)[:-1]]
-        cuts = _runs(cells >> 16)
+        cuts = _runs(cells >> SHARD_BITS)
         out = pa.table(
             {
-                "shard": pa.array(cells[cuts[:-1]] >> 16, pa.int64()),
+                "shard": pa.array(cells[cuts[:-1]] >> SHARD_BITS, pa.int64()),
                 "block": pa.array(np.full(len(cuts) - 1, table.column("block")[0].as_py(), np.int64)),
-                "cells": _binaries((cells & 0xFFFF).astype(np.uint16), cuts),
+                "cells": _steps(cells & ((1 << SHARD_BITS) - 1), cuts),
             }
         )
         give_back()
@@ -196,8 +221,8 @@ def _merged(rows: DataFrame, parts: int) -> DataFrame:
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, _ in whole_groups(batches, "shard"):
-            cells, sizes = _flat(table.column("cells"), np.uint16)
-            cells = (np.repeat(table.column("shard").to_numpy(), sizes) << 16) + cells
+            cells, sizes = _places(table.column("cells"))
+            cells += np.repeat(table.column("shard").to_numpy(), sizes) << SHARD_BITS
             order = np.argsort(cells, kind="stable")
             cuts = _runs(cells[order])
             met = np.empty(len(cells), np.uint8)
@@ -225,7 +250,7 @@ def _met(windows: Windows, replies: pa.Table, shards: int) -> np.ndarray:
         return np.zeros(0, bool)
     runs = _runs(cells)
     own = cells[runs[:-1]]
-    sizes = np.diff(_runs(own >> 16))
+    sizes = np.diff(_runs(own >> SHARD_BITS))
     rows = replies.filter(pc.equal(replies.column("kind"), 1)).sort_by("shard")
     return np.repeat(_bits_of(rows, "bits", sizes), np.diff(runs))
 
@@ -237,7 +262,7 @@ def _suspects(texts: DataFrame, replies: DataFrame, width: int, shards: int) ->
         windows = Windows(table.column("text"), table.column("did"), width)
         met = _met(windows, answers, shards)
         hashes, checks, dids = (x[met] for x in (windows.distinct, windows.distinct_check, windows.least))
-        of = (windows.cells(shards) >> 16)[met]
+        of = (windows.cells(shards) >> SHARD_BITS)[met]
         cuts = _runs(of)
         out = pa.table(
             {
@@ -278,7 +303,7 @@ def _removed(windows: Windows, replies: pa.Table, width: int, shards: int) -> np
     """Which words of a block go."""
     met = _met(windows, replies, shards)
     gone = np.zeros(len(met), bool)
-    sizes = np.diff(_runs((windows.cells(shards) >> 16)[met]))
+    sizes = np.diff(_runs((windows.cells(shards) >> SHARD_BITS)[met]))
     rows = replies.filter(pc.equal(replies.column("kind"), 2)).sort_by("shard")
     gone[met] = _bits_of(rows, "bits", sizes) if len(sizes) else False
     leaves = windows.at[gone[windows.code] | (windows.did > windows.least[windows.code])]
@@ -297,7 +322,7 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, block_bytes: int = BLO
     bounded_batches(spark)
     texts, total, name = _blocks(docs, block_bytes)
     windows = max(1, total // _MIN_WORD_BYTES)
-    shards = 1 << max(1, (CELLS * windows // SHARD_CELLS).bit_length())
+    shards = 1 + (CELLS * windows >> SHARD_BITS)
     parts = int(max(spark.conf.get("spark.sql.shuffle.partitions"), total // (64 << 20), key=int))
     met = durable(_merged(_sketch(texts, width, shards), parts), "met")
     repeated = durable(_grouped(_suspects(texts, met, width, shards), parts), "repeated")
