@@ -2,7 +2,7 @@
 
 A benchmark item's windows are its runs of ``width`` words; a shorter item is one window.  The
 hashes of all windows are broadcast, every window of words of a document is probed against them,
-and a hit counts only if the words themselves are equal.
+and a hit counts only if the words themselves are equal.  contamination() shuffles no text.
 
 Words are lower-cased A-Z runs of digits, a-z and characters beyond ASCII.
 
@@ -13,17 +13,17 @@ nothing; an empty table gives no rows; extra columns of docs are kept by deconta
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm.shared import durable
 
 WIDTH = 10
-#: Bytes of windows that may be broadcast; beyond them the join is shuffled.
+#: Bytes of windows that are broadcast at once; more go in turns, each over all documents.
 BROADCAST_WINDOWS = 128 << 20
-#: Bytes of documents' suspected windows that may be broadcast; beyond them that join is shuffled.
-BROADCAST_HITS = 128 << 20
-#: Bytes that a broadcast row or window takes beside its words (its array, key and place).
+#: Bytes that a broadcast window takes beside its words (its array, key and number).
 ROW_BYTES = 256
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -56,71 +56,83 @@ def _window_hash(run: str, span: int, first: str = "0") -> str:
     return "xxhash64(" + ", ".join(f"get({run}, {first} + {k})" for k in range(span)) + ")"
 
 
-def _bytes(run: str) -> str:
-    """SQL: about how many bytes a window takes in memory: each word has a header and is padded."""
-    return f"{ROW_BYTES} + aggregate({run}, 0L, (n, x) -> n + octet_length(x) + 16)"
+def _by_span(spans: list[int], hash_of: Callable[[int], str]) -> str:
+    return "case span " + " ".join(f"when {n} then {hash_of(n)}" for n in spans) + " end"
 
 
-def _suspects(keyed: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
-    """(row, found): places and windows of each document where hashes are equal.
+def _hits(docs: DataFrame, benchmark: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """(row, at, span, win) of every window of a document that an item has, and (win, item_id).
 
-    Only a document's key and the hashes of its windows go through the join.
+    Each text is split once, and the windows of all lengths are probed in that pass.  A hit is
+    verified on the words where it is found, so only places and numbers of windows leave it.
+    Windows beyond BROADCAST_WINDOWS bytes are broadcast in turns, a share of the hashes each.
     """
-    every = windows(benchmark, width)
-    sizes = every.groupBy("span").agg(F.sum(F.expr(_bytes("run"))).alias("bytes")).collect()  # at most width rows
+    every = durable(windows(benchmark, width), "windows")
+    runs = every.groupBy("span", "run").agg(F.min("item_id").alias("any_item"))
+    size = f"{ROW_BYTES} + aggregate(run, 0L, (n, x) -> n + octet_length(x) + 16)"
+    sizes = runs.groupBy("span").agg(F.sum(F.expr(size)).alias("bytes")).collect()  # at most width rows
     spans = sorted(r["span"] for r in sizes)
-    small = sum(r["bytes"] for r in sizes) <= BROADCAST_WINDOWS
-    listed = keyed.select("row", words(F.col("doc.text")).alias("w"))
-    parts = []
-    for span in spans:
-        probe = every.where(F.col("span") == span).select("item_id", "run", F.expr(_window_hash("run", span)).alias("h"))
-        hashes = F.expr(f"transform(sequence(0, size(w) - {span}), i -> {_window_hash('w', span, 'i')})")
-        placed = listed.where(F.size("w") >= span).select("row", F.posexplode(hashes).alias("at", "h"))
-        parts.append(placed.join(F.broadcast(probe) if small else probe, "h").select("row", "at", "run", "item_id"))
-    if not parts:
-        parts = [every.select(F.lit(0).cast("long").alias("row"), F.lit(0).alias("at"), "run", "item_id").limit(0)]
-    hits = parts[0]
-    for more in parts[1:]:
-        hits = hits.unionByName(more)
-    return durable(hits.distinct().groupBy("row").agg(F.collect_list(F.struct("at", "run", "item_id")).alias("found")), "suspects")
-
-
-def _verified(keyed: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
-    """keyed with hits: the suspected windows whose words are those of the document, or null."""
-    found = _suspects(keyed, benchmark, width)
-    size = found.agg(F.coalesce(F.sum(F.expr(f"{ROW_BYTES} + aggregate(found, 0L, (n, x) -> n + {_bytes('x.run')})")), F.lit(0))).first()[0]
-    joined = keyed.join(F.broadcast(found) if size <= BROADCAST_HITS else found, "row", "left")
-    own = F.when(F.col("found").isNotNull(), words(F.col("doc.text"))).alias("w")
-    equal = F.expr("filter(found, x -> slice(w, x.at + 1, size(x.run)) = x.run)")
-    return joined.select("doc", "found", own).select("doc", F.when(F.size(equal) > 0, equal).alias("hits"))
-
-
-_PLACES = "array_distinct(flatten(transform(hits, x -> sequence(x.at, x.at + size(x.run) - 1))))"
+    if not spans:
+        none = docs.select("row").limit(0)
+        return none.select("row", F.lit(0).alias("at"), F.lit(0).alias("span"), F.lit("").alias("win")), every.select(F.lit("").alias("win"), "item_id").limit(0)
+    win = F.sha2(F.array_join("run", " "), 256).alias("win")
+    probe = durable(runs.select(win, F.col("span").alias("length"), "run", F.expr(_by_span(spans, lambda n: _window_hash("run", n))).alias("h")), "probe")
+    turns = max(1, -(-sum(r["bytes"] for r in sizes) // BROADCAST_WINDOWS))
+    split = docs.select("row", words(F.col("doc.text")).alias("w")).where(F.size("w") >= spans[0])
+    each = split.select("row", "w", F.explode(F.array(*map(F.lit, spans))).alias("span")).where(F.size("w") >= F.col("span"))
+    hashes = F.expr(_by_span(spans, lambda n: f"transform(sequence(0, size(w) - {n}), i -> {_window_hash('w', n, 'i')})"))
+    # posexplode() would have Spark filter by size(hashes) first, and split the text for each of its words
+    placed = each.withColumn("hashes", hashes).select("row", "w", "span", F.posexplode_outer("hashes").alias("at", "h"))
+    found = None
+    for turn in range(turns):
+        own = F.broadcast(probe.where(F.pmod("h", F.lit(turns)) == turn)).withColumnsRenamed({"h": "own_h", "run": "own_run"})
+        run = F.slice("w", F.col("at") + 1, F.col("span"))
+        # not "run = own_run", which would be a key of the join and cut out of the text at every word
+        same = (F.col("h") == F.col("own_h")) & (F.col("span") == F.col("length")) & (run >= F.col("own_run")) & (run <= F.col("own_run"))
+        part = placed.join(own, same).select("row", "at", "span", "win")
+        found = part if found is None else found.unionByName(part)
+    of_items = every.select(F.sha2(F.array_join("run", " "), 256).alias("win"), "item_id")
+    return durable(found.distinct(), "hits"), of_items
+
+
+_PLACES = "array_distinct(flatten(transform(spans, x -> sequence(x.at, x.at + x.span - 1))))"
+
+
+def _places(hits: DataFrame) -> DataFrame:
+    """(row, places): the words of each hit document that its hits cover."""
+    return hits.groupBy("row").agg(F.collect_set(F.struct("at", "span")).alias("spans")).select("row", F.expr(_PLACES).alias("places"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
-    items = F.coalesce(F.expr("sort_array(array_distinct(transform(hits, x -> x.item_id)))"), F.array().cast("array<string>"))
-    hit = F.col("hits").isNotNull()
-    return _verified(_keyed(docs), benchmark, width).select(
-        F.col("doc.doc_id").alias("doc_id"),
-        F.coalesce(F.regexp_count("doc.text", F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"),
-        F.when(hit, F.size(F.expr(_PLACES))).otherwise(F.lit(0)).cast("long").alias("n_hit"),
+    keyed = _keyed(docs)
+    hits, of_items = _hits(keyed, benchmark, width)
+    places = _places(hits).select("row", F.size("places").alias("n_hit"))
+    listed = hits.select("row", "win").distinct().join(of_items, "win").groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    counted = F.coalesce(F.regexp_count("doc.text", F.lit(_WORD)), F.lit(0)).cast("long")
+    own = keyed.select("row", F.col("doc.doc_id").alias("doc_id"), counted.alias("n_words"))
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return own.join(places.join(listed, "row"), "row", "left").select(
+        "doc_id",
+        "n_words",
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
-        hit.alias("contaminated"),
+        F.col("n_hit").isNotNull().alias("contaminated"),
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", width: int = WIDTH) -> DataFrame:
     """docs without contaminated documents, or (remove="spans") without their hit words.
 
-    A hit word goes with the characters up to the next word; all columns of docs are kept.
+    A hit word goes with the characters up to the next word; all columns of docs are kept.  Texts
+    are shuffled once, by a key of their own, whatever the number of hits.
     """
-    checked = _verified(_keyed(docs), benchmark, width)
+    keyed = _keyed(docs)
+    hits, _ = _hits(keyed, benchmark, width)
     if remove == "documents":
-        return checked.where("hits is null").select("doc.*")
-    checked = checked.withColumn("places", F.expr(_PLACES))
+        return keyed.join(hits.select("row").distinct().hint("merge"), "row", "left_anti").select("doc.*")
+    checked = keyed.join(_places(hits).hint("merge"), "row", "left")
     text = F.coalesce(F.col("doc.text"), F.lit(""))
     own = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
     gaps = F.split(text, _WORD, -1)

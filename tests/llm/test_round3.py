@@ -228,3 +228,46 @@ def test_brackets_hold_and_prune(spark):
     exact = x[:20] @ x.T
     assert (low <= exact).all() and (exact <= high).all()
     assert (high < np.sort(exact, 1)[:, -5, None]).mean() > 0.3
+
+
+def test_steps_round_trip(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 1 << 24, n)) for n in (1, 5, 400, 3)] + [np.array([0, 65534, 65535, 131070, 1 << 23])]
+    cuts = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+    places, sizes = substrings._places(pa.chunked_array([substrings._steps(np.concatenate(rows), cuts)]))
+    assert sizes.tolist() == [len(r) for r in rows] and places.tolist() == np.concatenate(rows).tolist()
+
+
+def test_line_dedup_of_blank_and_short_lines(spark):
+    import resource
+
+    from tapeloom.llm import linededup
+
+    long_line = " ".join(f"t{i}" for i in range(60))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for text, units in (("\n" * 100_000 + long_line, 2), ("\n".join(f"w{i}" for i in range(100_000)), 199_000)):
+        assert len(linededup.units_of(text)[1]) >= units / 2
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1 << 20  # in KB
+    docs = [(1, "\n" * 20_000 + long_line), (2, "\n" * 300 + long_line + "\nown"), (3, "x\n" * 5000)]
+    done = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert done[1].text == docs[0][1] and done[2].text == "\n" * 300 + "own"
+
+
+def test_line_dedup_with_blank_lines_between(spark):
+    from tapeloom.llm import linededup
+
+    lines = [f"a{i} b{i} c{i} d{i}" for i in range(20)]
+    docs = [(1, "\n".join(lines)), (2, "before\n" + "\n\n".join(lines) + "\nafter"), (3, "other text")]
+    done = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert done[1] == docs[0][1] and done[2].split() == ["before", "after"] and done[3] == "other text"
+
+
+def test_line_dedup_where_different_texts_share_a_hash(spark):
+    from tapeloom.llm import linededup
+
+    schema = "did long, row_key long, a int, b int, hash long, rest long"
+    units = [(1, 1, 0, 2, 7, 1), (2, 2, 5, 6, 7, 2), (3, 3, 0, 2, 7, 1), (4, 4, 1, 2, 7, 2), (5, 5, 0, 1, 7, 3), (6, 6, 0, 1, 8, 1)]
+    gone = {r.did: [tuple(x) for x in r.gone] for r in linededup._gone(spark.createDataFrame(units, schema)).collect()}
+    assert gone == {3: [(0, 2)], 4: [(1, 2)]}
