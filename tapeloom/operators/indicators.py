@@ -18,31 +18,61 @@ def true_range() -> Column:
     return F.when(before.isNull(), spread).otherwise(F.greatest(spread, F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
 
 
-def smoothed(rows: DataFrame, value: str, name: str, length: int, keep: float, add: float, divide: float = 1.0) -> DataFrame:
+#: Bars of a series that one task looks at together.
+CHUNK = 1024
+
+
+def smoothed(rows: DataFrame, value: str, name: str, length: int, keep: float, add: float, divide: float = 1.0, chunk: int = CHUNK) -> DataFrame:
     """rows with the recursive mean s = (s * keep + value * add) / divide by symbol, started at bar
-    length-1 by the mean of the first length values and null before.
+    length-1 by the mean of the first length values and null before.  rows are numbered by idx from 0.
 
-    The recursion runs in one task a series; a series is bounded by the time that it spans.
+    Each step is an affine map of the mean before it.  A chunk of bars is folded to one such map, the
+    maps of a symbol's chunks (one row each) are applied one after the other, which gives the mean at
+    each chunk's beginning, and from there the chunks run by themselves.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def step(state: float, v: float) -> float:
+        return (state * keep + v * add) / divide
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("idx")
+        shift, n = 0.0, 0
+        for i, v in zip(frame["idx"].tolist(), frame[value].tolist(), strict=True):
+            if i >= length:
+                shift, n = step(shift, v), n + 1
+        early = frame.loc[frame["idx"] < length, value].sum()
+        return pd.DataFrame([(frame["symbol"].iloc[0], frame["_chunk"].iloc[0], (keep / divide) ** n, shift, float(early), bool((frame["idx"] == length - 1).any()))])
+
+    def scan(maps: pd.DataFrame) -> pd.DataFrame:
+        out, state, total = [], None, 0.0
+        for symbol, at, scale, shift, early, seeds in maps.sort_values("_chunk").itertuples(index=False):
+            out.append((symbol, at, state, total))
+            total += early
+            start = total / length if seeds else state
+            state = None if start is None else start * scale + shift
+        return pd.DataFrame(out, columns=["symbol", "_chunk", "_state", "_total"]).astype({"_state": float})
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("idx")
+        state, total = frame["_state"].iloc[0], frame["_total"].iloc[0]
         out: list[float | None] = []
-        state = None
-        total = 0.0
-        for i, v in enumerate(frame[value].tolist()):
+        for i, v in zip(frame["idx"].tolist(), frame[value].tolist(), strict=True):
             if i < length:
                 total += v
                 state = total / length if i == length - 1 else None
             else:
-                state = (state * keep + v * add) / divide
+                state = step(state, v)
             out.append(state)
         frame[name] = pd.Series(out, index=frame.index, dtype=float)
-        return frame
+        return frame.drop(columns=["_chunk", "_state", "_total"])
 
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    cut = rows.withColumn("_chunk", F.floor(F.col("idx") / chunk))
+    names = ["symbol", "_chunk"]
+    maps = cut.select(*names, "idx", value).groupBy(*names).applyInPandas(fold, "symbol string, _chunk long, scale double, shift double, early double, seeds boolean")
+    begins = maps.groupBy("symbol").applyInPandas(scan, "symbol string, _chunk long, _state double, _total double")
     schema = ", ".join(f"`{n}` {t}" for n, t in kinds.items()) + f", `{name}` double"
-    return rows.groupBy("symbol").applyInPandas(run, schema)
+    return cut.join(begins, names).groupBy(*names).applyInPandas(run, schema)
 
 
 def with_atr(bars: DataFrame, length: int = 14) -> DataFrame:

@@ -48,10 +48,9 @@ def compare(left: DataFrame, right: DataFrame, keys: list[str], values: list[str
     )
 
 
-def _parts(left: DataFrame, right: DataFrame, keys: list[str], early: float, late: float) -> DataFrame:
-    """Rows of both feeds (side 0 and 1) in parts of a key that no admissible pair crosses: one
-    whose right row comes at most early seconds before or late seconds after its left row. Parts
-    with rows of one side only go."""
+def parts_of(left: DataFrame, right: DataFrame, keys: list[str], early: float, late: float) -> DataFrame:
+    """Rows of both feeds (side 0 and 1) in parts (_part) of a key that no admissible pair crosses: one
+    whose right row comes at most early seconds before or late seconds after its left row."""
     both = left.select(*keys, "id", "t", F.lit(0).alias("side")).unionByName(right.select(*keys, "id", "t", F.lit(1).alias("side")))
     w = Window.partitionBy(*keys).orderBy("t", "side", "id")
     past, future = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(0, Window.unboundedFollowing)
@@ -60,9 +59,14 @@ def _parts(left: DataFrame, right: DataFrame, keys: list[str], early: float, lat
     ahead = F.first(of(1), ignorenulls=True).over(future) - F.last(of(0), ignorenulls=True).over(past)
     behind = F.first(of(0), ignorenulls=True).over(future) - F.last(of(1), ignorenulls=True).over(past)
     crossed = F.coalesce(ahead <= late, F.lit(False)) | F.coalesce(behind <= early, F.lit(False))
-    parts = both.withColumn("_cut", (~crossed).cast("int")).withColumn("_part", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return both.withColumn("_cut", (~crossed).cast("int")).withColumn("_part", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
+
+
+def _parts(left: DataFrame, right: DataFrame, keys: list[str], early: float, late: float) -> DataFrame:
+    """parts_of() without the parts that have rows of one side only."""
     own = Window.partitionBy(*keys, "_part")
-    return parts.withColumn("_two", F.min("side").over(own) != F.max("side").over(own)).where("_two").drop("_two", "_cut")
+    parts = parts_of(left, right, keys, early, late)
+    return parts.withColumn("_two", F.min("side").over(own) != F.max("side").over(own)).where("_two").drop("_two")
 
 
 def _bands(ta: np.ndarray, tb: np.ndarray, early: float, late: float) -> tuple[np.ndarray, np.ndarray]:

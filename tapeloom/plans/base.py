@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
@@ -22,6 +23,22 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(f.name).cast("double").alias(f.name) if f.dataType.typeName() == "decimal" else F.col(f.name) for f in df.schema))
 
 
+_made: dict[tuple, object] = {}
+
+
+def once_a_query(make: Callable) -> Callable:
+    """make(spark, sf_dir), called once while a query is built, however many of its parts ask for it."""
+
+    @functools.wraps(make)
+    def kept(spark: SparkSession, sf_dir: str):
+        key = make.__module__, make.__name__, id(spark), sf_dir
+        if key not in _made:
+            _made[key] = make(spark, sf_dir)
+        return _made[key]
+
+    return kept
+
+
 class Registry:
     """Queries by name, and their SQL."""
 
@@ -31,7 +48,11 @@ class Registry:
 
     def add(self, sql: str | None = None) -> Callable[[Query], Query]:
         def put(f: Query) -> Query:
-            self.queries[f.__name__] = lambda spark, sf_dir: plain(f(spark, sf_dir))
+            def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+                _made.clear()
+                return plain(f(spark, sf_dir))
+
+            self.queries[f.__name__] = query
             if sql:  # DuckDB would run a shared table anew for each use
                 self.sql[f.__name__] = re.sub(r"(\w+) AS \((?!\s*PARTITION)", r"\1 AS MATERIALIZED (", sql)
             return f
@@ -156,6 +177,7 @@ OB = f"""cand AS (
 STRUCTURE = f"WITH RECURSIVE {TAPE}, {HOURS}, {ATR}, {SWINGS}, {BREAKS}"
 
 
+@once_a_query
 def structure(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Hourly bars with ATR, swings and breaks, each made once."""
     bars = made_once(hours_atr(spark, sf_dir), "bars")

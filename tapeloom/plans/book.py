@@ -51,7 +51,7 @@ def sim_backtest(spark, d):
 
 @R.add(
     f"""{facts.TRADES}, {BUSY}, clock AS (
-  SELECT b.id, 1 AS book, (epoch(a.open_time) // 3600)::BIGINT AS start_h, (epoch(z.open_time) // 3600)::BIGINT + 1 AS free_h
+  SELECT b.id, 1 AS book, floor(epoch(a.open_time) / 3600)::BIGINT AS start_h, floor(epoch(z.open_time) / 3600)::BIGINT + 1 AS free_h
   FROM busy b JOIN bars a ON a.symbol = b.symbol AND a.idx = b.created_idx JOIN bars z ON z.symbol = b.symbol AND z.idx = b.free_idx - 1
 ), {_greedy('clock', 'book', 'start_h', 'free_h', 3)} SELECT id FROM gw WHERE taken"""
 )
@@ -125,7 +125,7 @@ def agg_break_even(spark, d):
 
 @R.add(
     f"""{STRUCTURE}, st AS (
-  SELECT b.symbol, b.idx, (epoch(b.open_time) // 3600)::BIGINT AS hour, coalesce((SELECT arg_max(e.dir, e.break_idx) FROM ev e WHERE e.symbol = b.symbol AND e.break_idx <= b.idx), 0) AS slow,
+  SELECT b.symbol, b.idx, floor(epoch(b.open_time) / 3600)::BIGINT AS hour, coalesce((SELECT arg_max(e.dir, e.break_idx) FROM ev e WHERE e.symbol = b.symbol AND e.break_idx <= b.idx), 0) AS slow,
     coalesce(sign(b.close - lag(b.close, 12) OVER (PARTITION BY b.symbol ORDER BY b.idx)), 0)::INT AS fast FROM bars b
 ), pr AS (SELECT *, lag(fast) OVER w AS fast0, lag(slow) OVER w AS slow0 FROM st WINDOW w AS (PARTITION BY symbol ORDER BY idx)),
 fp AS (SELECT p.symbol, p.idx, p.hour, (SELECT arg_max(x.hour, x.idx) FROM pr x WHERE x.symbol = p.symbol AND x.idx BETWEEN p.idx - {WITHIN} AND p.idx AND x.fast = p.slow AND x.fast0 <> p.slow) AS led

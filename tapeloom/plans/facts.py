@@ -13,7 +13,7 @@ from tapeloom.operators.asof import asof
 from tapeloom.operators.indicators import series
 from tapeloom.operators.passage import first_passage, spans
 from tapeloom.operators.persist import made_once
-from tapeloom.plans.base import FVG, HOURS, OB, OPTIONS, STRUCTURE, TAPE, Registry, bars_sql, hours, minutes, structure
+from tapeloom.plans.base import FVG, HOURS, OB, OPTIONS, STRUCTURE, TAPE, Registry, bars_sql, hours, minutes, structure, once_a_query
 from tapeloom.sources.tape import table, tape
 
 R = Registry()
@@ -132,6 +132,7 @@ SETUPS = f"""su AS (
 ), setups AS (SELECT * FROM su WHERE sweep_idx >= break_idx - 24)"""
 
 
+@once_a_query
 def _setups(spark, d):
     """Blocks whose latest sweep of their side lies at most 24 bars before the break."""
     bars, pivots, events = structure(spark, d)
@@ -153,6 +154,7 @@ ARMED = f"""armed AS (
 )"""
 
 
+@once_a_query
 def _armed(spark, d):
     bars, found = _setups(spark, d)
     asks = found.withColumn("id", _id("symbol", "break_idx", "dir")).withColumn("lo", F.col("created_idx") + 1).withColumn("hi", F.col("created_idx") + LB)
@@ -174,6 +176,7 @@ PLANS = """plans AS (
 ), orders_ AS (SELECT id, symbol, dir, created_idx, entry, stop, entry + 2 * (entry - stop) AS target FROM plans)"""
 
 
+@once_a_query
 def _orders(spark, d):
     bars, armed = _armed(spark, d)
     long = F.col("dir") == 1
@@ -208,6 +211,7 @@ ex AS (
 TRADES = f"{STRUCTURE}, {OB}, {SWEEPS}, {SETUPS}, {ARMED}, {PLANS}, {RACE}"
 
 
+@once_a_query
 def _raced(spark, d):
     bars, placed = _orders(spark, d)
     return bars, made_once(M.race(placed, bars, hold=48, expiry=24), "race")

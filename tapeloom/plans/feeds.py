@@ -8,7 +8,6 @@ from tapeloom.functions.grid import seconds
 from tapeloom.operators import feed
 from tapeloom.operators.intervals import gaps
 from tapeloom.operators.persist import made_once, shared_folder
-from tapeloom.plans import facts
 from tapeloom.plans.base import TAPE, Registry, bars_sql, minutes
 from tapeloom.plans.streams import _deliveries
 from tapeloom.sources.tape import table, tape
@@ -25,7 +24,7 @@ pf0 AS (SELECT conn, session, min(at_us) FILTER (WHERE kind = 'PONG') + {SAFETY}
 pf AS (SELECT *, greatest(s, proven - {SAFETY}) AS e, session < max(session) OVER (PARTITION BY conn) AS ended FROM pf0)"""
 
 
-def _feed(spark, d):
+def feed_rows(spark, d):
     """Control rows and receipts of three connections; every other trade comes on two of them."""
     e = table(spark, d, "events").withColumn("at_us", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"))
     kind = F.when(F.col("event_type") == "view", "PONG").when(F.col("event_type") == "error", "LOST").otherwise("TRADE")
@@ -33,41 +32,34 @@ def _feed(spark, d):
     again = e.where("event_type not in ('view', 'error') and event_id % 2 = 0").select(
         ((F.col("user_id") + 1) % 3).alias("conn"), (F.col("at_us") + 2_000_000).alias("at_us"), F.col("event_id").alias("id"), F.lit("TRADE").alias("kind"), F.lit(None).cast("long").alias("sent_us")
     )
-    rows = made_once(feed.with_sessions(own.unionByName(again)), "feed")
+    return own.unionByName(again)
+
+
+def _feed(spark, d):
+    rows = made_once(feed.with_sessions(feed_rows(spark, d)), "feed")
     return rows, made_once(feed.proofs(rows, SAFETY), "proofs")
 
 
-@R.add(
-    f"""WITH {FEED}, o AS (SELECT s, e, max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM pf WHERE s IS NOT NULL),
+COVERAGE = f"""WITH {FEED}, o AS (SELECT s, e, max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM pf WHERE s IS NOT NULL),
 i AS (SELECT s, e, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM o)
 SELECT min(s) AS start_us, max(e) AS end_us FROM i GROUP BY island"""
-)
+
+
+@R.add(COVERAGE)
 def str_coverage(spark, d):
     return feed.coverage(_feed(spark, d)[1]).select(F.col("start").alias("start_us"), F.col("end").alias("end_us"))
 
 
-@R.add(
-    f"""WITH {FEED}, r AS (SELECT ss.trade_id, coalesce(at_us <= proven, false) AS shown, coalesce(at_us <= proven AND s <= at_us, false) AS covered, ended FROM ss JOIN pf USING (conn, session) WHERE kind = 'TRADE')
+RELEASED = f"""WITH {FEED}, r AS (SELECT ss.trade_id, coalesce(at_us <= proven, false) AS shown, coalesce(at_us <= proven AND s <= at_us, false) AS covered, ended FROM ss JOIN pf USING (conn, session) WHERE kind = 'TRADE')
 SELECT trade_id, CASE WHEN bool_or(covered) THEN 'PROVEN' WHEN bool_or(shown) THEN 'IN_GAP' WHEN bool_and(ended) THEN 'ORPHAN' ELSE 'PENDING' END AS state FROM r GROUP BY trade_id"""
-)
+
+
+@R.add(RELEASED)
 def str_released_trades(spark, d):
     rows, proven = _feed(spark, d)
     return feed.released(rows.where("kind = 'TRADE'").select(F.col("id").alias("trade_id"), "conn", "session", "at_us"), proven)
 
 
-@R.add(f"{facts.TRADES} SELECT o.id, coalesce(filled_idx, -1) AS filled_idx, coalesce(exit_idx, -1) AS exit_idx, coalesce(state, 'PENDING') AS state FROM orders_ o LEFT JOIN race r USING (id)")
-def str_advanced_trades(spark, d):
-    """The race of orders, resumed batch by batch over a stream of bars."""
-    bars, orders = facts._orders(spark, d)
-    orders, folder = made_once(orders, "orders"), shared_folder(spark, "stream")
-    bars = bars.select("symbol", "idx", "high", "low")
-    for lo, hi in ((0, 199), (200, 399), (400, 599), (600, 1 << 40)):  # a file stream takes older files first
-        bars.where(F.col("idx").between(lo, hi)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = S.read_tape(spark, f"{folder}/in", ", ".join(f"{n} {t}" for n, t in bars.dtypes))
-    got = S.advanced_trades(stream, orders, folder, f"{folder}/state", hold=48, expiry=24)
-    return got.select("id", F.coalesce("filled_idx", F.lit(-1)).alias("filled_idx"), F.coalesce("exit_idx", F.lit(-1)).alias("exit_idx"), "state")
-
-
 @R.add(
     f"""WITH {TAPE} SELECT 'journal' AS target, count(*) AS n, sum(trade_id)::BIGINT AS ids FROM tape
 UNION ALL SELECT 'trades', count(*), sum(trade_id)::BIGINT FROM tape UNION ALL SELECT 'large', count(*), sum(trade_id)::BIGINT FROM tape WHERE qty > 100"""

@@ -13,7 +13,7 @@ from tapeloom.operators import structure as S
 from tapeloom.operators.passage import spans
 from tapeloom.operators.persist import made_once
 from tapeloom.plans import facts
-from tapeloom.plans.base import BREAKS, OB, OPTIONS, STRUCTURE, SWINGS, Registry, bars_sql, minutes, structure
+from tapeloom.plans.base import BREAKS, OB, OPTIONS, STRUCTURE, SWINGS, Registry, bars_sql, minutes, structure, once_a_query
 from tapeloom.sources.tape import tape
 
 R = Registry()
@@ -48,10 +48,12 @@ PLANS = f"""pl0 AS (
 )"""
 
 
+@once_a_query
 def _minutes(spark, d):
     return made_once(P.by_time(minutes(spark, d), 60).select("symbol", "k", "high", "low", "open_time"), "minutes")
 
 
+@once_a_query
 def _armed(spark, d):
     bars, found = facts._setups(spark, d)
     mins = _minutes(spark, d)
@@ -59,6 +61,7 @@ def _armed(spark, d):
     return bars, mins, P.armed_minutes(rows, bars, mins, HORIZON)
 
 
+@once_a_query
 def _plans(spark, d):
     bars, mins, armed = _armed(spark, d)
     return bars, mins, made_once(P.planned(armed, bars, O), "plans")
@@ -105,6 +108,7 @@ CONFIRM = f"""tn0 AS (
 )"""
 
 
+@once_a_query
 def _confirmed(spark, d):
     bars, mins, plans = _plans(spark, d)
     fine = made_once(P.by_time(B.numbered(B.bars_of_trades(tape(spark, d), "15m")), 900), "fine")

@@ -75,7 +75,7 @@ def str_stateful_minutes(spark, d):
 def str_forming_bar(spark, d):
     """The last state of a stream in complete mode, batch by batch."""
     folder = shared_folder(spark, "stream")
-    S.each_batch(S.forming(_deliveries(spark, d, folder)), lambda rows, number: rows.write.parquet(f"{folder}/batch{number:04d}"), f"{folder}/state", "complete")
+    S.each_batch(S.forming(_deliveries(spark, d, folder)), lambda rows, number: rows.write.mode("overwrite").parquet(f"{folder}/batch{number:04d}"), f"{folder}/state", "complete")
     bars = spark.read.parquet(f"{folder}/batch{FILES - 1:04d}").withColumn("open_time", F.col("open_time").cast("timestamp_ntz"))
     latest = F.max_by(F.struct("open_time", "open", "close", "n"), "open_time")
     return bars.groupBy("symbol").agg(latest.alias("x")).select("symbol", "x.*")
@@ -84,18 +84,9 @@ def str_forming_bar(spark, d):
 @R.add(f"WITH {TAPE}, {bars_sql('m', '1 minute')} SELECT symbol, open_time, close, n FROM m")
 def str_late_revision(spark, d):
     """Each batch is added to the stored trades, and the minutes it touches are made anew."""
-    from tapeloom.operators.bars import bars_of_trades
-
     folder = shared_folder(spark, "stream")
-
-    def revise(rows, number):
-        rows.write.mode("append").parquet(f"{folder}/trades")
-        trades = spark.read.parquet(f"{folder}/trades")
-        made = bars_of_trades(trades, "1m") if number == 0 else S.revised(spark.read.parquet(f"{folder}/minutes{number - 1}"), rows, trades)
-        made.write.parquet(f"{folder}/minutes{number}")
-
-    S.each_batch(_deliveries(spark, d, folder), revise, f"{folder}/state", "append")
-    done = spark.read.parquet(f"{folder}/minutes{FILES - 1}")
+    S.revise_batches(_deliveries(spark, d, folder), folder, f"{folder}/state")
+    done = S.revised_minutes(spark, folder)
     return done.select("symbol", F.col("open_time").cast("timestamp_ntz").alias("open_time"), "close", "n")
 
 

@@ -152,7 +152,7 @@ def agg_range_extremes(spark, d):
 
 @R.add(
     """WITH r AS (SELECT l_returnflag AS g, list(l_extendedprice ORDER BY l_extendedprice) AS v FROM lineitem GROUP BY 1)
-SELECT g, v[least(len(v) - 1, (0.9::DOUBLE * (len(v) - 1))::DOUBLE::DECIMAL(30,6)::DOUBLE // 1)::BIGINT + 1] AS inner_p90, v[least(len(v) - 1, (0.9::DOUBLE * len(v)) // 1)::BIGINT + 1] AS outer_p90 FROM r"""
+SELECT g, v[least(len(v) - 1, floor(0.9::DOUBLE * (len(v) - 1)))::BIGINT + 1] AS inner_p90, v[least(len(v) - 1, floor(0.9::DOUBLE * len(v)))::BIGINT + 1] AS outer_p90 FROM r"""
 )
 def agg_nearest_rank(spark, d):
     """Both index rules: int(p * (n - 1)) and int(p * n), clipped; ranks are counted, not gathered."""

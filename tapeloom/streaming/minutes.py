@@ -97,15 +97,36 @@ def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkp
     query.trigger(availableNow=True).start().awaitTermination()
 
 
-def revised(minutes: DataFrame, late: DataFrame, trades: DataFrame) -> DataFrame:
-    """minutes with those recomputed from trades that late trades fell into (foreachBatch body)."""
+def revise_batches(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Store the trades of a stream and, batch by batch, the minutes that each batch's trades fall into.
+
+    A batch reads the stored trades of the days it touches only, makes its minutes anew from them,
+    and writes both to folders of its number, which it overwrites if it comes again; so a repeated
+    batch changes nothing, and work grows with what is touched, not with what is stored.
+    """
     from tapeloom.operators.bars import bars_of_trades
 
-    touched = late.select("symbol", bucket("ts", "1m").alias("open_time")).distinct()
-    keys = ["symbol", "open_time"]
-    own = trades.withColumn("open_time", bucket("ts", "1m")).join(touched, keys, "left_semi").drop("open_time")
-    fresh = bars_of_trades(own, "1m")
-    return minutes.join(touched, keys, "left_anti").unionByName(fresh.select(*minutes.columns))
+    spark = stream.sparkSession
+
+    def work(rows: DataFrame, number: int) -> None:
+        rows = rows.withColumn("day", F.to_date("ts")).persist()
+        rows.write.mode("overwrite").partitionBy("day").parquet(f"{path}/trades/batch={number}")
+        days = [r["day"] for r in rows.select("day").distinct().collect()]  # of one batch
+        stored = spark.read.parquet(f"{path}/trades").where((F.col("batch") <= number) & F.col("day").isin(days)) if days else rows
+        touched = rows.select("symbol", bucket("ts", "1m").alias("open_time")).distinct()
+        own = stored.withColumn("open_time", bucket("ts", "1m")).join(touched, ["symbol", "open_time"], "left_semi").drop("open_time", "day", "batch")
+        bars_of_trades(own, "1m").write.mode("overwrite").parquet(f"{path}/minutes/batch={number}")
+        rows.unpersist()
+
+    each_batch(stream, work, checkpoint, "append")
+
+
+def revised_minutes(spark: SparkSession, path: str) -> DataFrame:
+    """The last revision of every minute that revise_batches() wrote, with revision: how often it was made anew."""
+    rows = spark.read.parquet(f"{path}/minutes")
+    own = F.struct(*(c for c in rows.columns if c not in ("symbol", "open_time", "batch")))
+    last = rows.groupBy("symbol", "open_time").agg(F.max_by(own, "batch").alias("_m"), (F.count("*") - 1).alias("revision"))
+    return last.select("symbol", "open_time", "_m.*", "revision")
 
 
 def fan_out(stream: DataFrame, sinks: dict[str, Callable[[DataFrame], DataFrame]], path: str, checkpoint: str) -> None:
@@ -121,32 +142,3 @@ def fan_out(stream: DataFrame, sinks: dict[str, Callable[[DataFrame], DataFrame]
         rows.unpersist()
 
     each_batch(stream, write, checkpoint, "append")
-
-
-def advanced_trades(bars: DataFrame, orders: DataFrame, path: str, checkpoint: str, hold: int, expiry: int) -> DataFrame:
-    """orders with filled_idx, exit_idx, state after a stream of bars, each batch later than the one before.
-
-    A batch looks only at orders that have not ended; ended ones are stored with its number and never
-    looked at again, so a restart goes on from the stored bars and ends, and a repeated batch writes
-    the same.
-    """
-    from tapeloom.operators.simulate import race
-
-    spark = bars.sparkSession
-
-    def still_open(number: int) -> DataFrame:
-        if number == 0:
-            return orders
-        ended = spark.read.parquet(f"{path}/ended").where(F.col("batch") < number)
-        return orders.join(ended.select("id"), "id", "left_anti")
-
-    def advance(rows: DataFrame, number: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{path}/bars/batch={number}")
-        known = spark.read.parquet(f"{path}/bars").where(F.col("batch") <= number).drop("batch")
-        raced = race(still_open(number), known, hold, expiry)
-        raced.where("exit_idx is not null").write.mode("overwrite").parquet(f"{path}/ended/batch={number}")
-
-    each_batch(bars, advance, checkpoint, "append")
-    ended = spark.read.parquet(f"{path}/ended").drop("batch")
-    known = spark.read.parquet(f"{path}/bars").drop("batch")
-    return ended.unionByName(race(orders.join(ended.select("id"), "id", "left_anti"), known, hold, expiry))
