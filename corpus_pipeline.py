@@ -18,7 +18,7 @@ from tapeloom.llm.shared import bounded_batches, durable
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learnt from docs; those that are rejected go."""
     bounded_batches(spark)
-    return langid.accepted(docs, langid.fit(docs.select("text", "lang")))
+    return langid.accepted(docs, langid.fit(docs.select("doc_id", "text", "lang")))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
