@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.grid import later, seconds
 from tapeloom.operators.passage import BLOCK, first_passage
+from tapeloom.operators.persist import made_once
 from tapeloom.operators.reconcile import insert_new
 
 
@@ -96,19 +97,39 @@ def nearest_ranks(rows: DataFrame, group: str, value: str, p: float) -> DataFram
 def range_extremes(spans: DataFrame, bars: DataFrame, block: int = BLOCK) -> DataFrame:
     """spans (id, symbol, lo, hi) with the highest high and lowest low of their bars.
 
-    Whole blocks of bars inside a span are read as one row of their own extremes.
+    bars are numbered by idx from 0 without holes. A span over several blocks of bars reads four rows
+    at most, whatever its length: what its first block has from lo on, what its last block has up to
+    hi, and two runs of whole blocks that overlap, of the longest power of two that fits between. A
+    span within one block reads its bars. Runs of each length are made from those of half of it, by
+    joins on the block; only as many lengths as the longest span needs.
     """
-    own = F.floor(F.col("idx") / block)
-    blocks = bars.groupBy("symbol", own.alias("at")).agg(F.max("high").alias("high"), F.min("low").alias("low")).withColumn("whole", F.lit(True))
-    single = bars.select("symbol", F.col("idx").alias("at"), "high", "low", F.lit(False).alias("whole"))
-    first, last = F.ceil(F.col("lo") / block), F.floor((F.col("hi") + 1) / block) - 1
-    inside = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-    head = F.sequence("lo", F.least("hi", F.when(last >= first, first * block - 1).otherwise(F.col("hi"))))
-    head = F.when((last >= first) & (F.col("lo") > first * block - 1), F.array().cast("array<bigint>")).otherwise(head)
-    tail = F.when((last >= first) & ((last + 1) * block <= F.col("hi")), F.sequence((last + 1) * block, F.col("hi"))).otherwise(F.array().cast("array<bigint>"))
-    mark = lambda c, whole: F.transform(c, lambda x: F.struct(x.alias("at"), F.lit(whole).alias("whole")))
-    asked = spans.where("hi >= lo").select("id", "symbol", F.explode(F.concat(mark(inside, True), mark(head, False), mark(tail, False))).alias("x")).select("id", "symbol", "x.*")
-    found = asked.join(blocks.unionByName(single), ["symbol", "at", "whole"]).groupBy("id").agg(F.max("high").alias("high"), F.min("low").alias("low"))
+    numbered = bars.select("symbol", "idx", "high", "low", F.floor(F.col("idx") / block).alias("at"))
+    own = Window.partitionBy("symbol", "at").orderBy("idx")
+    upto, onward = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(0, Window.unboundedFollowing)
+    row = lambda kind, at, high, low: (F.lit(kind).alias("kind"), at.alias("at"), high.alias("high"), low.alias("low"))
+    tables = numbered.select("symbol", *row(-1, F.col("idx"), F.col("high"), F.col("low")))
+    tables = tables.unionByName(numbered.select("symbol", *row(-2, F.col("idx"), F.max("high").over(onward), F.min("low").over(onward))))
+    tables = tables.unionByName(numbered.select("symbol", *row(-3, F.col("idx"), F.max("high").over(upto), F.min("low").over(upto))))
+    runs = made_once(numbered.groupBy("symbol", "at").agg(F.max("high").alias("high"), F.min("low").alias("low")), "blocks")
+    whole = bars.groupBy("symbol").agg(F.max("idx").alias("_end"))
+    asked = spans.select("id", "symbol", "lo", "hi").join(F.broadcast(whole), "symbol").withColumn("lo", F.greatest("lo", F.lit(0))).withColumn("hi", F.least("hi", "_end")).where("hi >= lo")
+    first, last = F.floor(F.col("lo") / block), F.floor(F.col("hi") / block)
+    between = last - first - 1
+    power = F.floor(F.log2(F.greatest(between, F.lit(1)).cast("double")) + 1e-9).cast("int")
+    longest = made_once(asked.select("*", first.alias("first"), last.alias("last"), between.alias("between"), power.alias("power")), "spans")
+    levels = longest.agg(F.max(F.when(F.col("between") > 0, F.col("power")))).first()[0]
+    for level in range(0 if levels is None else levels + 1):
+        tables = tables.unionByName(runs.select("symbol", *row(level, F.col("at"), F.col("high"), F.col("low"))))
+        half = runs.select("symbol", (F.col("at") - (1 << level)).alias("at"), F.col("high").alias("_high"), F.col("low").alias("_low"))
+        if level < levels:
+            runs = made_once(runs.join(half, ["symbol", "at"]).select("symbol", "at", F.greatest("high", "_high").alias("high"), F.least("low", "_low").alias("low")), "runs")
+    part = lambda kind, at: F.struct((F.lit(kind) if isinstance(kind, int) else kind).alias("kind"), at.cast("long").alias("at"))
+    inner = F.when(F.col("between") > 0, F.array(part(F.col("power"), F.col("first") + 1), part(F.col("power"), F.col("last") - F.pow(F.lit(2.0), F.col("power")).cast("long")))).otherwise(F.array())
+    ends = F.array(part(-2, F.col("lo")), part(-3, F.col("hi")))
+    single = F.transform(F.sequence("lo", "hi"), lambda x: part(-1, x))
+    reads = F.when(F.col("first") == F.col("last"), single).otherwise(F.concat(ends, inner))
+    met = longest.select("id", "symbol", F.explode(reads).alias("x")).select("id", "symbol", "x.*")
+    found = met.join(tables, ["symbol", "kind", "at"]).groupBy("id").agg(F.max("high").alias("high"), F.min("low").alias("low"))
     return spans.join(found, "id")
 
 

@@ -12,14 +12,15 @@ from tapeloom.operators import structure as S
 from tapeloom.operators.passage import first_passage
 from tapeloom.operators.persist import made_once
 from tapeloom.plans import facts
-from tapeloom.plans.base import BREAKS, OPTIONS, STRUCTURE, SWINGS, TAPE, Registry, structure
+from tapeloom.plans.base import BREAKS, FVG, OPTIONS, STRUCTURE, SWINGS, TAPE, Registry, structure
 from tapeloom.sources.tape import tape
 
 R = Registry()
 HOLD = 48
 FACTORS = (0.0, 0.5, 1.0, 2.0, 4.0)
 SNAPSHOTS = range(50, 701, 50)
-CUTS = (150, 400)
+#: Cuts of a series, evenly over its length.
+CUTS = 20
 
 
 def _renamed(sql: str, prefix: str, *names: str) -> str:
@@ -163,32 +164,53 @@ def tk_chronological_merge(spark, d):
     return both.withColumn("place", F.row_number().over(Window.partitionBy("symbol").orderBy("at_idx", "what", "detail", "ref")))
 
 
-def _cut_sql(cut: int) -> str:
-    sql = _renamed(f"{SWINGS}, {BREAKS}", f"c{cut}_", "piv", "bars", "swings", "force", "hb", "lb", "ev0", "ev")
-    return f"c{cut}_bars AS (SELECT * FROM bars WHERE idx < {cut}), {sql}"
+_CUT = _renamed(f"{SWINGS}, {BREAKS}, {FVG}, {facts.SWEEPS}", "x_", "piv", "bars", "swings", "force", "hb", "lb", "ev0", "ev", "fvg", "tk", "lv", "sweeps")
 
 
-def _cut_rows(cut: int) -> str:
-    full, part = f"(SELECT symbol, break_idx, dir, level, level_idx, kind FROM ev WHERE break_idx < {cut})", f"(SELECT symbol, break_idx, dir, level, level_idx, kind FROM c{cut}_ev)"
-    return f"""SELECT {cut} AS cut, (SELECT count(*) FROM {full}) AS in_full, (SELECT count(*) FROM {part}) AS in_cut,
-  (SELECT count(*) FROM ({full} EXCEPT ALL {part})) + (SELECT count(*) FROM ({part} EXCEPT ALL {full})) AS differing"""
+def _objects(p: str) -> str:
+    return f"""SELECT symbol, 'SWING' AS kind, confirmed_idx AS known, kind || ':' || idx AS name, price AS a, price AS b FROM {p}swings
+  UNION ALL SELECT symbol, 'BREAK', break_idx, kind || ':' || dir || ':' || level_idx, level, level FROM {p}ev
+  UNION ALL SELECT symbol, 'GAP', created_idx, dir::VARCHAR, bottom, top FROM {p}fvg
+  UNION ALL SELECT symbol, 'SWEEP', idx, dir::VARCHAR, level, wick FROM {p}sweeps"""
 
 
-@R.add(f"{STRUCTURE}, {', '.join(_cut_sql(c) for c in CUTS)} {' UNION ALL '.join(_cut_rows(c) for c in CUTS)}")
+@R.add(
+    f"""{STRUCTURE}, {FVG}, {facts.SWEEPS}, cuts AS (SELECT symbol, k, n * k // {CUTS + 1} AS cut FROM (SELECT symbol, count(*) AS n FROM bars GROUP BY 1), range(1, {CUTS + 1}) t(k)),
+x_bars AS (SELECT b.* REPLACE (b.symbol || '#' || c.k AS symbol) FROM bars b JOIN cuts c ON c.symbol = b.symbol AND b.idx < c.cut), {_CUT},
+fo AS ({_objects('')}), xo AS ({_objects('x_')}),
+mk AS (SELECT c.k, f.kind, f.symbol || '#' || c.k AS symbol, f.known, f.name, f.a, f.b, 1 AS side FROM fo f JOIN cuts c ON c.symbol = f.symbol AND f.known < c.cut
+  UNION ALL SELECT split_part(symbol, '#', 2)::BIGINT, kind, symbol, known, name, a, b, -1 FROM xo),
+ct AS (SELECT k, kind, count(*) FILTER (WHERE side = 1) AS f, count(*) FILTER (WHERE side = -1) AS c FROM mk GROUP BY k, kind, symbol, known, name, a, b)
+SELECT k, kind, sum(f)::BIGINT AS in_full, sum(c)::BIGINT AS in_cut, sum(abs(f - c))::BIGINT AS differing FROM ct GROUP BY k, kind"""
+)
 def vw_prefix_invariance(spark, d):
-    bars, _, events = structure(spark, d)
-    found = None
-    for cut in CUTS:
-        known = bars.where(F.col("idx") < cut)
-        full, part = events.where(F.col("break_idx") < cut), S.breaks(known, S.swings(known, OPTIONS.swing_len))
-        marks = full.withColumn("side", F.lit(1)).unionByName(part.withColumn("side", F.lit(-1)))
-        counts = marks.groupBy(*events.columns).agg(F.count_if(F.col("side") == 1).alias("f"), F.count_if(F.col("side") == -1).alias("c"))
-        row = counts.agg(
-            F.coalesce(F.sum("f"), F.lit(0)).alias("in_full"), F.coalesce(F.sum("c"), F.lit(0)).alias("in_cut"),
-            F.coalesce(F.sum(F.abs(F.col("f") - F.col("c"))), F.lit(0)).alias("differing"),
-        ).select(F.lit(cut).alias("cut"), "in_full", "in_cut", "differing")
-        found = row if found is None else found.unionByName(row)
-    return found
+    """Twenty cuts of every series: swings, breaks, gaps and sweeps of what was known then against those
+    of the whole that were known by then.
+
+    A cut series is a series of its own name, so one plan finds the structure of all cuts.
+    """
+    bars, pivots, events = structure(spark, d)
+    ends = bars.groupBy("symbol").agg(F.count("*").alias("n"))
+    cuts = F.broadcast(ends.select("symbol", F.explode(F.sequence(F.lit(1), F.lit(CUTS))).alias("k"), "n").select("symbol", "k", F.floor(F.col("n") * F.col("k") / (CUTS + 1)).alias("cut")))
+    named = F.concat_ws("#", "symbol", "k")
+    cut_bars = made_once(bars.join(cuts, "symbol").where("idx < cut").withColumn("symbol", named).select(*bars.columns), "cut_bars")
+    cut_pivots = made_once(S.swings(cut_bars, OPTIONS.swing_len), "cut_swings")
+    full = _found(bars, pivots, events).join(cuts, "symbol").where(F.col("at") < F.col("cut")).withColumn("symbol", named).drop("cut", "k")
+    part = _found(cut_bars, cut_pivots, S.breaks(cut_bars, cut_pivots))
+    marks = full.withColumn("side", F.lit(1)).unionByName(part.withColumn("side", F.lit(-1)))
+    counts = marks.groupBy("symbol", "kind", "at", "name", "a", "b").agg(F.count_if(F.col("side") == 1).alias("f"), F.count_if(F.col("side") == -1).alias("c"))
+    k = F.split_part("symbol", F.lit("#"), F.lit(2)).cast("long")
+    return counts.groupBy(k.alias("k"), "kind").agg(F.sum("f").alias("in_full"), F.sum("c").alias("in_cut"), F.sum(F.abs(F.col("f") - F.col("c"))).alias("differing"))
+
+
+def _found(bars, pivots, events):
+    """symbol, kind, at (when it is known), name, a, b of all that structure has."""
+    text = lambda *c: F.concat_ws(":", *(F.col(x).cast("string") for x in c))
+    row = lambda kind, at, name, a, b: ("symbol", F.lit(kind).alias("kind"), F.col(at).cast("long").alias("at"), name.alias("name"), F.col(a).alias("a"), F.col(b).alias("b"))
+    out = pivots.select(*row("SWING", "confirmed_idx", text("kind", "idx"), "price", "price"))
+    out = out.unionByName(events.select(*row("BREAK", "break_idx", text("kind", "dir", "level_idx"), "level", "level")))
+    out = out.unionByName(S.fair_value_gaps(bars, OPTIONS.fvg_min_atr).select(*row("GAP", "created_idx", text("dir"), "bottom", "top")))
+    return out.unionByName(S.sweeps(bars, pivots, facts.LB, OPTIONS.eq_tol_atr).select(*row("SWEEP", "idx", text("dir"), "level", "wick")))
 
 
 @R.add(
