@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions.grid import SECONDS, bucket, later
+from tapeloom.operators.running import running_sum
 
 
 def bars_of_trades(trades: DataFrame, tf: str, grid: str = "utc") -> DataFrame:
@@ -60,12 +61,10 @@ def coarser(bars: DataFrame, tf: str, grid: str = "utc", upto: str | None = None
 
 
 def numbered(bars: DataFrame) -> DataFrame:
-    """bars with idx, the bar's number in its symbol's series from 0.
-
-    A series has one row a bucket, so its length is bounded by the time that it spans.
-    """
-    w = Window.partitionBy("symbol").orderBy("open_time")
-    return bars.withColumn("idx", (F.row_number().over(w) - 1).cast("long"))
+    """bars with idx, the bar's number in its symbol's series from 0; a task counts one day of bars."""
+    dated = bars.withColumn("_day", F.to_date("open_time"))
+    counted = running_sum(dated, ["symbol"], "_day", ["open_time"], F.lit(1), "idx")
+    return counted.withColumn("idx", (F.col("idx") - 1).cast("long")).drop("_day")
 
 
 def five_of_one(minutes: DataFrame) -> DataFrame:

@@ -9,10 +9,10 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tapeloom.operators.indicators import series
+from tapeloom.operators.indicators import running_last, series, windowed
 from tapeloom.operators.passage import first_passage, spans
 
 
@@ -32,18 +32,21 @@ class StructureOptions:
 def swings(bars: DataFrame, n: int) -> DataFrame:
     """symbol, kind, idx, price, confirmed_idx: highs above the n bars before and not below the n
     after (lows alike), where both sides are complete."""
-    w = series()
-    left, right = w.rowsBetween(-n, -1), w.rowsBetween(1, n)
-    whole = (F.count("*").over(left) == n) & (F.count("*").over(right) == n)
-    high = whole & (F.col("high") > F.max("high").over(left)) & (F.col("high") >= F.max("high").over(right))
-    low = whole & (F.col("low") < F.min("low").over(left)) & (F.col("low") <= F.min("low").over(right))
+
+    def pivots(w: WindowSpec) -> dict[str, Column]:
+        left, right = w.rowsBetween(-n, -1), w.rowsBetween(1, n)
+        whole = (F.count("*").over(left) == n) & (F.count("*").over(right) == n)
+        high = whole & (F.col("high") > F.max("high").over(left)) & (F.col("high") >= F.max("high").over(right))
+        low = whole & (F.col("low") < F.min("low").over(left)) & (F.col("low") <= F.min("low").over(right))
+        return {"_high": high, "_low": low}
+
     found = F.array_compact(
         F.array(
             F.when(F.col("_high"), F.struct(F.lit("HIGH").alias("kind"), F.col("high").alias("price"))),
             F.when(F.col("_low"), F.struct(F.lit("LOW").alias("kind"), F.col("low").alias("price"))),
         )
     )
-    marked = bars.select("symbol", "idx", "high", "low", high.alias("_high"), low.alias("_low"))
+    marked = windowed(bars.select("symbol", "idx", "high", "low"), pivots, before=n, after=n)
     return marked.select("symbol", "idx", F.explode(found).alias("s")).select(
         "symbol", "s.kind", "idx", "s.price", (F.col("idx") + n).alias("confirmed_idx")
     )
@@ -62,10 +65,8 @@ def breaks(bars: DataFrame, pivots: DataFrame) -> DataFrame:
         .agg(F.max(F.struct(F.col("swing_idx").alias("idx"), "price")))
         .withColumnsRenamed({"HIGH": "_top", "LOW": "_bottom"})
     )
-    so_far = series().rowsBetween(Window.unboundedPreceding, 0)
-    armed = bars.join(known, ["symbol", "idx"], "left").select(
-        "symbol", "idx", "close", F.last("_top", True).over(so_far).alias("h"), F.last("_bottom", True).over(so_far).alias("l")
-    )
+    met = bars.select("symbol", "idx", "close").join(known, ["symbol", "idx"], "left")
+    armed = running_last(met, {"h": F.col("_top"), "l": F.col("_bottom")}).drop("_top", "_bottom")
     highs = (
         armed.where("close > h.price")
         .groupBy("symbol", F.col("h.idx").alias("level_idx"))
@@ -85,18 +86,18 @@ def breaks(bars: DataFrame, pivots: DataFrame) -> DataFrame:
 
 def trend(bars: DataFrame, events: DataFrame) -> DataFrame:
     """symbol, idx, trend: the direction of the last break, 0 before the first."""
-    so_far = series().rowsBetween(Window.unboundedPreceding, 0)
     at = events.select("symbol", F.col("break_idx").alias("idx"), "dir")
-    return bars.join(at, ["symbol", "idx"], "left").select("symbol", "idx", F.coalesce(F.last("dir", True).over(so_far), F.lit(0)).alias("trend"))
+    met = bars.select("symbol", "idx").join(at, ["symbol", "idx"], "left")
+    return running_last(met, {"trend": F.col("dir")}).select("symbol", "idx", F.coalesce("trend", F.lit(0)).alias("trend"))
 
 
 def fair_value_gaps(bars: DataFrame, min_atr: float) -> DataFrame:
     """symbol, created_idx, dir, bottom, top: three-bar gaps of at least min_atr ATR (any size while
     the ATR is unknown)."""
-    w = series()
-    high2, low2 = F.lag("high", 2).over(w), F.lag("low", 2).over(w)
+    looked = windowed(bars.select("symbol", "idx", "high", "low", "atr"), lambda w: {"_high2": F.lag("high", 2).over(w), "_low2": F.lag("low", 2).over(w)}, before=2)
+    high2, low2 = F.col("_high2"), F.col("_low2")
     up, down = F.col("low") > high2, F.col("high") < low2
-    rows = bars.select(
+    rows = looked.select(
         "symbol",
         F.col("idx").alias("created_idx"),
         F.when(up, 1).when(down, -1).alias("dir"),
@@ -114,11 +115,9 @@ def order_blocks(bars: DataFrame, events: DataFrame, o: StructureOptions) -> Dat
     The last opposite candle (or the extreme one, latest on ties) between the level and the break,
     big enough, with a gap right after it; that gap may close one bar after the break.
     """
-    w = series()
-    near = bars.select(
-        "symbol", "idx", "open", "high", "low", "close",
-        F.lead("high", 2).over(w).alias("high2"), F.lead("low", 2).over(w).alias("low2"),
-    )
+    near = windowed(
+        bars.select("symbol", "idx", "open", "high", "low", "close"), lambda w: {"high2": F.lead("high", 2).over(w), "low2": F.lead("low", 2).over(w)}, after=2
+    )
     asks = events.select("symbol", "break_idx", "dir", F.greatest(F.col("level_idx") + 1, F.col("break_idx") - o.ob_lookback).alias("lo"), (F.col("break_idx") - 1).alias("hi"))
     joined = spans(asks, near)
     if o.ob_rule == "extreme":

@@ -271,7 +271,7 @@ SELECT symbol, idx, round(ema, 4) AS ema, coalesce(sign(round(ema, 4) - round(la
 )
 def win_ema_slope(spark, d):
     e = I.with_ema(hours(spark, d), 20).withColumn("ema", F.round("ema", 4))
-    return e.select("symbol", "idx", "ema", I.slope_sign("ema", 6).alias("slope"))
+    return I.with_slope(e, "ema", 6).select("symbol", "idx", "ema", "slope")
 
 
 @R.add(
@@ -281,8 +281,7 @@ def win_ema_slope(spark, d):
 SELECT symbol, idx, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY idx ROWS UNBOUNDED PRECEDING), 0) AS state FROM s"""
 )
 def win_displacement_state(spark, d):
-    s = hours_atr(spark, d).withColumn("own", I.displacement())
-    return s.select("symbol", "idx", I.carried("own").cast("int").alias("state"))
+    return I.with_displacement(hours_atr(spark, d)).select("symbol", "idx", F.col("state").cast("int").alias("state"))
 
 
 @R.add(

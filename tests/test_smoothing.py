@@ -32,3 +32,19 @@ def test_chunks_give_what_one_loop_gives(spark, length, chunk):
             mean = found.pop((s, i))
             assert (mean is None or math.isnan(mean)) if expected is None else math.isclose(mean, expected, rel_tol=1e-12)
     assert not found
+
+
+def test_windows_and_last_values_over_many_chunks(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    rows = [(s, i, rng.random(), rng.randint(1, 9) if rng.random() < 0.1 else None) for s, n in (("a", 95), ("b", 3), ("c", 16)) for i in range(n)]
+    bars = spark.createDataFrame(rows, "symbol string, idx long, high double, mark long")
+    whole = Window.partitionBy("symbol").orderBy("idx")
+    top = lambda w: {"top": F.max("high").over(w.rowsBetween(-3, 2)), "n": F.count("*").over(w.rowsBetween(-3, -1)), "back": F.lag("high", 3).over(w)}
+    expected = sorted(map(tuple, bars.withColumns(top(whole)).collect()), key=repr)
+    assert sorted(map(tuple, indicators.windowed(bars, top, before=3, after=2, chunk=8).collect()), key=repr) == expected
+    last = F.last("mark", True).over(whole.rowsBetween(Window.unboundedPreceding, 0))
+    expected = sorted(map(tuple, bars.withColumn("last", last).collect()), key=repr)
+    assert sorted(map(tuple, indicators.running_last(bars, {"last": F.col("mark")}, chunk=8).collect()), key=repr) == expected
