@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.grid import seconds
 from tapeloom.operators import feed, repair
+from tapeloom.operators import views as V
 from tapeloom.operators import wallet as W
 from tapeloom.operators.persist import made_once, shared_folder
 from tapeloom.operators.running import running_sum
-from tapeloom.plans import facts, feeds, records
+from tapeloom.plans import facts, feeds, records, views
 from tapeloom.plans.base import TAPE, Registry
+from tapeloom.sources.messages import messages, without_errors
 from tapeloom.sources.tape import tape
 from tapeloom.streaming import advance, held, matching, proof
 from tapeloom.streaming import minutes as S
@@ -354,3 +356,17 @@ def sim_wallet_view(spark, d):
     rows, wallets, trades, prices = _booked(spark, d)
     got = W.views(made_once(rows, "ledger"), wallets, trades, prices, MAKER, TAKER)
     return got.select("wallet", *(F.round(F.col(c) + 0.0, 5).alias(c) for c in ("balance", "equity", "unrealized", "margin", "free", "realized", "fees")), "open", "rejected")
+
+
+@R.add("SELECT event_id AS trade_id, event_type AS symbol, value AS px FROM events WHERE user_id % 10 <> 0 AND user_id % 7 <> 0 AND event_type IN ('click', 'view') AND value > 0")
+def src_message_stream(spark, d):
+    """Messages as a stream of text segments: half of them are read, then the query starts again from
+    its checkpoint and reads what has come since; each message counts once."""
+    folder = shared_folder(spark, "messages")
+    rows = made_once(views._messages(spark, d), "raw_messages")
+    for half in range(2):
+        for k in range(2 * half, 2 * half + 2):
+            rows.where(F.col("event_id") % 4 == k).select("raw").write.text(f"{folder}/in/{k:05d}")
+        found = without_errors(messages(spark, f"{folder}/in", stream=True))
+        S.run_to_end(V.parse_trades(found, ["click", "view"]), f"{folder}/out", f"{folder}/state")
+    return spark.read.parquet(f"{folder}/out").select("trade_id", "symbol", "px")
