@@ -233,27 +233,41 @@ def displacement_middles(plans: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def evaluated(rows: DataFrame, o: OrderOptions) -> DataFrame:
+    """rows with reasons (none: accepted), cost, net, qty and leverage: limit orders at the edge, stops by
+    structure.
+
+    rows: plans with trend, tested_idx, mitigated_idx, target and discount.
+    """
+    judged = evaluated_orders(rows.withColumns({"entry": F.col("edge"), "stop": F.col("stop_structure"), "market": F.lit(False)}), o)
+    return judged.drop("entry", "stop", "market")
+
+
+def evaluated_orders(rows: DataFrame, o: OrderOptions) -> DataFrame:
     """rows with reasons (none: accepted), cost, net, qty and leverage.
 
-    rows: plans with trend, tested_idx, mitigated_idx, target and discount. The first of NO_BIAS,
-    BIAS_MISMATCH, ZONE_INVALID, NOT_FRESH, BAD_STOP ends the evaluation; the other reasons add up.
+    rows: entry, stop, market, target, discount (null: not judged), dir, trend, tested_idx,
+    mitigated_idx, created_idx and kz. The first of NO_BIAS, BIAS_MISMATCH, ZONE_INVALID, NOT_FRESH
+    (not for a market order), BAD_STOP ends the evaluation; the other reasons add up. A market order
+    pays the taker's fee at its entry.
     """
-    entry, stop, target, side = F.col("edge"), F.col("stop_structure"), F.col("target"), F.col("dir")
+    entry, stop, target, side = F.col("entry"), F.col("stop"), F.col("target"), F.col("dir")
+    paid = F.when(F.col("market"), o.taker).otherwise(o.maker)
     distance = F.abs(entry - stop)
-    fees = entry * o.maker + stop * o.taker + stop * o.slippage
+    fees = entry * paid + stop * o.taker + stop * o.slippage
     unit = distance + fees
     fill = target - target * o.slippage * side
-    net = ((fill - entry) * side - entry * o.maker - fill * o.taker) / unit
+    net = ((fill - entry) * side - entry * paid - fill * o.taker) / unit
     wanted = F.floor(o.balance * o.risk / unit * 100000) / 100000
     cap = F.floor(o.balance / ((1 + o.liquidation_buffer) * distance + o.maintenance * entry) * 100000) / 100000
     first = (
         F.when(F.col("trend") == 0, "NO_BIAS")
         .when(F.col("trend") != side, "BIAS_MISMATCH")
         .when((F.col("mitigated_idx") <= F.col("kz")) | (F.col("kz") > F.col("created_idx") + o.lookback), "ZONE_INVALID")
-        .when(F.col("tested_idx") <= F.col("kz"), "NOT_FRESH")
+        .when((F.col("tested_idx") <= F.col("kz")) & ~F.col("market"), "NOT_FRESH")
         .when(side * (entry - stop) <= 0, "BAD_STOP")
     )
-    sized = rows.withColumns({"first_": first, "cost": fees / distance, "net": net, "qty": F.least(wanted, cap), "capped_": cap < wanted})
+    cost = F.when(distance > 0, fees / distance)
+    sized = rows.withColumns({"first_": first, "cost": cost, "net": net, "qty": F.least(wanted, cap), "capped_": cap < wanted})
     sized = sized.withColumn("leverage", F.col("qty") * entry / o.balance)
     others = F.array_compact(
         F.array(
@@ -281,3 +295,87 @@ def order_moments(plans: DataFrame, confirmed: DataFrame | None, minutes: int) -
         "id", ((F.col("decided_k") + 1) * minutes).alias("at_k"), F.when(won, "MARKET").otherwise("REJECTED").alias("kind"),
         F.when(won, "").otherwise(F.col("outcome")).alias("reason"), F.when(won, F.col("price")).alias("price"),
     )
+
+
+@dataclass(frozen=True)
+class Mode:
+    """How an armed setup becomes an order.
+
+    order: touch (a limit from the arming minute), market (at the close of the confirming bar) or
+    limit (from that close). entry: edge, middle, exec_gap (half of the confirming move's gap, else its
+    block, else middle), exec_block (else middle); a market order's is the close. stop: wick, height,
+    structure. target: fixed (rr times the distance to the stop), previous (extreme), liquidity.
+    previous: leg or swing. discount: move (sweep to the displacement's extreme), or target (wick to
+    the previous extreme, judged if there is one).
+    """
+
+    name: str
+    order: str = "touch"
+    entry: str = "edge"
+    stop: str = "structure"
+    target: str = "liquidity"
+    previous: str = "leg"
+    discount: str = "move"
+    rr: float = 0.0
+
+
+def in_modes(touched: DataFrame, confirmed: DataFrame, zones: DataFrame, modes: list[Mode], o: OrderOptions) -> DataFrame:
+    """Plans in each mode: id (setup/mode), setup, mode's settings, edge (the mode's entry), block_edge, stop.
+
+    touched: plans at the arming minute; confirmed: plans at the close of the confirming bar, with price; zones:
+    what confirming_zones gives. A mode takes the plans of its moment.
+    """
+    settings = F.array(*(F.struct(F.lit(m.name).alias("mode"), F.lit(m.order).alias("order"), F.lit(m.entry).alias("entry_mode"), F.lit(m.stop).alias("stop_mode"),
+        F.lit(m.target).alias("target_mode"), F.lit(m.previous).alias("previous_mode"), F.lit(m.discount).alias("discount_mode"), F.lit(m.rr).alias("rr")) for m in modes))
+    both = touched.withColumn("_moment", F.lit("touch")).unionByName(confirmed.join(zones, "id", "left").withColumn("_moment", F.lit("confirm")), allowMissingColumns=True)
+    rows = both.select("*", F.inline(settings)).where((F.col("order") == "touch") == (F.col("_moment") == "touch")).drop("_moment")
+    half = _from_market((F.col("gap_low") + F.col("gap_high")) / 2, o.tick)
+    block = F.when(_long(), F.col("block_high")).otherwise(F.col("block_low"))
+    entry = (
+        F.when(F.col("order") == "market", F.col("price"))
+        .when(F.col("entry_mode") == "edge", F.col("edge"))
+        .when(F.col("entry_mode") == "exec_gap", F.coalesce(half, block, "middle"))
+        .when(F.col("entry_mode") == "exec_block", F.coalesce(block, "middle"))
+        .otherwise(F.col("middle"))
+    )
+    stop = F.when(F.col("stop_mode") == "wick", F.col("stop_wick")).when(F.col("stop_mode") == "height", F.col("stop_height")).otherwise(F.col("stop_structure"))
+    return rows.withColumns({"setup": F.col("id"), "id": F.concat_ws("/", "id", "mode"), "block_edge": F.col("edge"), "edge": entry, "stop": stop})
+
+
+def targets_in_modes(rows: DataFrame, liquidity: DataFrame, middles: DataFrame, o: OrderOptions) -> DataFrame:
+    """rows of in_modes, with previous extremes, ready for evaluated_orders: entry, market, target and discount.
+
+    liquidity: what liquidity_targets gives for the rows; middles: id, middle_of_move.
+    """
+    found = rows.join(liquidity.select("id", F.col("target").alias("_liquid")), "id", "left").join(middles.select("id", "middle_of_move"), "id", "left")
+    entry, side = F.col("edge"), F.col("dir")
+    level = F.when(F.col("previous_mode") == "swing", F.col("swing")).otherwise(F.col("leg"))
+    before = _from_market(level - side * (o.front_atr * F.coalesce("atr", F.lit(0.0))), o.tick)
+    target = (
+        F.when(F.col("target_mode") == "fixed", _from_market(entry + side * (F.col("rr") * F.abs(entry - F.col("stop"))), o.tick))
+        .when(F.col("target_mode") == "previous", F.when(side * (before - entry) > 0, before))
+        .otherwise(F.col("_liquid"))
+    )
+    cheap = F.when(F.col("discount_mode") == "move", side * (F.col("block_edge") - F.col("middle_of_move")) <= 0).otherwise(
+        side * (entry - (F.col("wick") + level) / 2) <= 0
+    )
+    return found.withColumns({"entry": entry, "market": F.col("order") == "market", "target": target, "discount": cheap}).drop("_liquid")
+
+
+def arming_states(setups: DataFrame, bars: DataFrame, minutes: DataFrame, lookback: int) -> DataFrame:
+    """setups with armed_k and arming: ARMED, ARMED_BEFORE or NONE.
+
+    The first bar of the zone's timeframe (hours) after created_idx, within lookback, that trades into the gap is
+    looked for; then the first minute in it that does. ARMED_BEFORE: the symbol's minutes that are
+    still held begin after that bar's opening, so the minute is not known (armed_k is null).
+    """
+    into = F.when(F.col("a.dir") == 1, F.col("b.low") <= F.col("a.gap_top")).otherwise(F.col("b.high") >= F.col("a.gap_bottom"))
+    asks = setups.withColumns({"lo": F.col("created_idx") + 1, "hi": F.col("created_idx") + lookback})
+    opened = {"_open_k": F.floor(seconds(F.col("b.open_time")) / 60)}
+    hit = first_passage(asks, bars.select("symbol", "idx", "high", "low", "open_time"), into, "_hit", extra=opened).drop("lo", "hi")
+    held = minutes.groupBy("symbol").agg(F.min("k").alias("_first_k"))
+    inside = hit.withColumns({"lo": F.col("_open_k"), "hi": F.col("_open_k") + 59}).join(F.broadcast(held), "symbol", "left")
+    found = first_passage(inside, minutes.select("symbol", F.col("k").alias("idx"), "high", "low"), into, "armed_k")
+    gone = F.col("_hit").isNotNull() & (F.col("_first_k").isNull() | (F.col("_first_k") > F.col("_open_k")))
+    state = F.when(gone, "ARMED_BEFORE").when(F.col("armed_k").isNotNull(), "ARMED").otherwise("NONE")
+    return found.withColumns({"arming": state, "armed_k": F.when(~gone, F.col("armed_k"))}).drop("lo", "hi", "_hit", "_open_k", "_first_k")

@@ -252,3 +252,131 @@ def pat_evaluate(spark, d):
 def vw_rejections(spark, d):
     shown = F.when(F.size("reasons") == 0, F.array(F.lit("ACCEPTED"))).otherwise(F.col("reasons"))
     return _evaluated(spark, d).select(F.explode(shown).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+#: Minutes that are still held, before the symbol's last.
+HELD = 12 * 1440
+
+
+@R.add(
+    f"""{BASE}, held AS (SELECT m.* FROM mins m JOIN (SELECT symbol, max(k) AS last_k FROM mins GROUP BY 1) USING (symbol) WHERE k > last_k - {HELD}),
+ht AS (
+  SELECT s.symbol || ':' || s.break_idx || ':' || s.dir AS id, s.symbol, s.dir, s.gap_bottom, s.gap_top,
+    (SELECT min(b.idx) FROM bars b WHERE b.symbol = s.symbol AND b.idx > s.created_idx AND b.idx <= s.created_idx + {OPTIONS.lookback}
+       AND CASE WHEN s.dir = 1 THEN b.low <= s.gap_top ELSE b.high >= s.gap_bottom END) AS hit FROM setups s
+), hk AS (
+  SELECT h.*, z.end_k - 60 AS open_k, (SELECT min(k) FROM held WHERE held.symbol = h.symbol) AS first_k,
+    (SELECT min(m.k) FROM held m WHERE m.symbol = h.symbol AND m.k >= z.end_k - 60 AND m.k < z.end_k AND CASE WHEN h.dir = 1 THEN m.low <= h.gap_top ELSE m.high >= h.gap_bottom END) AS k
+  FROM ht h LEFT JOIN zb z ON z.symbol = h.symbol AND z.idx = h.hit
+)
+SELECT id, CASE WHEN hit IS NULL THEN 'NONE' WHEN first_k > open_k THEN 'ARMED_BEFORE' WHEN k IS NULL THEN 'NONE' ELSE 'ARMED' END AS arming,
+  CASE WHEN hit IS NULL OR first_k > open_k THEN -1 ELSE coalesce(k, -1) END AS armed_k FROM hk"""
+)
+def pat_arming_states(spark, d):
+    """Minutes of the last days only are held; a zone that was touched before them is ARMED_BEFORE."""
+    bars, found = facts._setups(spark, d)
+    mins = _minutes(spark, d)
+    held = mins.join(mins.groupBy("symbol").agg(F.max("k").alias("last_k")), "symbol").where(F.col("k") > F.col("last_k") - HELD).drop("last_k")
+    rows = P.arming_states(found.withColumn("id", F.concat_ws(":", "symbol", "break_idx", "dir")), bars, held, OPTIONS.lookback)
+    return rows.select("id", "arming", F.coalesce("armed_k", F.lit(-1)).alias("armed_k"))
+
+
+MODES = [
+    P.Mode("touch_edge"),
+    P.Mode("touch_leg", stop="wick", target="previous", discount="target"),
+    P.Mode("touch_middle", entry="middle", stop="height", target="fixed", previous="swing", discount="target", rr=2.0),
+    P.Mode("touch_swing", entry="middle", target="previous", previous="swing", discount="target"),
+    P.Mode("market", order="market"),
+    P.Mode("market_fixed", order="market", stop="wick", target="fixed", discount="target", rr=3.0),
+    P.Mode("limit_gap", order="limit", entry="exec_gap", target="previous", discount="target"),
+    P.Mode("limit_block", order="limit", entry="exec_block", stop="wick"),
+]
+
+
+def _named(text: str, names: str, prefix: str) -> str:
+    """SQL with the tables of names (a|b|...) under other names; columns stand in brackets."""
+    return re.sub(rf"(?<!\()\b({names})\b", rf"{prefix}\1", text)
+
+
+_VALUES = ", ".join(f"('{m.name}', '{m.order}', '{m.entry}', '{m.stop}', '{m.target}', '{m.previous}', '{m.discount}', {m.rr}::DOUBLE)" for m in MODES)
+IN_MODES = f"""sh AS (SELECT *, lag(high, 2) OVER w AS h2, lag(low, 2) OVER w AS l2 FROM x_bars WINDOW w AS (PARTITION BY symbol ORDER BY idx)
+), cg AS (
+  SELECT c.id, c.dir, b.*, b.idx >= c.origin_idx + 2 AND CASE WHEN c.dir = 1 THEN low > h2 ELSE high < l2 END AS is_gap, CASE WHEN c.dir = 1 THEN close < open ELSE close > open END AS against
+  FROM cfm c JOIN sh b ON b.symbol = c.symbol AND b.idx BETWEEN c.origin_idx AND c.confirm_idx WHERE c.outcome = 'CONFIRM'
+), cz AS (
+  SELECT id, arg_max(CASE WHEN dir = 1 THEN h2 ELSE high END, idx) FILTER (WHERE is_gap) AS gap_low, arg_max(CASE WHEN dir = 1 THEN low ELSE l2 END, idx) FILTER (WHERE is_gap) AS gap_high,
+    arg_max(low, idx) FILTER (WHERE against) AS block_low, arg_max(high, idx) FILTER (WHERE against) AS block_high FROM cg GROUP BY id
+), c_marm AS (
+  SELECT m.* REPLACE ((c.decided_k + 1) * 15 AS armed_k) FROM marm m JOIN cfm c USING (id) WHERE c.outcome = 'CONFIRM'
+), {_named(PLANS, "pl0|pl1|pl|marm", "c_")}, md(mode, kind, entry_mode, stop_mode, target_mode, previous_mode, discount_mode, rr) AS (VALUES {_VALUES}),
+mm AS (
+  SELECT p.*, md.*, NULL::DOUBLE AS price, NULL::DOUBLE AS gap_low, NULL::DOUBLE AS gap_high, NULL::DOUBLE AS block_low, NULL::DOUBLE AS block_high FROM pl p, md WHERE kind = 'touch'
+  UNION ALL BY NAME SELECT p.*, md.*, c.price, z.gap_low, z.gap_high, z.block_low, z.block_high FROM c_pl p JOIN cfm c USING (id) LEFT JOIN cz z USING (id), md WHERE kind <> 'touch'
+), m_pl AS (
+  SELECT * REPLACE (id || '/' || mode AS id, CASE WHEN kind = 'market' THEN price WHEN entry_mode = 'edge' THEN edge
+      WHEN entry_mode = 'exec_gap' THEN coalesce({_rounding('(gap_low + gap_high) / 2')}, CASE WHEN dir = 1 THEN block_high ELSE block_low END, middle)
+      WHEN entry_mode = 'exec_block' THEN coalesce(CASE WHEN dir = 1 THEN block_high ELSE block_low END, middle) ELSE middle END AS edge),
+    edge AS block_edge, CASE stop_mode WHEN 'wick' THEN stop_wick WHEN 'height' THEN stop_height ELSE stop_structure END AS st FROM mm
+)"""
+_M = "pl|px0|px|fm|lg|us|dy|ds|lv2|lp|bst|liq|dm"
+_LIVED = EVALUATED[: EVALUATED.index("), q0 AS (")]
+MODE_EVALUATED = f"""{_named(f"{EXTREMES}, {LIQUIDITY}, {DISPLACED}, {_LIVED})", _M, "m_")}, mj0 AS (
+  SELECT p.*, tested, mitigated, l.target AS liquid, m.mid, edge + 0.0::DOUBLE AS en, CASE previous_mode WHEN 'swing' THEN swing ELSE leg END AS plevel,
+    CASE WHEN kind = 'market' THEN 0.0005::DOUBLE ELSE 0.0002::DOUBLE END AS paid,
+    coalesce((SELECT arg_max(e.dir, e.break_idx) FROM ev e WHERE e.symbol = p.symbol AND e.break_idx <= p.kz), 0) AS trend
+  FROM m_px p LEFT JOIN lt USING (id) LEFT JOIN m_liq l USING (id) LEFT JOIN (SELECT id, mid FROM m_dm) m USING (id)
+), mj1 AS (
+  SELECT *, abs(en - st) AS dist, {_rounding('plevel - dir * (0.05::DOUBLE * coalesce(atr, 0))')} AS front FROM mj0
+), mj2 AS (
+  SELECT *, CASE target_mode WHEN 'fixed' THEN {_rounding('en + dir * (rr * dist)')} WHEN 'previous' THEN CASE WHEN dir * (front - en) > 0 THEN front END ELSE liquid END AS target,
+    CASE discount_mode WHEN 'move' THEN dir * (block_edge - mid) > 0 ELSE dir * (en - (wick + plevel) / 2) > 0 END AS dear,
+    en * paid + st * 0.0005::DOUBLE + st * 0.0002::DOUBLE AS fees FROM mj1
+), mj3 AS (
+  SELECT *, CASE WHEN dist > 0 THEN fees / dist END AS cost, target - target * 0.0002::DOUBLE * dir AS fill,
+    floor(10.0::DOUBLE / (dist + fees) * 100000) / 100000 AS wanted, floor(1000.0::DOUBLE / (1.5::DOUBLE * dist + 0.005::DOUBLE * en) * 100000) / 100000 AS cap FROM mj2
+), mj4 AS (
+  SELECT *, ((fill - en) * dir - en * paid - fill * 0.0005::DOUBLE) / (dist + fees) AS net, least(wanted, cap) AS qty, least(wanted, cap) * en / 1000 AS leverage FROM mj3
+), m_judged AS (
+  SELECT id, mode, armed_k AS at_k, en AS entry, st AS stop, target, net, coalesce(CASE WHEN trend = 0 THEN ['NO_BIAS'] WHEN trend <> dir THEN ['BIAS_MISMATCH'] WHEN mitigated <= kz OR kz > created_idx + {OPTIONS.lookback} THEN ['ZONE_INVALID']
+    WHEN tested <= kz AND kind <> 'market' THEN ['NOT_FRESH'] WHEN dir * (en - st) <= 0 THEN ['BAD_STOP'] END,
+    list_filter([CASE WHEN cost > 0.3 THEN 'COST_HEAVY' END, CASE WHEN dear THEN CASE WHEN dir = 1 THEN 'NOT_DISCOUNT' ELSE 'NOT_PREMIUM' END END,
+      CASE WHEN target IS NULL THEN 'NO_TARGET' WHEN net < 1 THEN 'LOW_NET_RR' END, CASE WHEN cap < wanted AND qty <= 0 THEN 'LIQ_LIMITED' END, CASE WHEN leverage > 10 THEN 'LEVERAGE' END], lambda x: x IS NOT NULL)) AS reasons FROM mj4
+  UNION ALL SELECT c.id || '/' || mode, mode, (decided_k + 1) * 15, NULL, NULL, NULL, NULL, [outcome] FROM cfm c, md WHERE kind <> 'touch' AND outcome IN ('NO_CONFIRM', 'ZONE_INVALID')
+)"""
+IN_ALL_MODES = f"{BASE}, {PLANS}, {EXEC}, {CONFIRM}, {IN_MODES}, {MODE_EVALUATED}"
+
+
+@once_a_query
+def _judged(spark, d):
+    """Every setup's order in every mode: at its moment evaluated, or rejected for want of a confirmation."""
+    bars, mins, armed = _armed(spark, d)
+    plans = _plans(spark, d)[2]
+    fine, decided = _confirmed(spark, d)
+    _, pivots, events = structure(spark, d)
+    won = decided.where("outcome = 'CONFIRM'").select("id", "price", ((F.col("decided_k") + 1) * 15).alias("_at"))
+    later_ = P.planned(armed.join(won, "id").withColumn("armed_k", F.col("_at")).drop("_at"), bars, O)
+    rows = made_once(P.in_modes(plans, later_, P.confirming_zones(decided, fine), MODES, O), "in_modes")
+    seen = made_once(P.previous_extremes(rows, bars, mins, pivots), "mode_extremes")
+    liquid = P.liquidity_targets(seen, bars, mins, B.bars_of_trades(tape(spark, d), "1d"), pivots, O)
+    moved = P.displacement_middles(seen, bars)
+    lived = S.lifetimes(plans.select("id", "symbol", "dir", "created_idx", "bottom", "top"), bars, OPTIONS.lookback, False)
+    way = S.trend(bars, events).withColumnRenamed("idx", "kz")
+    ready = P.targets_in_modes(seen, liquid, moved, O).join(way, ["symbol", "kz"])
+    ready = ready.join(lived.select(F.col("id").alias("setup"), "tested_idx", "mitigated_idx"), "setup", "left")
+    judged = P.evaluated_orders(ready, O).select("id", "mode", F.col("armed_k").alias("at_k"), "entry", "stop", "target", "net", "reasons")
+    lost = decided.where("outcome in ('NO_CONFIRM', 'ZONE_INVALID')").select(
+        F.col("id").alias("setup"), ((F.col("decided_k") + 1) * 15).alias("at_k"), F.array("outcome").alias("reasons"),
+        F.explode(F.array(*(F.lit(m.name) for m in MODES if m.order != "touch"))).alias("mode"),
+    )
+    lost = lost.select(F.concat_ws("/", "setup", "mode").alias("id"), "mode", "at_k", "reasons")
+    return made_once(judged.unionByName(lost, allowMissingColumns=True), "judged")
+
+
+@R.add(
+    f"""{IN_ALL_MODES} SELECT id, mode, at_k, coalesce(round(entry, 4), -1) AS entry, coalesce(round(stop, 4), -1) AS stop, coalesce(round(target, 4), -1) AS target,
+  coalesce(round(net, 6), -9) AS net, array_to_string(reasons, ',') AS reasons FROM m_judged"""
+)
+def pat_evaluate_modes(spark, d):
+    rows = _judged(spark, d)
+    shown = [F.coalesce(F.round(c, 4), F.lit(-1.0)).alias(c) for c in ("entry", "stop", "target")]
+    return rows.select("id", "mode", "at_k", *shown, F.coalesce(F.round("net", 6), F.lit(-9.0)).alias("net"), F.array_join("reasons", ",").alias("reasons"))
