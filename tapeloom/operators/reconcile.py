@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -48,30 +50,101 @@ def compare(left: DataFrame, right: DataFrame, keys: list[str], values: list[str
     )
 
 
+#: Seconds of a key's series that one task looks at when parts are cut.
+CHUNK = 4 * 86400
+
+
 def parts_of(left: DataFrame, right: DataFrame, keys: list[str], early: float, late: float) -> DataFrame:
     """Rows of both feeds (side 0 and 1) in parts (_part) of a key that no admissible pair crosses: one
-    whose right row comes at most early seconds before or late seconds after its left row."""
+    whose right row comes at most early seconds before or late seconds after its left row.
+
+    The last row before and the next row after are running values in either direction, inside chunks
+    of time; one row a chunk is looked at over a key.
+    """
     both = left.select(*keys, "id", "t", F.lit(0).alias("side")).unionByName(right.select(*keys, "id", "t", F.lit(1).alias("side")))
-    w = Window.partitionBy(*keys).orderBy("t", "side", "id")
-    past, future = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(0, Window.unboundedFollowing)
+    both = both.withColumn("_chunk", F.floor(F.col("t") / CHUNK))
     of = lambda side: F.when(F.col("side") == side, F.col("t"))
-    # the next row of one side, and the last of the other
-    ahead = F.first(of(1), ignorenulls=True).over(future) - F.last(of(0), ignorenulls=True).over(past)
-    behind = F.first(of(0), ignorenulls=True).over(future) - F.last(of(1), ignorenulls=True).over(past)
-    crossed = F.coalesce(ahead <= late, F.lit(False)) | F.coalesce(behind <= early, F.lit(False))
-    return both.withColumn("_cut", (~crossed).cast("int")).withColumn("_part", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
-
-
-def _parts(left: DataFrame, right: DataFrame, keys: list[str], early: float, late: float) -> DataFrame:
-    """parts_of() without the parts that have rows of one side only."""
-    own = Window.partitionBy(*keys, "_part")
+    sides = (0, 1)
+    ends = both.groupBy(*keys, "_chunk").agg(*(f(of(k)).alias(f"_{n}{k}") for k in sides for n, f in (("min", F.min), ("max", F.max))))
+    chunks = Window.partitionBy(*keys)
+    earlier = chunks.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    later = chunks.orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(
+        *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_chunk").alias("_at"),
+        *(F.max(f"_max{k}").over(earlier).alias(f"_before{k}") for k in sides), *(F.min(f"_min{k}").over(later).alias(f"_after{k}") for k in sides),
+    )
+    own = Window.partitionBy(*keys, "_chunk")
+    past = own.orderBy("t", "side", "id").rowsBetween(Window.unboundedPreceding, -1)
+    future = own.orderBy(F.desc("t"), F.desc("side"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
+    near = both.select("*", *(F.max(of(k)).over(past).alias(f"_last{k}") for k in sides)).select("*", *(F.min(of(k)).over(future).alias(f"_next{k}") for k in sides))
+    same = F.col("_chunk").eqNullSafe(F.col("_at"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    near = near.join(ends, same)
+    following = lambda side: F.coalesce(f"_next{side}", f"_after{side}")
+    previous = lambda side: F.coalesce(f"_last{side}", f"_before{side}")
+    crossed = F.coalesce(following(1) - previous(0) <= late, F.lit(False)) | F.coalesce(following(0) - previous(1) <= early, F.lit(False))
+    cut = near.select(*both.columns, (~crossed).cast("int").alias("_cut"))
+    # parts are numbered inside a chunk; what goes over its start has the last number of a chunk before
+    number = F.struct(F.col("_chunk").alias("c"), F.sum("_cut").over(own.orderBy("t", "side", "id").rowsBetween(Window.unboundedPreceding, 0)).alias("n"))
+    inside = cut.withColumn("_number", number)
+    tops = cut.groupBy(*keys, "_chunk").agg(F.sum("_cut").alias("n")).withColumn("_top", F.when(F.col("n") > 0, F.struct(F.col("_chunk").alias("c"), "n")))
+    carried = tops.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_chunk").alias("_at"), F.last("_top", True).over(earlier).alias("_carried"))
+    part = F.when(F.col("_number.n") > 0, F.col("_number")).otherwise(F.col("_carried"))
+    return inside.join(carried, same).withColumn("_part", part).select(*keys, "id", "t", "side", "_part")
+
+
+def _by_part(left: DataFrame, right: DataFrame, keys: list[str], early: float, late: float, match: Callable) -> DataFrame:
+    """(left_id, right_id) of match(t of left, t of right, ids of right), which gives pairs of places
+    in a part; both are in order of (t, id).
+
+    Parts come one after the other, many in a batch; those that have rows of one side only are left out.
+    """
+    own = Window.partitionBy(*keys, "_part").orderBy("side", "t", "id")
+    every = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     parts = parts_of(left, right, keys, early, late)
-    return parts.withColumn("_two", F.min("side").over(own) != F.max("side").over(own)).where("_two").drop("_two")
+    parts = parts.select("side", "id", "t", (F.row_number().over(own) == 1).alias("first"), (F.min("side").over(every) != F.max("side").over(every)).alias("_two"))
+
+    def pairs(frames: list[pd.DataFrame]) -> pd.DataFrame:
+        side, ids, t, first = (np.concatenate([f[c].to_numpy() for f in frames]) for c in ("side", "id", "t", "first"))
+        starts = np.flatnonzero(first)
+        ends = np.append(starts[1:], len(ids))
+        middles = ends - np.add.reduceat(side, starts)
+        out: tuple[list, list] = ([], [])
+        for a, m, z in zip(starts.tolist(), middles.tolist(), ends.tolist(), strict=True):
+            for i, j in match(t[a:m], t[m:z], ids[m:z]):
+                out[0].append(ids[a + i])
+                out[1].append(ids[m + j])
+        return pd.DataFrame({n: np.array(c, "int64") for n, c in zip(("left_id", "right_id"), out, strict=True)})
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for frame in frames:
+            starts = np.flatnonzero(frame["first"].to_numpy())
+            if len(starts):  # all before the last start is whole
+                held.append(frame.iloc[: starts[-1]])
+                if sum(map(len, held)):
+                    yield pairs(held)
+                held = []
+                frame = frame.iloc[starts[-1] :]
+            held.append(frame)
+        if sum(map(len, held)):
+            yield pairs(held)
+
+    return parts.where("_two").select("side", "id", "t", "first").mapInPandas(work, "left_id long, right_id long")
+
+
+def _bands(ta: np.ndarray, tb: np.ndarray, early: float, late: float) -> tuple[list[int], list[int]]:
+    """Where the admissible rows of tb begin and end for each of ta; both are in order."""
+    return np.searchsorted(tb, ta - early, "left").tolist(), np.searchsorted(tb, ta + late, "right").tolist()
 
 
-def _bands(ta: np.ndarray, tb: np.ndarray, early: float, late: float) -> tuple[np.ndarray, np.ndarray]:
-    """Where the admissible rows of tb begin and end for each of ta; both are in order."""
-    return np.searchsorted(tb, ta - early, "left"), np.searchsorted(tb, ta + late, "right")
+def _free(of: list[int], k: int) -> int:
+    """The first place from k on that is its own; places on the way are led past each other."""
+    while of[k] != k:
+        of[k] = of[of[k]]
+        k = of[k]
+    return k
 
 
 def nearest_matches(left: DataFrame, right: DataFrame, keys: list[str], within: float) -> DataFrame:
@@ -79,68 +152,75 @@ def nearest_matches(left: DataFrame, right: DataFrame, keys: list[str], within:
     that is at most within seconds apart and not taken yet (ties: the smaller id). Both have id and
     t (seconds).
 
-    Groups are cut where no pair within the bound crosses, and only rows within it are compared.
+    Groups are cut where no pair within the bound crosses. The next free row in either direction is
+    found over rows that were taken before, so the work doesn't grow with how dense the rows are.
     """
-    parts = _parts(left, right, keys, within, within)
-
-    def match(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["t", "id"])
-        a, b = frame[frame.side == 0], frame[frame.side == 1]
-        tb, ib = b.t.to_numpy(), b.id.to_numpy()
-        free = np.ones(len(b), bool)
-        out = []
-        for name, t, low, high in zip(a.id.tolist(), a.t.tolist(), *_bands(a.t.to_numpy(), tb, within, within), strict=True):
-            open_ = low + np.flatnonzero(free[low:high])
-            if len(open_):
-                taken = open_[np.lexsort((ib[open_], np.abs(tb[open_] - t)))[0]]
-                free[taken] = False
-                out.append((name, int(ib[taken])))
-        return pd.DataFrame(out, columns=["left_id", "right_id"])
 
-    return parts.groupBy(*keys, "_part").applyInPandas(match, "left_id long, right_id long")
+    def match(ta: np.ndarray, tb: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, int]]:
+        n = len(tb)
+        # backwards, of equal times the smaller id comes first too
+        back = np.lexsort((-ids, tb))
+        place = np.empty(n, int)
+        place[back] = np.arange(n)
+        back, place, time, name = back.tolist(), place.tolist(), tb.tolist(), ids.tolist()
+        ahead = list(range(n + 1))
+        behind = list(range(n + 1))  # by one more than the place in back; 0: none
+        lows, highs = _bands(ta, tb, within, within)
+        at = np.searchsorted(tb, ta, "left").tolist()
+        for i, t in enumerate(ta.tolist()):
+            up, down = _free(ahead, at[i]), _free(behind, at[i])
+            found = [(abs(time[j] - t), name[j], j) for j in ((up,) if up < highs[i] else ()) + ((back[down - 1],) if down > lows[i] else ())]
+            if found:
+                j = min(found)[2]
+                ahead[j] = j + 1
+                behind[place[j] + 1] = place[j]
+                yield i, j
+
+    return _by_part(left, right, keys, within, within, match)
 
 
 def aligned(left: DataFrame, right: DataFrame, keys: list[str], early: float, late: float) -> DataFrame:
     """(left_id, right_id): the longest order-keeping alignment of two feeds by key, with the least
     total time difference, where right may come early seconds before or late seconds after left.
 
-    An alignment is a chain of admissible pairs that rises on both sides. Pairs are added by left
-    row; a prefix-maximum tree over the right rows gives the best chain that a pair can extend, so
-    the work is the number of admissible pairs times a logarithm.
+    An alignment is a chain of admissible pairs that rises on both sides. Left rows are added one by
+    one; best chains are held for the right rows of the band only, and of each admissible pair two
+    bits are kept, from which the chain is read back.
     """
 
-    def align(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["t", "id"])
-        a, b = frame[frame.side == 0], frame[frame.side == 1]
-        ta, tb = a.t.tolist(), b.t.tolist()
-        # (pairs, minus their total difference, number of the last pair) of the best chains
-        tree = [(0, 0.0, -1)] * (len(tb) + 1)
-
-        def best(rows: int) -> tuple[int, float, int]:
-            """The best chain within the first so many right rows."""
-            found = tree[0]
-            while rows:
-                found = max(found, tree[rows])
-                rows &= rows - 1
-            return found
-
-        pairs: list[tuple[int, int, int]] = []
-        lows, highs = _bands(a.t.to_numpy(), b.t.to_numpy(), early, late)
-        for i, (low, high) in enumerate(zip(lows.tolist(), highs.tolist(), strict=True)):
-            for j in range(high - 1, low - 1, -1):  # backwards, so that a left row never follows itself
-                n, gain, before = best(j)
-                chain = (n + 1, gain - abs(tb[j] - ta[i]), len(pairs))
-                pairs.append((i, j, before))
-                place = j + 1
-                while place <= len(tb):
-                    tree[place] = max(tree[place], chain)
-                    place += place & -place
-        out, last = [], best(len(tb))[2]
-        left_ids, right_ids = a.id.tolist(), b.id.tolist()
-        while last >= 0:
-            i, j, last = pairs[last]
-            out.append((left_ids[i], right_ids[j]))
-        return pd.DataFrame(out, columns=["left_id", "right_id"])
-
-    parts = _parts(left, right, keys, early, late)
-    return parts.groupBy(*keys, "_part").applyInPandas(align, "left_id long, right_id long")
+    def match(ta: np.ndarray, tb: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
+        lows, highs = _bands(ta, tb, early, late)
+        base = 0
+        n, gain = np.zeros(1, np.int64), np.zeros(1)  # of the best chain within the first base, base + 1, .. right rows
+        bits: list[bytes] = []
+        for i, (low, high) in enumerate(zip(lows, highs, strict=True)):
+            if low >= high:
+                bits.append(b"")
+                continue
+            fall = min(low, base + len(n) - 1) - base
+            n, gain = (np.append(x[fall:], np.full(high + 1 - low - len(x) + fall, x[-1])) for x in (n, gain))
+            base = low
+            more, cost = n[:-1] + 1, gain[:-1] - np.abs(tb[low:high] - ta[i])
+            order = np.lexsort((cost, more))
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.append(0, np.cumsum((np.diff(more[order]) != 0) | (np.diff(cost[order]) != 0)))
+            most = np.maximum.accumulate(rank)
+            own = np.append(True, rank[1:] > most[:-1])
+            best = np.maximum.accumulate(np.where(own, np.arange(len(rank)), 0))
+            more, cost = more[best], cost[best]
+            take = (more > n[1:]) | ((more == n[1:]) & (cost >= gain[1:]))
+            n, gain = np.append(n[0], np.where(take, more, n[1:])), np.append(gain[0], np.where(take, cost, gain[1:]))
+            bits.append(np.packbits(np.append(take, own)).tobytes())
+        out, k = [], len(tb)
+        for i in range(len(ta) - 1, -1, -1):
+            low, high = lows[i], highs[i]
+            k = min(k, high)
+            if k <= low:
+                continue
+            flags = np.unpackbits(np.frombuffer(bits[i], np.uint8), count=2 * (high - low))
+            if flags[k - 1 - low]:
+                k = low + int(np.flatnonzero(flags[high - low :][: k - low])[-1])
+                out.append((i, k))
+        return out
+
+    return _by_part(left, right, keys, early, late, match)

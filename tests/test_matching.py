@@ -121,3 +121,27 @@ def test_stateful_minutes_keep_what_a_batch_leaves(spark, tmp_path):
     S.run_to_end(S.minutes_with_late(S.read_tape(spark, f"{tmp_path}/in", schema)), f"{tmp_path}/out", f"{tmp_path}/state")
     got = sorted((r.kind, r.open_us, r.open, r.close, r.n) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == [("LATE", 70_000_000, 9.0, 9.0, 1), ("M1", 0, 1.0, 1.0, 1), ("M1", 60_000_000, 2.0, 3.0, 2)]
+
+
+def test_parts_are_running_values_over_chunk_borders(spark):
+    r = random.Random(9)
+    border = 4 * 86400
+    rows = lambda: [("x" if r.random() < 0.8 else None, i, float(r.randrange(border - 300, border + 300))) for i in range(25)]
+    a, b = rows(), rows()
+    frames_ = frames(spark, a, b)
+    got = reconcile.nearest_matches(*frames_, ["k"], 20.0).collect()
+    assert {tuple(x) for x in got} == plain_nearest(a, b, 20.0)
+    for k in ("x", None):  # one part holds each chain of pairs
+        own = {(x.side, x.id): x._part for x in reconcile.parts_of(*frames_, ["k"], 20.0, 20.0).collect() if x.k == k}
+        assert all(own[0, i] == own[1, j] for ka, i, t in a for kb, j, u in b if ka == kb == k and abs(t - u) <= 20)
+        assert len(set(own.values())) > 1
+    plan = reconcile.parts_of(*frames_, ["k"], 20.0, 20.0)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedfollowing" not in plan  # such a frame is read anew for every row
+
+
+def test_many_equal_times_are_matched_in_linear_work(spark):
+    n = 3000
+    a = [("x", i, float(i // n)) for i in range(2 * n)]
+    b = [("x", i, float(i // n)) for i in range(n)]
+    got = {tuple(x) for x in reconcile.nearest_matches(*frames(spark, a, b), ["k"], 5.0).collect()}
+    assert got == {(i, i) for i in range(n)}
