@@ -220,7 +220,10 @@ SELECT symbol, count(step) AS n, round(quantile_cont(step, 0.5), 6) AS half, rou
 def vw_price_steps(spark, d):
     price = F.col("px")
     before = F.lag(price).over(Window.partitionBy("symbol").orderBy("ts", "trade_id"))
-    steps = tape(spark, d).select("symbol", (F.abs(price - before) / price * 10000).alias("step"))
+    moved = F.abs(price - before)
+    # a path may come to 0, where SQL has infinity, or NaN without a move
+    share = F.when(price != 0, moved / price).when(moved > 0, F.lit(float("inf"))).when(moved == 0, F.lit(float("nan")))
+    steps = tape(spark, d).select("symbol", (share * 10000).alias("step"))
     return steps.groupBy("symbol").agg(
         F.count("step").alias("n"), *(F.round(F.percentile("step", F.lit(q)), 6).alias(n) for q, n in ((0.5, "half"), (0.9, "most"), (0.99, "nearly_all")))
     )
