@@ -130,6 +130,18 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: in
     return RuleModel([(r, float(w)) for r, w in zip(rules, weights, strict=True) if w], float(lasso.intercept))
 
 
+def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, text, label of about sample labelled documents of docs, picked by a hash of doc_id.
+
+    They are picked from labels (doc_id, label) that have a document, so texts are never shuffled:
+    the picked labels are broadcast. Copies of a text are drawn one by one.
+    """
+    known = labels.where("label in (0, 1)").join(docs.select("doc_id"), "doc_id", "left_semi")
+    bound = int(min(1.0, sample / max(known.count(), 1)) * (1 << 30))
+    picked = known.where(F.pmod(F.xxhash64("doc_id", "label", F.lit(5)), F.lit(1 << 30)) < bound)
+    return docs.select("doc_id", "text").join(F.broadcast(picked.select("doc_id", "label")), "doc_id")
+
+
 def score(docs: DataFrame, model: RuleModel) -> DataFrame:
     """doc_id, score (0 to 1), predicted (0 or 1) of every whole text of docs."""
     stats = statistics(F.col("text"))
