@@ -200,12 +200,15 @@ def str_advanced_trades(spark, d):
     return got.select("id", F.coalesce("filled_idx", F.lit(-1)).alias("filled_idx"), F.coalesce("exit_idx", F.lit(-1)).alias("exit_idx"), "state")
 
 
-def _in_files(spark, rows, file, folder, n: int = FILES):
-    """rows as a stream of n files, one a trigger."""
-    rows = made_once(rows.withColumn("_file", file), "rows")
-    for k in range(n):  # a file stream takes older files first
-        rows.where(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return S.read_tape(spark, f"{folder}/in", ", ".join(f"{c} {t}" for c, t in rows.drop("_file").dtypes))
+def _in_batches(spark, rows, file, folder, run, n: int = FILES):
+    """Give rows to run as a stream in n batches: the stream goes on from its checkpoint as each has come."""
+    staged, names = shared_folder(spark, "rows"), rows.columns
+    rows.withColumn("_file", file.cast("int")).write.partitionBy("_file").parquet(staged)
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    staged = spark.read.schema(f"{schema}, _file int").parquet(staged)
+    for k in range(n):
+        staged.where(F.col("_file") == k).select(*names).write.mode("append").parquet(f"{folder}/in")
+        run(S.read_tape(spark, f"{folder}/in", schema, files=1_000_000))
 
 
 def _share(rows, column: str, n: int):
@@ -219,9 +222,10 @@ def _proofs(spark, d):
     folder = shared_folder(spark, "stream")
     rows, place = _share(feeds.feed_rows(spark, d), "at_us", FILES - 2)
     late = F.when((F.col("kind") == "PONG") & (F.col("id") % 13 == 0), 2).otherwise(0)
-    stream = _in_files(spark, rows.select("conn", "at_us", "id", "kind", "sent_us", "_a", "_z"), place + late, folder).drop("_a", "_z")
-    S.run_to_end(proof.proofs(stream, feeds.SAFETY, 90 * feed.DAY_US), f"{folder}/out", f"{folder}/state")
-    return spark.read.parquet(f"{folder}/out")
+    found = rows.withColumn("_of", place + late).drop("_a", "_z")
+    run = lambda stream: proof.prove_batches(stream.drop("_of"), folder, f"{folder}/state", feeds.SAFETY, 90 * feed.DAY_US)
+    _in_batches(spark, found, F.col("_of"), folder, run)
+    return proof.events_of(spark, folder)
 
 
 @R.add(feeds.COVERAGE)
@@ -250,8 +254,9 @@ def _reconciled(spark, d):
     near = into * width > width - SETTLE / 2  # the last half of the time in which rows may come late
     again = F.when(near & (F.col("id") % 3 == 0), F.array(place, place + 1)).when(near & (F.col("id") % 3 == 1), F.array(place + 1)).otherwise(F.array(place))
     folder = shared_folder(spark, "stream")
-    stream = _in_files(spark, rows.withColumn("_of", F.explode(again)), F.col("_of"), folder, 5).select("side", "event_type", "fp", "id", "t")
-    matching.align_batches(stream, folder, f"{folder}/state", ["event_type", "fp"], EARLY, LATE, SETTLE)
+    rows = rows.withColumn("_of", F.explode(again)).drop("_a", "_z")
+    run = lambda stream: matching.align_batches(stream.drop("_of"), folder, f"{folder}/state", ["event_type", "fp"], EARLY, LATE, SETTLE)
+    _in_batches(spark, rows, F.col("_of"), folder, run, 5)
     return folder
 
 

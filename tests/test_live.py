@@ -243,6 +243,34 @@ def test_proofs_with_late_pongs(spark):
     assert set(states.values()) == {"PROVEN", "IN_GAP", "ORPHAN", "PENDING"}
 
 
+def test_proofs_of_batches_are_those_of_state(spark):
+    rng = random.Random(16)
+    rows = []
+    for i in range(900):
+        at = i * 1000 + rng.randrange(0, 900)
+        kind = rng.choices(["TRADE", "PONG", "LOST"], [8, 3, 0.4])[0]
+        for conn in rng.sample(range(3), 2 if kind == "TRADE" and i % 2 else 1):
+            rows.append((conn, at + conn, i, kind, at - 400 if kind == "PONG" else None))
+    states, spans = plain_proofs(rows, 300)
+    file = lambda r: min(5, r[1] // 225_000 + (2 if r[3] == "PONG" and r[2] % 5 == 0 else 0))
+    frames = [[r for r in rows if file(r) == k] for k in range(6)]
+    frames[2] += [r for r in frames[1] if r[3] == "LOST"]  # losses that come again
+    schema = "conn long, at_us long, id long, kind string, sent_us long"
+    where = folder(spark)
+    for group in (frames[:3], frames[3:]):  # the stream stops between
+        for own in group:
+            spark.createDataFrame(own, schema).coalesce(1).write.mode("append").parquet(f"{where}/in")
+        proof.prove_batches(S.read_tape(spark, f"{where}/in", schema), where, f"{where}/state", 300, 1 << 40)
+    events = proof.events_of(spark, where)
+    assert {r.trade_id: r.state for r in proof.releases(events).collect()} == states
+    assert {(r.conn, r.session): (r.start, r.end) for r in proof.spans_of(events, 300).collect()} == spans
+    marks = [tuple(r) for r in events.where("kind in ('SHOWN', 'COVERED')").select("kind", "conn", "trade_id").collect()]
+    assert len(marks) == len(set(marks))  # each is told once
+    first = sorted(map(tuple, events.fillna(-1).collect()))
+    proof.prove_batches(S.read_tape(spark, f"{where}/in", schema), where, f"{where}/state-lost", 300, 1 << 40)  # every batch once more
+    assert sorted(map(tuple, proof.events_of(spark, where).fillna(-1).collect())) == first
+
+
 def test_batches_give_what_one_alignment_gives(spark):
     matched, single = matching.finish(spark, live._reconciled(spark, SF_DIR), ["event_type", "fp"], live.EARLY, live.LATE)
     a, b = live.records._feeds(spark, SF_DIR)
