@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ MINUTE_US = 60_000_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "symbol string, kind string, open_us long, open double, high double, low double, close double, n long"
 _FAR = 1 << 62
+#: Trades that are looked at together, at most.
+TOGETHER = 20_000
 
 
 class HeldMinutes(StatefulProcessor):
@@ -85,17 +88,12 @@ class HeldMinutes(StatefulProcessor):
             kind = "DATA_GAP" if any(not g[4] for g in cut) else "REPAIRED" if cut else "OK"
             yield (symbol, kind, minute, px[0], max(px), min(px), px[-1], len(px))
 
-    def _apply(self, symbol: str, row) -> Iterator[tuple]:
+    def _control(self, symbol: str, row) -> Iterator[tuple]:
+        """What a row that changes the gaps does."""
         recv = int(row.recv_us)
         yield from self._finish(symbol, recv)
         gap = None if row.gap < 0 else self.open.get(int(row.gap))
-        if row.kind == "TRADE" or (row.kind == "REPAIR" and gap is not None and not gap[4] and recv < gap[2] + self.deadline):
-            minute = int(row.us) // MINUTE_US * MINUTE_US
-            if self._final_at(minute) <= recv:
-                yield (symbol, "LATE", int(row.us), row.px, row.px, row.px, row.px, 1)
-            else:
-                self.held.setdefault(minute, {})[int(row.us), int(row.trade_id)] = row.px
-        elif row.kind == "LOST":
+        if row.kind == "LOST":
             self.open.setdefault(int(row.gap), [int(row.gap), int(row.us), _FAR, _FAR, False])
         elif row.kind == "BACK" and gap is not None:
             gap[2] = int(row.us)
@@ -105,10 +103,32 @@ class HeldMinutes(StatefulProcessor):
             else:
                 yield (symbol, "LATE_REPAIR", int(row.gap), None, None, None, None, 0)
 
+    def _trades(self, symbol: str, part: pd.DataFrame) -> Iterator[tuple]:
+        """Trades and repairs between which no gap changes; when their minutes are final is looked up once a minute."""
+        recv, us, ids, px, gaps = (part[c].to_numpy() for c in ("recv_us", "us", "trade_id", "px", "gap"))
+        until = {k: g[2] + self.deadline for k, g in self.open.items() if not g[4]}
+        own, at = np.unique(gaps, return_inverse=True)
+        bound = np.array([min(until.get(k, 0), _FAR) for k in own.tolist()], np.int64)[at]
+        taken = (part["kind"] == "TRADE").to_numpy() | (recv < bound)
+        minutes, at = np.unique(us // MINUTE_US * MINUTE_US, return_inverse=True)
+        late = np.array([self._final_at(m) for m in minutes.tolist()], np.int64)[at] <= recv
+        for k in np.flatnonzero(taken & ~late).tolist():
+            self.held.setdefault(int(minutes[at[k]]), {})[int(us[k]), int(ids[k])] = float(px[k])
+        for k in np.flatnonzero(taken & late).tolist():
+            yield (symbol, "LATE", int(us[k]), *[float(px[k])] * 4, 1)
+        yield from self._finish(symbol, int(recv[-1]))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         self._load()
         frame = pd.concat(list(rows)).sort_values(["recv_us", "seq"])
-        out = [made for row in frame.itertuples() for made in self._apply(key[0], row)]
+        changes = np.flatnonzero(frame["kind"].isin(["LOST", "BACK", "RESOLVED"]).to_numpy()).tolist()
+        out, start = [], 0
+        for end in [*changes, len(frame)]:
+            for a in range(start, end, TOGETHER):
+                out += self._trades(key[0], frame.iloc[a : min(end, a + TOGETHER)])
+            if end < len(frame):
+                out += self._control(key[0], frame.iloc[end])
+            start = end + 1
         self._store()
         yield _frame(out)
 

@@ -178,6 +178,19 @@ def test_held_minutes_do_not_depend_on_batches(spark, files):
     assert {r.kind for r in got.collect()} == {"OK", "REPAIRED", "DATA_GAP", "LATE", "LATE_REPAIR"}
 
 
+def test_held_minutes_look_at_their_gaps_once_a_minute():
+    work = held.HeldMinutes(2_000_000, 200_000_000)
+    work.held, work.now = {}, 0
+    work.open = {g: [g, g * 9 * MINUTE, g * 9 * MINUTE + MINUTE, 1 << 62, False] for g in range(50)}
+    asked, final_at = [], work._final_at
+    work._final_at = lambda minute: asked.append(minute) or final_at(minute)
+    us = [k * MINUTE // 500 for k in range(5000)]
+    rows = held.pd.DataFrame({"recv_us": us, "us": us, "trade_id": range(5000), "px": 1.0, "gap": -1, "kind": "TRADE"})
+    done = list(work._trades("s", rows))
+    assert sum(r[-1] for r in done) + sum(map(len, work.held.values())) == 5000 and {r[1] for r in done} == {"DATA_GAP", "OK"}
+    assert len(asked) < 100  # 10 minutes; once a trade before
+
+
 def test_orders_advance_as_in_a_race_over_a_restart(spark):
     rng = random.Random(8)
     price, bars, orders = 100.0, [], []
