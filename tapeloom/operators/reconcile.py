@@ -94,15 +94,14 @@ def parts_of(left: DataFrame, right: DataFrame, keys: list[str], early: float, l
     return inside.join(carried, same).withColumn("_part", part).select(*keys, "id", "t", "side", "_part")
 
 
-def _by_part(left: DataFrame, right: DataFrame, keys: list[str], early: float, late: float, match: Callable) -> DataFrame:
+def _by_part(parts: DataFrame, keys: list[str], match: Callable) -> DataFrame:
     """(left_id, right_id) of match(t of left, t of right, ids of right), which gives pairs of places
-    in a part; both are in order of (t, id).
+    in a part of parts_of(); both are in order of (t, id).
 
     Parts come one after the other, many in a batch; those that have rows of one side only are left out.
     """
     own = Window.partitionBy(*keys, "_part").orderBy("side", "t", "id")
     every = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    parts = parts_of(left, right, keys, early, late)
     parts = parts.select("side", "id", "t", (F.row_number().over(own) == 1).alias("first"), (F.min("side").over(every) != F.max("side").over(every)).alias("_two"))
 
     def pairs(frames: list[pd.DataFrame]) -> pd.DataFrame:
@@ -176,7 +175,7 @@ def nearest_matches(left: DataFrame, right: DataFrame, keys: list[str], within:
                 behind[place[j] + 1] = place[j]
                 yield i, j
 
-    return _by_part(left, right, keys, within, within, match)
+    return _by_part(parts_of(left, right, keys, within, within), keys, match)
 
 
 def aligned(left: DataFrame, right: DataFrame, keys: list[str], early: float, late: float) -> DataFrame:
@@ -187,6 +186,11 @@ def aligned(left: DataFrame, right: DataFrame, keys: list[str], early: float, la
     one; best chains are held for the right rows of the band only, and of each admissible pair two
     bits are kept, from which the chain is read back.
     """
+    return aligned_parts(parts_of(left, right, keys, early, late), keys, early, late)
+
+
+def aligned_parts(parts: DataFrame, keys: list[str], early: float, late: float) -> DataFrame:
+    """aligned() of whole parts of parts_of()."""
 
     def match(ta: np.ndarray, tb: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
         lows, highs = _bands(ta, tb, early, late)
@@ -223,4 +227,4 @@ def aligned(left: DataFrame, right: DataFrame, keys: list[str], early: float, la
                 out.append((i, k))
         return out
 
-    return _by_part(left, right, keys, early, late, match)
+    return _by_part(parts, keys, match)

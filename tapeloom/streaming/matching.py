@@ -10,18 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.operators.reconcile import aligned, parts_of
+from tapeloom.operators.persist import made_once
+from tapeloom.operators.reconcile import aligned, aligned_parts, parts_of
 from tapeloom.streaming.minutes import each_batch
 
 _TABLES = ("matched", "single", "carry", "spans")
 
 
 def _settled(rows: DataFrame, keys: list[str], early: float, late: float, horizon: float) -> DataFrame:
-    """rows (side, keys, id, t) with closed: nothing after horizon can pair with a row of its part."""
+    """rows (side, keys, id, t) with their part, and closed: nothing after horizon can pair with a row of it."""
     left, right = rows.where("side = 0"), rows.where("side = 1")
     part = parts_of(left, right, keys, early, late)
     end = F.max("t").over(Window.partitionBy(*keys, "_part"))
-    return part.withColumn("closed", end + max(early, late) < horizon).drop("_part")
+    return part.withColumn("closed", end + max(early, late) < horizon)
 
 
 def _sides(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -52,20 +53,20 @@ def align_batches(stream: DataFrame, path: str, checkpoint: str, keys: list[str]
         seen = rows.agg(F.max("t").alias("last"), F.min(F.when(F.col("side") == 0, F.col("t"))).alias("first")).first()
         known = before.agg(F.max("horizon")).first()[0] if before is not None else None
         horizon = max(x for x in (known, seen["last"] - settle if seen["last"] is not None else None, float("-inf")) if x is not None)
-        split = _settled(fresh.where("not done").drop("done"), keys, early, late, horizon).persist()
-        closed = split.where("closed").drop("closed")
-        matched = aligned(*_sides(closed, keys), keys, early, late).persist()
+        split = made_once(_settled(fresh.where("not done").drop("done"), keys, early, late, horizon), "split")
+        parts = split.where("closed").drop("closed")
+        closed = parts.select(*names)
+        matched = made_once(aligned_parts(parts, keys, early, late), "matched")
         _write(matched, path, "matched", number)
         _write(_unmatched(closed, matched), path, "single", number)
         # done rows are kept while they may come again
-        open_ = split.where("not closed").drop("closed").withColumn("done", F.lit(False))
+        open_ = split.where("not closed").select(*names).withColumn("done", F.lit(False))
         done = closed.withColumn("done", F.lit(True)).unionByName(fresh.where("done").select(*names, "done"))
         recent = done.where(F.col("t") >= horizon - settle - max(early, late))
         _write(open_.select(*names, "done").unionByName(recent.select(*names, "done")).withColumn("horizon", F.lit(horizon)), path, "carry", number)
         reach = spark.createDataFrame([(seen["first"], horizon)], "first double, horizon double")
         _write(reach.select((F.col("first") - early).alias("start"), (F.col("horizon") - late).alias("end")).where("start < end"), path, "spans", number)
-        for frame in (fresh, split, matched):
-            frame.unpersist()
+        fresh.unpersist()
 
     each_batch(stream, work, checkpoint, "append")
 
@@ -84,6 +85,6 @@ def finish(spark, path: str, keys: list[str], early: float, late: float) -> tupl
     carry = spark.read.parquet(f"{path}/carry")
     last = carry.agg(F.max("batch")).first()[0]
     open_ = carry.where((F.col("batch") == last) & ~F.col("done"))
-    rest = aligned(*_sides(open_, keys), keys, early, late)
+    rest = made_once(aligned(*_sides(open_, keys), keys, early, late), "rest")
     matched = spark.read.parquet(f"{path}/matched").select("left_id", "right_id").unionByName(rest)
     return matched, spark.read.parquet(f"{path}/single").select("side", "id").unionByName(_unmatched(open_, rest))
