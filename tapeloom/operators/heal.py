@@ -28,6 +28,12 @@ def _days(rows: DataFrame, time: str) -> DataFrame:
     return rows.withColumn("day", F.to_date(time))
 
 
+def _of_days(rows: DataFrame, dated: DataFrame) -> DataFrame:
+    """rows of the days that dated has. The days, a row each, are sent to all tasks: dealt by day, all
+    rows of a day would go to one task, be written as one file and be read by one task again."""
+    return rows.join(F.broadcast(dated.select("day").distinct()), "day", "left_semi")
+
+
 def _replace(rows: DataFrame, path: str) -> None:
     """Put rows, all of the days they are of, in the place of those days."""
     made = made_once(rows, "days")
@@ -82,8 +88,8 @@ def dedupe(spark: SparkSession, path: str, early: float, late: float) -> None:
     twins = aligned(of("WS"), of("REST"), keys, early, late).select(F.col("right_id").alias("trade_id"), F.concat(F.lit("DUPLICATE_OF:"), "left_id").alias("_twin"))
     twins = made_once(twins, "twins")
     marked = trades.join(twins, "trade_id", "left").withColumn("_twin", F.when((F.col("source") == "REST") & F.col("sources").isNull(), F.col("_twin")))
-    touched = marked.where("_twin is not null").select("day").distinct()
-    _replace(marked.join(touched, "day", "left_semi").withColumn("sources", F.coalesce("sources", "_twin")).select(*trades.columns), f"{path}/trades")
+    touched = marked.where("_twin is not null")
+    _replace(_of_days(marked, touched).withColumn("sources", F.coalesce("sources", "_twin")).select(*trades.columns), f"{path}/trades")
 
 
 def revise(spark: SparkSession, path: str, reason: str) -> None:
@@ -110,7 +116,7 @@ def _apply(spark: SparkSession, path: str, changes: DataFrame, quality: str) ->
     """Write the days of changes anew, with what changes says of their minutes."""
     stored = minutes_of(spark, path)
     dated = _days(changes, "open_time")
-    kept = stored.join(dated.select("day").distinct(), "day", "left_semi").join(changes.select(*KEYS), KEYS, "left_anti")
+    kept = _of_days(stored, dated).join(changes.select(*KEYS), KEYS, "left_anti")
     made = dated.where("new is not null").select(*KEYS, "new.*", F.lit(quality).alias("quality"), F.col("revision").cast("int").alias("revision"), "day")
     empty = dated.select("day").distinct().join(kept.select("day").unionByName(made.select("day")).distinct(), "day", "left_anti").collect()  # days that lose all
     _replace(kept.select(*stored.columns).unionByName(made.select(*stored.columns)), f"{path}/minutes")

@@ -53,3 +53,24 @@ def test_a_minute_of_second_records_only_is_withdrawn(spark):
     assert {(r.trade_id, r.sources) for r in H.trades_of(spark, path).collect()} == {(1, None), (2, "DUPLICATE_OF:1"), (3, None)}
     assert {r.open_time.minute for r in H.minutes_of(spark, path).collect()} == {1, 3}
     assert [(r.action, r.revision, r.new) for r in spark.read.parquet(f"{path}/revisions").collect()] == [("WITHDRAWN", 1, None)]
+
+
+def test_rows_of_one_day_stay_dealt_over_tasks(spark):
+    import datetime
+
+    start = datetime.datetime(2024, 1, 1)
+    rows = [("s", start + datetime.timedelta(seconds=10 * i + k / 10), 2 * i + k, 5.0 + i, 1.0, ("WS", "REST")[k]) for i in range(400) for k in (0, 1)]
+    trades = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, trade_id long, px double, qty double, source string").repartition(4)
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/dealt-{os.getpid()}"
+    H.create(trades, H.bars_of_trades(trades, "1m"), path)
+    held = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as where rows are too many for one task
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        H.dedupe(spark, path, 1.0, 3.0)
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    done = H.trades_of(spark, path)
+    assert {(r.trade_id, r.sources) for r in done.collect()} == {(2 * i + k, f"DUPLICATE_OF:{2 * i}" if k else None) for i in range(400) for k in (0, 1)}
+    assert len(done.inputFiles()) > 1
