@@ -94,11 +94,12 @@ def parts_of(left: DataFrame, right: DataFrame, keys: list[str], early: float, l
     return inside.join(carried, same).withColumn("_part", part).select(*keys, "id", "t", "side", "_part")
 
 
-def _by_part(parts: DataFrame, keys: list[str], match: Callable) -> DataFrame:
+def _by_part(parts: DataFrame, keys: list[str], match: Callable, early: float, late: float) -> DataFrame:
     """(left_id, right_id) of match(t of left, t of right, ids of right), which gives pairs of places
     in a part of parts_of(); both are in order of (t, id).
 
     Parts come one after the other, many in a batch; those that have rows of one side only are left out.
+    Parts of two rows, a pair if that is admissible, are looked at all together.
     """
     own = Window.partitionBy(*keys, "_part").orderBy("side", "t", "id")
     every = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -109,8 +110,11 @@ def _by_part(parts: DataFrame, keys: list[str], match: Callable) -> DataFrame:
         starts = np.flatnonzero(first)
         ends = np.append(starts[1:], len(ids))
         middles = ends - np.add.reduceat(side, starts)
-        out: tuple[list, list] = ([], [])
-        for a, m, z in zip(starts.tolist(), middles.tolist(), ends.tolist(), strict=True):
+        two = ends - starts == 2
+        a = starts[two]
+        a = a[(t[a + 1] >= t[a] - early) & (t[a + 1] <= t[a] + late)]
+        out: tuple[list, list] = (ids[a].tolist(), ids[a + 1].tolist())
+        for a, m, z in zip(starts[~two].tolist(), middles[~two].tolist(), ends[~two].tolist(), strict=True):
             for i, j in match(t[a:m], t[m:z], ids[m:z]):
                 out[0].append(ids[a + i])
                 out[1].append(ids[m + j])
@@ -175,7 +179,7 @@ def nearest_matches(left: DataFrame, right: DataFrame, keys: list[str], within:
                 behind[place[j] + 1] = place[j]
                 yield i, j
 
-    return _by_part(parts_of(left, right, keys, within, within), keys, match)
+    return _by_part(parts_of(left, right, keys, within, within), keys, match, within, within)
 
 
 def aligned(left: DataFrame, right: DataFrame, keys: list[str], early: float, late: float) -> DataFrame:
@@ -227,4 +231,4 @@ def aligned_parts(parts: DataFrame, keys: list[str], early: float, late: float)
                 out.append((i, k))
         return out
 
-    return _by_part(parts, keys, match)
+    return _by_part(parts, keys, match, early, late)

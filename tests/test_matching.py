@@ -145,3 +145,13 @@ def test_many_equal_times_are_matched_in_linear_work(spark):
     b = [("x", i, float(i // n)) for i in range(n)]
     got = {tuple(x) for x in reconcile.nearest_matches(*frames(spark, a, b), ["k"], 5.0).collect()}
     assert got == {(i, i) for i in range(n)}
+
+
+def test_parts_of_two_rows_are_looked_at_together(spark):
+    rows = [("x", 0, 1, 100.0, 0), ("x", 1, 2, 95.0, 0), ("y", 0, 3, 100.0, 0), ("y", 1, 4, 160.0, 0), ("z", 0, 5, 100.0, 0), ("z", 1, 6, 160.5, 0), ("z", 0, 7, 300.0, 1), ("w", 1, 8, 89.5, 0), ("w", 0, 9, 100.0, 0)]
+    parts = spark.createDataFrame(rows, "k string, side int, id long, t double, _part int")
+
+    def never(*_):
+        raise AssertionError("one by one")
+
+    assert {tuple(r) for r in reconcile._by_part(parts, ["k"], never, 10.0, 60.0).collect()} == {(1, 2), (3, 4)}
