@@ -7,11 +7,15 @@ from it on, or up to it, that have ``long_line`` words; blank lines between them
 windows of a repeated passage of that many words are equal wherever it occurs, and together they
 cover it, whatever its lines and neighbours are.  Chunks of several lines, long lines, and windows
 that occur more than once are removed but for the first occurrence (least doc_id, then least place).
-They are looked for by 64 bits, and their bytes compared by 128 bits of a cryptographic digest: of
-different texts that share the 64 bits, each has its own first occurrence.
+They are looked for by 64 bits, and then compared byte by byte: of different texts that share the
+64 bits, each has its own first occurrence.
 
-A line adds two windows of four numbers and a digest each, so a text's units grow with its lines,
-however many of these are blank or short; they are given out in pieces.
+As windows overlap, their bytes would be many times the text.  So a unit is written line by line: a
+short line as it is, one of NAMED bytes or more by a 64-bit name.  Spark compares the bytes of all
+lines of a name, and a line whose name another line has too is written in full instead.  Units that
+are written alike thus have the same bytes, with no trust in any hash.  A line adds two windows, each
+of at most long_line lines of NAMED bytes, so a text's units grow with its lines, however many of
+these are blank or short; they are given out in pieces.
 
 Cases: a null text stays null; an empty one stays empty; chunks of blank lines are never removed;
 rows of equal doc_id and text are one document, and keep the same text; a null doc_id sorts first;
@@ -20,8 +24,7 @@ an empty table gives no rows; all columns of docs are kept.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -35,9 +38,11 @@ from tapeloom.llm.shared import byte_slices, durable, give_back
 
 #: One boundary in DIVISOR lines; lines a chunk has at least and at most; words of a long line.
 DIVISOR, LEAST, MOST, LONG_LINE = 2, 2, 16, 50
+#: Bytes from which a line is written by its name, and bits of a name.
+NAMED, NAME_BITS = 9, 64
 SLICE_BYTES = 1 << 20
-#: Units that are given out at once.
-UNITS_TOGETHER = 20_000
+#: Units that are given out at once, and their bytes.
+UNITS_TOGETHER, UNIT_BYTES = 20_000, 8 << 20
 #: Repeated hashes that may be broadcast; beyond it that join is shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Tasks that share the occurrences of one unit.
@@ -68,62 +73,102 @@ def chunks_of(text: str, divisor: int = DIVISOR, least: int = LEAST, most: int =
     return out
 
 
-def units_of(text: str, **options: int) -> tuple[list[str], list[tuple[int, int, bytes]]]:
-    """The lines of a text, and (first line, line after the last, digest) of all chunks and windows
-    that may be removed.  A window is made of lines that have words; blank ones between do not count."""
+def units_of(text: str, spelled: Iterable[int] = (), name_bits: int = NAME_BITS, **options: int) -> tuple[list[str], list[tuple[int, int, bytes]]]:
+    """The lines of a text, and (first line, line after the last, how it is written) of all chunks and
+    windows that may be removed.  A window is made of lines that have words; blank ones between do not
+    count.  Lines whose names are in spelled are written in full."""
     lines = text.split("\n")
+    return lines, list(_units(lines, text, spelled, name_bits, options))
+
+
+def _units(lines: list[str], text: str, spelled: Iterable[int], name_bits: int, options: dict) -> Iterator[tuple[int, int, bytes]]:
+    """The units of units_of() in order, written one after the other."""
     long_line = options.get("long_line", LONG_LINE)
     counts = [len(line.split()) for line in lines]
     worded = [i for i, n in enumerate(counts) if n]
     words = [0, *accumulate(counts[i] for i in worded)]
-    found = {(a, b): lines[a:b] for a, b, may in chunks_of(text, **options) if may and any(counts[a:b])}
-    spans = set()
+    before = [0, *accumulate(n > 0 for n in counts)]  # lines with words before each line
+    # a chunk has its blank lines; if it has none, it is the same unit as a window of its lines
+    spans = {(a, b, before[b] - before[a] < b - a) for a, b, may in chunks_of(text, **options) if may and before[b] > before[a]}
     start = end = 0
     for k in range(len(worded)):
         while end < len(worded) and words[end] - words[k] < long_line:
             end += 1
         if words[end] - words[k] >= long_line:
-            spans.add((k, end))
+            spans.add((worded[k], worded[end - 1] + 1, False))
         while words[k + 1] - words[start + 1] >= long_line:
             start += 1
         if words[k + 1] - words[start] >= long_line:
-            spans.add((start, k + 1))
-    own = [lines[i] for i in worded]
-    units = [(a, b, digest("\n".join(part))) for (a, b), part in found.items()]
-    units += [(worded[i], worded[j - 1] + 1, digest("\n".join(own[i:j]))) for i, j in spans]
-    return lines, sorted(set(units))
+            spans.add((worded[start], worded[k] + 1, False))
+    written = [_written(line, spelled, name_bits) for line in lines]
+    own = [written[i] for i in worded]
+    for a, b, blank in sorted(spans):
+        yield a, b, b"".join(written[a:b] if blank else own[before[a] : before[b]])
+
+
+def name_of(line: bytes, bits: int = NAME_BITS) -> int:
+    """The name of a line, the same as _named() gives it."""
+    return int.from_bytes(xxhash.xxh64_digest(line, seed=42), "big", signed=True) & _mask(bits)
+
+
+def _mask(bits: int) -> int:
+    return -1 if bits == 64 else (1 << bits) - 1
+
+
+def _written(line: str, spelled: Iterable[int], bits: int) -> bytes:
+    """A line in a unit: its bytes up to a line feed, or a byte that no text has and the line's name."""
+    data = line.encode()
+    if len(data) < NAMED or (name := name_of(data, bits)) in spelled:
+        return data + b"\n"
+    return b"\xff" + name.to_bytes(8, "big", signed=True)
+
+
+def _named(keyed: DataFrame, bits: int) -> DataFrame:
+    """keyed's columns but the text, name, line: the lines that units write by their names."""
+    lines = keyed.select(*(c for c in keyed.columns if c != "text"), F.explode(F.split("text", "\n")).alias("line")).where(F.octet_length("line") >= NAMED)
+    return lines.withColumn("name", F.xxhash64("line").bitwiseAND(F.lit(_mask(bits))))
+
+
+def shared_names(texts: DataFrame, bits: int = NAME_BITS) -> DataFrame:
+    """name: the names that lines of different bytes share.  All lines of a name are compared."""
+    different = _named(texts.select("text"), bits).select("name", "line").distinct()
+    return different.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
 
 
-def digest(text: str) -> bytes:
-    """128 bits that stand for the bytes of a unit: texts of equal bytes, and only these, share them."""
-    return hashlib.blake2b(text.encode(), digest_size=16).digest()
+def _with_spelled(keyed: DataFrame, bits: int) -> DataFrame:
+    """keyed with the names that its text's lines share with other lines (null: none)."""
+    shared = durable(shared_names(keyed, bits), "shared")
+    if shared.isEmpty():
+        return keyed.withColumn("spelled", F.lit(None).cast("array<long>"))
+    own = _named(keyed, bits).join(_small(shared), "name").groupBy("did", "row_key").agg(F.collect_set("name").alias("spelled"))
+    return keyed.join(own, ["did", "row_key"], "left")
 
 
-def _unit_rows(keyed: DataFrame, options: dict) -> DataFrame:
-    """did, row_key, a, b (lines of a unit), hash, rest (the halves of its digest)."""
+def _unit_rows(keyed: DataFrame, options: dict, bits: int) -> DataFrame:
+    """did, row_key, a, b (lines of a unit), hash, rest (how the unit is written, which stands for its bytes)."""
     names = ["did", "row_key", "a", "b", "hash", "rest"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(ids: list, units: list) -> pa.RecordBatch:
-            halves = np.frombuffer(b"".join(u[2] for u in units), np.int64).reshape(-1, 2)
-            columns = [[i for i, _ in ids], [k for _, k in ids], [u[0] for u in units], [u[1] for u in units], halves[:, 0].copy(), halves[:, 1].copy()]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            hashes = np.array([xxhash.xxh3_64_intdigest(u[2]) for u in units], np.uint64).view(np.int64)
+            columns = [[i for i, _ in ids], [k for _, k in ids], [u[0] for u in units], [u[1] for u in units], hashes, [u[2] for u in units]]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
         for part in byte_slices(batches, "text", SLICE_BYTES):
-            ids, units = [], []
-            for did, key, text in zip(*(part.column(c).to_pylist() for c in ("did", "row_key", "text")), strict=True):
-                own = units_of(text or "", **options)[1]
-                for i in range(0, len(own), UNITS_TOGETHER):
-                    ids += [(did, key)] * len(own[i : i + UNITS_TOGETHER])
-                    units += own[i : i + UNITS_TOGETHER]
-                    if len(units) >= UNITS_TOGETHER:
+            ids, units, size = [], [], 0
+            for did, key, text, spelled in zip(*(part.column(c).to_pylist() for c in ("did", "row_key", "text", "spelled")), strict=True):
+                for unit in _units((text or "").split("\n"), text or "", frozenset(spelled or ()), bits, options):
+                    ids.append((did, key))
+                    units.append(unit)
+                    size += len(unit[2])
+                    if len(units) >= UNITS_TOGETHER or size >= UNIT_BYTES:
                         yield out(ids, units)
-                        ids, units = [], []
+                        ids, units, size = [], [], 0
             if units:
                 yield out(ids, units)
 
-    return keyed.mapInArrow(rows, "did long, row_key long, a int, b int, hash long, rest long")
+    return keyed.mapInArrow(rows, "did long, row_key long, a int, b int, hash long, rest binary")
 
 
 def _small(hashes: DataFrame) -> DataFrame:
@@ -152,9 +197,9 @@ def _gone(units: DataFrame) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, least: int = LEAST, most: int = MOST, long_line: int = LONG_LINE) -> DataFrame:
+def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, least: int = LEAST, most: int = MOST, long_line: int = LONG_LINE, name_bits: int = NAME_BITS) -> DataFrame:
     """docs with text replaced, and two more columns: chunks_removed (runs of neighbouring lines)
-    and lines_removed."""
+    and lines_removed.  The result is the same for any name_bits; few make lines share names."""
     options = {"divisor": divisor, "least": least, "most": most, "long_line": long_line}
     wrapped = docs.select(
         F.struct("*").alias("doc"),
@@ -162,7 +207,7 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, least: int = LEAST, mos
         F.xxhash64(docs["doc_id"].cast("long"), docs["text"]).alias("row_key"),
         docs["text"].cast("string").alias("text"),
     )
-    units = durable(_unit_rows(wrapped.select("did", "row_key", "text"), options), "units")
+    units = durable(_unit_rows(_with_spelled(wrapped.select("did", "row_key", "text"), name_bits), options, name_bits), "units")
     removed = _gone(units)
 
     @F.pandas_udf("text string, chunks int, lines int")
