@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.shared import discard, durable, whole_groups
+from tapeloom.llm.shared import discard, durable, give_back, whole_groups
 
 #: Neighbours of a node in the graph, reverse neighbours that join a meeting, rounds at most, and
 #: the share of changed edges that ends them.
@@ -40,8 +40,8 @@ NEIGHBOURS, REVERSE, ROUNDS, SETTLED = 32, 24, 4, 0.02
 CHUNK, ORDERS, SIGNS = 2048, 8, 32
 #: The search: size of a beam, nodes expanded in a round, rounds at most, and pivots.
 BEAM, EXPAND, SEARCH_ROUNDS, PIVOTS = 96, 96, 16, 64
-#: Keys or edges that a task holds before it hands them on.
-HELD = 100_000
+#: Keys or edges that a task holds before it hands them on, and queries whose beams it hands on at once.
+HELD, BEAMS_AT_ONCE = 100_000, 256
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:
@@ -145,6 +145,19 @@ def distinct_vectors(vectors: DataFrame, copies: int) -> DataFrame:
     )
 
 
+def _joined(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """The join by on, of which neither side is broadcast: Spark guesses the size of rows that Python
+    makes from the files beneath, and those of beams hold a hundredth of what is made of them."""
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
+def _few(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def _top(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of the k largest finite entries of each row."""
     if sims.shape[1] > k:
@@ -188,19 +201,33 @@ def _started(nodes: DataFrame, neighbours: int) -> DataFrame:
                     run = np.full(len(at), t * 2**32 + units.shape[1], np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(code), *own.columns], ["run", "code", "node", "unit"])
 
+    def closest(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        chunk = pa.Table.from_batches(parts)
+        own, units = chunk.column("node").to_numpy(), _matrix(chunk.column("unit"), np.float32)
+        sims = units @ units.T
+        np.fill_diagonal(sims, -np.inf)
+        rows, columns = _top(sims, neighbours)
+        return _edges([(own[rows], own[columns], sims[rows, columns])])
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, cuts in whole_groups(batches, "run"):
-            ids = table.column("node").to_numpy()
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                parts = []
-                for c in range(a, b, CHUNK):
-                    own = ids[c : min(c + CHUNK, b)]
-                    units = _matrix(table.column("unit").slice(c, len(own)), np.float32)
-                    sims = units @ units.T
-                    np.fill_diagonal(sims, -np.inf)
-                    rows, columns = _top(sims, neighbours)
-                    parts.append((own[rows], own[columns], sims[rows, columns]))
-                yield _edges(parts)
+        """A task holds one chunk at a time."""
+        held: list[pa.RecordBatch] = []
+        count, run = 0, None
+        for batch in batches:
+            runs = batch.column("run").to_numpy()
+            a = 0
+            while a < len(runs):
+                if held and (count == CHUNK or runs[a] != run):
+                    yield closest(held)
+                    held, count = [], 0
+                run = runs[a]
+                n = min(int(np.searchsorted(runs, run, side="right")) - a, CHUNK - count)
+                held.append(batch.slice(a, n))
+                a, count = a + n, count + n
+        if held:
+            yield closest(held)
+        held = []
+        give_back()
 
     ordered = nodes.select("node", "unit").mapInArrow(placed, "run long, code long, node long, unit binary")
     ordered = ordered.repartitionByRange("run", "code", "node").sortWithinPartitions("run", "code", "node")
@@ -323,7 +350,7 @@ def _proposed(lists: DataFrame, neighbours: int) -> DataFrame:
                 yield _edges([(at[best], other[best], sim[best])])
 
     known = lists.select("node", "unit", "sims").mapInArrow(with_bar, "node long, unit binary, bar float")
-    meeting = _guests(lists).join(known, "node").select("at", "node", "fresh", "unit", "bar")
+    meeting = _joined(_guests(lists), known, "node").select("at", "node", "fresh", "unit", "bar")
     return meeting.repartition("at").sortWithinPartitions("at").mapInArrow(meet, EDGES)
 
 
@@ -419,7 +446,8 @@ def _started_beams(index: Index, queries: DataFrame, beam: int) -> DataFrame:
                     ["query_id", "vec", "nodes", "sims", "done", "open"],
                 )
 
-    own = queries.join(index.nodes.select("node", "key"), "key", "left").join(index.graph.select("node", "others", "sims"), "node", "left")
+    own = _joined(queries, index.nodes.select("node", "key"), "key", "left")
+    own = _joined(own, index.graph.select("node", "others", "sims"), "node", "left")
     return own.select("query_id", "vec", "node", "others", "sims").mapInArrow(begin, BEAMS)
 
 
@@ -432,7 +460,7 @@ def search(index: Index, queries: DataFrame, beam: int = BEAM, expand: int = EXP
 
     def front(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(query_id, unit, node) of the nodes that are expanded now."""
-        for batch in batches:
+        for batch in _few(batches, BEAMS_AT_ONCE):
             for at, rows in _by_length(batch.column("vec"), np.float64):
                 own, units = batch.take(pa.array(at)), [u.tobytes() for u in _units(rows)]
                 picks = [
@@ -477,7 +505,7 @@ def search(index: Index, queries: DataFrame, beam: int = BEAM, expand: int = EXP
                 yield pa.RecordBatch.from_arrays([own.column("query_id"), own.column("node"), pa.array(sims)], ["query_id", "node", "sim"])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches, BEAMS_AT_ONCE):
             nodes = batch.column("nodes").to_pylist()
             times = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) // 8 for x in nodes]))
             yield pa.RecordBatch.from_arrays(
@@ -500,9 +528,9 @@ def search(index: Index, queries: DataFrame, beam: int = BEAM, expand: int = EXP
         if beams.where("open > 0").isEmpty():
             break
         expanded = beams.where("open > 0").mapInArrow(front, "query_id long, unit binary, node long")
-        pairs = expanded.join(index.graph.select("node", "others"), "node").select("query_id", "unit", "others")
+        pairs = _joined(expanded, index.graph.select("node", "others"), "node").select("query_id", "unit", "others")
         pairs = pairs.mapInArrow(reached, "query_id long, unit binary, node long").withColumnRenamed("unit", "asked")
-        paired = pairs.join(index.nodes.select("node", "unit"), "node").select("query_id", "node", "asked", "unit")
+        paired = _joined(pairs, index.nodes.select("node", "unit"), "node").select("query_id", "node", "asked", "unit")
         near = paired.mapInArrow(measured, "query_id long, node long, sim float")
         known = beams.mapInArrow(marked, BEAMS)
         rows = known.select("query_id", F.lit(0).alias("kind"), "vec", none("long", "node"), none("float", "sim"), "nodes", "sims", "done")
@@ -511,7 +539,7 @@ def search(index: Index, queries: DataFrame, beam: int = BEAM, expand: int = EXP
         discard(beams)
         beams = after
     pairs = beams.select("query_id", "vec", "nodes").mapInArrow(found, "query_id long, asked binary, node long")
-    paired = pairs.join(index.nodes.select("node", "ids", "vec"), "node").select("query_id", "node", "ids", "asked", "vec")
+    paired = _joined(pairs, index.nodes.select("node", "ids", "vec"), "node").select("query_id", "node", "ids", "asked", "vec")
     exact = paired.mapInArrow(scored, "query_id long, node long, ids array<long>, score double")
     return exact.select("query_id", "node", F.explode("ids").alias("vec_id"), "score")
 
